@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import crowded, dealt, linked
 from .common import components, cut, named_groups
 
 SEED = 42
@@ -119,3 +120,97 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 def hexed(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
+#: Wide fingerprints for the similarity of whole documents: bits, and the tables of sampled fingerprints that index them.
+WIDE, TABLES, SAMPLE = 512, 12, 3
+MIX = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) & (1 << 64) - 1 for i in range(32)], np.uint64)
+
+
+def mixed(x: np.ndarray, i: int) -> np.ndarray:
+    """The i-th pseudo-random function of 64-bit hashes."""
+    y = x ^ MIX[i]
+    y = (y ^ (y >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    y = (y ^ (y >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return y ^ (y >> np.uint64(31))
+
+
+def wide_bits(hashes: np.ndarray) -> bytes:
+    """SimHash of ``WIDE`` bits over distinct shingle hashes: 64 at a time from one mixing each."""
+    return b"".join(majority(mixed(hashes, i)).to_bytes(8, "big") for i in range(WIDE // 64))
+
+
+def sampled(hashes: np.ndarray) -> list[int]:
+    """For each table the SimHash of the SAMPLE shingles that come first in the table's order."""
+    out = []
+    for t in range(TABLES):
+        order = mixed(hashes, 16 + t)
+        few = hashes[np.argpartition(order, SAMPLE - 1)[:SAMPLE]] if len(hashes) > SAMPLE else hashes
+        out.append(majority(few) ^ int(MIX[t]))
+    return out
+
+
+def bits_for(similarity: float, margin: float = 2.2) -> int:
+    """Hamming distance that WIDE-bit fingerprints of sets of this Jaccard similarity keep within, but for about one in seventy."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(WIDE * p + margin * (WIDE * p * (1 - p)) ** 0.5)
+
+
+def resembling(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, wide, component_id) of every row: groups of documents whose shingle sets resemble each other.
+
+    Documents of Jaccard similarity 0.8 differ in 5 to 14 of 64 SimHash bits, too many for any byte to
+    be sure to agree. So each document has a wide fingerprint, and ``TABLES`` positional keys that are
+    SimHashes of shingles sampled by minimum order; equal keys collide with probability similarity**SAMPLE
+    each. Inside a list, pairs are tallied by shared bytes of the wide fingerprints, those below the
+    minimum are dropped, and the rest verified by Hamming distance. Lists of any size are paired in
+    blocks; equal fingerprints are one node. Documents without a word link with each other only.
+    """
+    most = bits_for(similarity)
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    same = (1 - p) ** 8
+    least = max(1, int(WIDE // 8 * same - 3.5 * (WIDE // 8 * same * (1 - same)) ** 0.5))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            wide, keys = [], []
+            for x in batch.column(1):
+                h = np.unique(shingle_hashes(x.as_py(), shingle, xxh64_intdigest))
+                wide.append(wide_bits(h))
+                keys.append(np.array(sampled(h) if len(h) else [], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(wide, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "wide", "keys"])
+
+    rows = cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, wide binary, keys array<long>"))
+    nodes = cut(rows.groupBy("wide").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")).withColumn("id", F.xxhash64("wide")))
+    postings = nodes.select("id", F.explode("keys").alias("bucket"))
+    met = crowded(postings).join(nodes.select("id", "wide"), "id")
+
+    def link(group: pa.Table) -> np.ndarray:
+        raw = np.frombuffer(b"".join(group.column("wide").to_pylist()), np.uint8).reshape(group.num_rows, WIDE // 8)
+        words = raw.view(np.uint64)
+        n = len(raw)
+        out = np.zeros((n, n), bool)
+        for i in range(n):
+            enough = (raw == raw[i]).sum(1) >= least
+            enough[enough] = np.bitwise_count(words[enough] ^ words[i]).sum(1) <= most
+            out[i] = enough
+        return out
+
+    found = linked(dealt(met), ["wide"], link)
+    groups = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    grouped = named_groups(nodes.select("id", "least"), groups)
+    named = nodes.join(grouped, "id", "left").select("wide", F.coalesce("component_id", "least").alias("component_id"))
+    return rows.select("doc_id", "wide").join(named, "wide", "left").select("doc_id", "wide", "component_id")
+
+
+def unique(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each group of ``resembling``: that with the smallest doc_id, and of repeated ones the smallest text."""
+    columns = docs.columns
+    firsts = resembling(docs, shingle, similarity).select(F.col("component_id").alias("first_id")).distinct()
+    kept = docs.join(firsts, F.col("doc_id").cast("long").eqNullSafe(F.col("first_id")), "left_semi")
+    # Rows with one doc_id are few once copies are gone; a hash of the row orders them.
+    many = kept.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("h_"), F.count("*").alias("c_")).where("c_ > 1").select(F.col("doc_id").alias("i_"), "h_")
+    out = kept.join(many, F.col("doc_id").eqNullSafe(F.col("i_")), "left").where(F.col("i_").isNull() | (F.xxhash64("text") == F.col("h_")))
+    return out.select(columns)
