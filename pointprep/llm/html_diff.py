@@ -141,14 +141,18 @@ def states(lines: list[Line]) -> list[int]:
     return out
 
 
-def shared(a: list[int], b: list[int]) -> set[int]:
-    """Places in ``a`` of a longest common subsequence with ``b``: increasing runs over matching places, n log n in matches.
+#: Matching places up to which runs over them are kept; beyond, rows of bits take their place. Both are exact.
+MATCHES = 200_000
 
-    Of a line repeated in ``b`` all places take part, in falling order, so that one is used for each of ``a``.
-    """
+
+def shared(a: list[int], b: list[int]) -> set[int]:
+    """Places in ``a`` of a longest common subsequence with ``b``."""
     places: dict[int, list[int]] = {}
     for j, x in enumerate(b):
         places.setdefault(x, []).append(j)
+    if sum(len(places.get(x, ())) for x in a) > MATCHES:
+        return shared_bits(a, b, places)
+    # Longest increasing run over matching places; those of a repeated line in falling order, so that one serves each of ``a``.
     tails: list[int] = []
     links: list[tuple[int, object]] = []
     for i, x in enumerate(a):
@@ -167,6 +171,35 @@ def shared(a: list[int], b: list[int]) -> set[int]:
     return out
 
 
+def shared_bits(a: list[int], b: list[int], places: dict[int, list[int]]) -> set[int]:
+    """As ``shared``, a row of bits for each line of ``a``: a bit of ``b`` is 0 where the length rises."""
+    n = len(b)
+    full = (1 << n) - 1
+    masks = {x: sum(1 << j for j in js) for x, js in places.items() if len(js) < 64}
+    for x, js in places.items():
+        if x not in masks:
+            bits = bytearray(n // 8 + 1)
+            for j in js:
+                bits[j >> 3] |= 1 << (j & 7)
+            masks[x] = int.from_bytes(bits, "little")
+    rows, v = [], full
+    for x in a:
+        u = v & masks.get(x, 0)
+        v = ((v + u) | (v - u)) & full
+        rows.append(v)
+    out, i, j = set(), len(a) - 1, n - 1
+    while i >= 0 and j >= 0:
+        if rows[i] >> j & 1:  # no rise at j: the length up to j is that up to j - 1
+            j -= 1
+        elif i and not rows[i - 1] >> j & 1:  # the line before has the rise already
+            i -= 1
+        else:
+            out.add(i)
+            i -= 1
+            j -= 1
+    return out
+
+
 def deletions(own: list[int], marks: list[int], other: list[int]) -> list[int]:
     """Indexes of open lines of a page that it shares with ``other``; none if all open lines would go."""
     found = shared(own, other)

@@ -155,10 +155,10 @@ def mixed(docs: DataFrame) -> DataFrame:
 
     Rows alike in doc_id, source and text are paired by rank, so that repeated rows keep their number.
     """
-    columns = docs.columns
-    text_key = F.xxhash64("doc_id", "source", size_of(F.col("text")))
-    times = mix(docs).where("times > 0").withColumn("k_", F.xxhash64("doc_id", "source", "size")).groupBy("k_").agg(F.sum("times").alias("t_"), F.count("*").alias("c_"))
-    rows = docs.withColumns({"k_": text_key, "h_": F.xxhash64("text")}).join(times, "k_")
-    nth = F.row_number().over(Window.partitionBy("k_").orderBy("h_"))
-    copies = F.floor(F.col("t_") / F.col("c_")) + (nth <= F.col("t_") % F.col("c_")).cast("int")
-    return rows.withColumn("n_", copies.cast("int")).where("n_ > 0").withColumn("n_", F.explode(F.array_repeat(F.lit(1), F.col("n_")))).select(columns)
+    alike = lambda size: F.xxhash64("doc_id", "source", size)
+    times = mix(docs).where("times > 0").withColumn("alike", alike(F.col("size"))).groupBy("alike").agg(F.sum("times").alias("times"), F.count("*").alias("rows"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), alike(size_of(F.col("text"))).alias("alike"), F.xxhash64("text").alias("h"))
+    nth = F.row_number().over(Window.partitionBy("alike").orderBy("h"))
+    copies = F.floor(F.col("times") / F.col("rows")) + (nth <= F.col("times") % F.col("rows")).cast("int")
+    taken = whole.join(times, "alike").withColumn("copies", copies.cast("int")).where("copies > 0")
+    return taken.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("row.*")

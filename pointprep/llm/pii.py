@@ -129,7 +129,8 @@ def redact(docs: DataFrame) -> DataFrame:
     Overlapping spans are replaced once, by the kind of the first. Null texts stay null.
     """
     columns = docs.columns
-    found = find(docs).withColumn("t_", F.col("text").cast("string"))
+    row = F.struct(*[F.col(f"`{c}`") for c in columns])
+    found = find(docs.select(row.alias("row"), "text")).withColumn("t_", F.col("text").cast("string"))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def cut_out(a: Column, s: Column) -> Column:
@@ -139,4 +140,5 @@ def redact(docs: DataFrame) -> DataFrame:
 
     done = F.aggregate("pii", start, cut_out, lambda a: F.concat(a["out"], F.substring(F.col("t_"), a["at"] + 1, F.length("t_"))))
     new = found.withColumn("text", F.when(F.size("pii") > 0, done).otherwise(F.col("t_")))
-    return new.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(columns)
+    fresh = {"text": F.col("text"), "n_chars": F.coalesce(F.length("text"), F.lit(0)).cast("long")}
+    return new.select(*[fresh[c].alias(c) if c in fresh else F.col(f"row.`{c}`") for c in columns])

@@ -138,4 +138,5 @@ def assess(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
 def kept(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that ``assess`` keeps. Rows that share a doc_id stay or go together: one good row keeps them."""
     good = assess(docs, labels, **options).where("keep").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(good, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    return rows.join(good, F.col("id").eqNullSafe(F.col("kept_id")), "left_semi").select("row.*")

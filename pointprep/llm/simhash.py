@@ -17,7 +17,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import crowded, dealt, linked
@@ -206,11 +206,10 @@ def resembling(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Da
 
 
 def unique(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of each group of ``resembling``: that with the smallest doc_id, and of repeated ones the smallest text."""
-    columns = docs.columns
+    """One row of each group of ``resembling``: that with the smallest doc_id, and of rows that share it one."""
     firsts = resembling(docs, shingle, similarity).select(F.col("component_id").alias("first_id")).distinct()
-    kept = docs.join(firsts, F.col("doc_id").cast("long").eqNullSafe(F.col("first_id")), "left_semi")
-    # Rows with one doc_id are few once copies are gone; a hash of the row orders them.
-    many = kept.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("h_"), F.count("*").alias("c_")).where("c_ > 1").select(F.col("doc_id").alias("i_"), "h_")
-    out = kept.join(many, F.col("doc_id").eqNullSafe(F.col("i_")), "left").where(F.col("i_").isNull() | (F.xxhash64("text") == F.col("h_")))
-    return out.select(columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"))
+    kept = rows.join(firsts, F.col("id").eqNullSafe(F.col("first_id")), "left_semi")
+    # Of rows that share a doc_id, few once copies are gone, one stays: texts are ordered by their hash.
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("h"))
+    return kept.withColumn("rank", rank).where("rank = 1").select("row.*")
