@@ -29,7 +29,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-KEPT = 250_000
+KEPT = 150_000
 INF = float("inf")
 #: The state before the first piece; arcs below it are characters outside the lexicon.
 START = -1
@@ -94,12 +94,13 @@ class Codec:
         self.unknown = next((i for i, k in enumerate(model.kinds) if k == UNKNOWN), 0)
         self.rank = {p: model.scores[i] for p, i in self.lexicon.items()}.get
         self.worst = min(model.scores, default=0.0) - 10.0
+        # Each node of the trie is (arc that ends here or None, nodes by character).
         self.trie: dict = {}
         for p, i in self.lexicon.items():
-            node = self.trie
-            for c in p:
-                node = node.setdefault(c, {})
-            node[""] = i
+            nodes = self.trie
+            for c in p[:-1]:
+                nodes = nodes.setdefault(c, [None, {}])[1]
+            nodes.setdefault(p[-1], [None, {}])[0] = i
         inner = [p for p in self.lexicon if len(p) > 1]
         chars = {c for p in inner for c in p}
         # A blank inside a piece behind another character would make words cross; then a text is one unit.
@@ -109,6 +110,7 @@ class Codec:
         self.out = [self.surface(i) for i in range(len(model.pieces))]
         self.pairs: dict[int, bool] = {}
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def surface(self, i: int) -> bytes:
         kind, piece = self.m.kinds[i], self.m.pieces[i]
@@ -159,48 +161,71 @@ class Codec:
 
     def path(self, unit: str) -> list[int]:
         """Arcs (pieces, or negative: single characters outside the lexicon) on the shortest path over a unit."""
-        n, trie = len(unit), self.trie
-        scores, bpe, pairs, joins = self.m.scores, self.m.kind == BPE, self.pairs, self.joins
+        last, sizes = self.zero_path(unit) if self.m.kind == BPE else self.least_path(unit)
+        out, at = [], len(unit)
+        while at:
+            out.append(last[at])
+            at -= sizes[at]
+        return out[::-1]
+
+    def zero_path(self, unit: str) -> tuple[list, list]:
+        """Arcs into positions, and their lengths, on the path of weight 0.
+
+        Weights are 0 or infinite, so the search follows any arc of weight 0, longest first, and takes up
+        shorter ones where that ends. A position is reached by one arc only, and so entered once.
+        """
+        n, trie, fits_of, joins = len(unit), self.trie, self.pairs.get, self.joins
         last: list[int | None] = [None] * (n + 1)
         sizes = [0] * (n + 1)
-        cost = [INF] * (n + 1)
-        last[0], cost[0] = START, 0.0
-        for i in range(n):
+        last[0] = START
+        open_ = [0]
+        while open_:
+            i = open_.pop()
+            if i == n:
+                break
             before = last[i]
-            if before is None:
-                continue
-            base = before * WIDE
-            node = trie
-            j = i
-            while j < n:
-                node = node.get(unit[j])
+            base, nodes, j = before * WIDE, trie, i
+            for c in unit[i:]:
+                node = nodes.get(c)
                 if node is None:
                     break
+                arc, nodes = node
                 j += 1
-                arc = node.get("")
                 if arc is None:
                     if j > i + 1:
                         continue
-                    arc = START - 1 - ord(unit[i])
-                if bpe:
-                    if last[j] is None:
-                        fits = pairs.get(base + arc)
-                        if joins(before, arc) if fits is None else fits:
-                            last[j], sizes[j] = arc, j - i
-                else:
-                    c = cost[i] - (scores[arc] if arc >= 0 else self.worst)
-                    if c < cost[j]:
-                        cost[j], last[j], sizes[j] = c, arc, j - i
-            if j == i:  # a character that starts no piece
+                    arc = START - 1 - ord(c)
+                if last[j] is None:
+                    fits = fits_of(base + arc)
+                    if joins(before, arc) if fits is None else fits:
+                        last[j], sizes[j] = arc, j - i
+                        open_.append(j)
+            if j == i and last[i + 1] is None:  # a character that starts no piece
                 arc = START - 1 - ord(unit[i])
-                c = cost[i] - self.worst
-                if (last[i + 1] is None and joins(before, arc)) if bpe else c < cost[i + 1]:
-                    cost[i + 1], last[i + 1], sizes[i + 1] = c, arc, 1
-        out, at = [], n
-        while at:
-            out.append(last[at])
-            at -= sizes[at]
-        return out[::-1]
+                if joins(before, arc):
+                    last[i + 1], sizes[i + 1] = arc, 1
+                    open_.append(i + 1)
+        return last, sizes
+
+    def least_path(self, unit: str) -> tuple[list, list]:
+        """As ``zero_path``, for weights of minus the pieces' scores."""
+        n, trie, scores = len(unit), self.trie, self.m.scores
+        last: list[int | None] = [None] * (n + 1)
+        sizes = [0] * (n + 1)
+        cost = [0.0] + [INF] * n
+        for i in range(n):
+            nodes, j = trie, i
+            for c in unit[i:]:
+                node = nodes.get(c)
+                if node is None:
+                    break
+                arc, nodes = node
+                j += 1
+                if arc is not None and cost[i] - scores[arc] < cost[j]:
+                    cost[j], last[j], sizes[j] = cost[i] - scores[arc], arc, j - i
+            if cost[i] - self.worst < cost[i + 1]:
+                cost[i + 1], last[i + 1], sizes[i + 1] = cost[i] - self.worst, START - 1 - ord(unit[i]), 1
+        return last, sizes
 
     def ids(self, arcs: list[int]) -> list[int]:
         out: list[int] = []
@@ -214,17 +239,20 @@ class Codec:
         return out
 
     def unit(self, unit: str) -> bytes:
-        found = np.array(self.ids(self.path(unit)), "<i4").tobytes()
+        found = self.older.get(unit)
+        if found is None:
+            ids = self.ids(self.path(unit))
+            found = struct.pack(f"<{len(ids)}i", *ids)
         if len(unit) <= 64:
-            if len(self.kept) > KEPT:
-                self.kept.clear()
+            if len(self.kept) > KEPT:  # what was met since the last time stays for one more
+                self.older, self.kept = self.kept, {}
             self.kept[unit] = found
         return found
 
     def encode_bytes(self, text: str) -> bytes:
         """Ids of a text as little-endian 32-bit integers."""
-        get, make = self.kept.get, self.unit
-        return b"".join([get(u) or make(u) for u in self.units.findall(self.normalise(text))])
+        kept, make = self.kept, self.unit
+        return b"".join([kept.get(u) or make(u) for u in self.units.findall(self.normalise(text))])
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "<i4").tolist()
