@@ -18,6 +18,9 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
+import types
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -262,6 +265,18 @@ class Codec:
         return raw[1:] if self.m.dummy and raw.startswith(" ") else raw
 
 
+def in_process(raw: bytes) -> Codec:
+    """The codec of a model, compiled once in a worker process: later tasks find it, and the units it has met, again.
+
+    Functions travel by value with globals of their own, so it is kept in a module that they share.
+    """
+    shared = sys.modules.setdefault("_pointprep_codecs", types.ModuleType("_pointprep_codecs"))
+    key = f"c{zlib.crc32(raw)}_{len(raw)}"
+    if not hasattr(shared, key):
+        setattr(shared, key, Codec(Model(raw)))
+    return getattr(shared, key)
+
+
 def compiled(path: str = MODEL) -> Codec:
     with open(path, "rb") as f:
         return Codec(Model(f.read()))
@@ -285,7 +300,7 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     raw = docs.sparkSession.sparkContext.broadcast(model_bytes(docs, path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(Model(raw.value))
+        codec = in_process(raw.value)
         for batch in batches:
             at = 0
             while at < batch.num_rows:  # some 4 MB of text at a time, or one text
