@@ -98,5 +98,5 @@ def additive(points: DataFrame, vocab: DataFrame, column: str = "clean_name", le
     per_word = distinct.join(inside, "word").select("word", "label", "label_id", "s").union(heard.join(sized(spoken, n), "keyword").select("word", "label", "label_id", "s"))
     total = words.join(per_word, "word").groupBy("norm", "n", "label", "label_id").agg(F.sum("s").alias("s")).withColumn("score", F.col("s") / F.col("n"))
     best = total.groupBy("norm").agg(F.max_by(F.struct("label", "score"), F.struct("score", -F.col("label_id"))).alias("b")).where(F.col("b.score") >= least)
-    found = names.join(best, "norm", "left").select("norm", F.coalesce("label", "b.label").alias("label"), F.when(F.col("label").isNotNull(), 1.0).otherwise(F.coalesce(F.least(F.col("b.score"), F.lit(cap)), F.lit(0.0))).alias("confidence"))
+    found = names.join(best, "norm", "left").select("norm", F.coalesce("label", "b.label").alias("label"), F.when(F.col("label").isNotNull(), 1.0).when(F.col("b.score").isNotNull(), F.least(F.col("b.score"), F.lit(cap))).otherwise(0.0).alias("confidence"))
     return keyed.join(found, "norm", "left").select(*points.columns, "label", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))

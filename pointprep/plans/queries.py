@@ -201,7 +201,7 @@ ADD = " + ".join(f"CASE WHEN contains(word, '{k}') AND contains(lower(label), '{
 @query(f"""WITH m AS (SELECT n.p_partkey, n.norm, k.label AS l FROM {NAMED} n LEFT JOIN {LOOKUP} k ON k.key = n.norm), w AS (SELECT norm, len(t) AS n, unnest(t) AS word FROM
 (SELECT DISTINCT norm, list_filter(string_split(norm, ' '), lambda x: x <> '') AS t FROM m WHERE l IS NULL)), s AS (SELECT norm, label, label_id, sum(CASE WHEN contains(lower(label), word) THEN 1 ELSE 0 END + {ADD})::DOUBLE / any_value(n) AS score
 FROM w, {VOCAB} v GROUP BY norm, label, label_id), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY score DESC, label_id) AS rn FROM s) WHERE rn = 1 AND score >= 0.5)
-SELECT p_partkey, coalesce(l, label) AS label, round(CASE WHEN l IS NOT NULL THEN 1.0::DOUBLE ELSE coalesce(least(score, 0.9), 0.0)::DOUBLE END, 6) AS confidence FROM m LEFT JOIN b USING (norm)""")
+SELECT p_partkey, coalesce(l, label) AS label, round(CASE WHEN l IS NOT NULL THEN 1.0::DOUBLE WHEN score IS NOT NULL THEN least(score, 0.9)::DOUBLE ELSE 0.0::DOUBLE END, 6) AS confidence FROM m LEFT JOIN b USING (norm)""")
 def additive_match(spark, sf_dir):
     p, labels = points(spark, sf_dir)
     return match.additive(p.select("p_partkey", "clean_name"), labels, keywords=KEYWORDS).select("p_partkey", "label", r6("confidence").alias("confidence"))
