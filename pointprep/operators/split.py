@@ -32,7 +32,10 @@ def hold_out(df: DataFrame, label: str, key: str, share: float, seed: int = 42)
 
     Raises ValueError on null labels, classes of one row, or sides smaller than the number of classes.
     """
-    counts = df.groupBy(label).agg(F.count("*").alias("c"))
+    h = seeded(seed, key)
+    keyed = df.withColumn("slice_", F.substring(h, 1, 2))
+    slices = keyed.groupBy(label, "slice_").agg(F.count("*").alias("n_"))
+    counts = slices.groupBy(label).agg(F.sum("n_").alias("c"))
     n, classes, least, nulls = counts.agg(F.sum("c"), F.count("*"), F.min("c"), F.sum(F.col(label).isNull().cast("int"))).first()
     n = n or 0
     total = math.ceil(share * n)
@@ -40,9 +43,14 @@ def hold_out(df: DataFrame, label: str, key: str, share: float, seed: int = 42)
         raise ValueError("labels must not be null; drop them first")
     if not n or least < 2 or total < classes or n - total < classes:
         raise ValueError("each class needs two rows, and each side as many rows as classes")
-    quota = quotas(counts, label, total, n)
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(seeded(seed, key), key))
-    return df.withColumn("k_", rank).join(sized(quota, classes), label).withColumn("held", F.col("k_") <= F.col("quota")).drop("k_", "quota").select(*df.columns, "held")
+    # Slices of the seeded order before a class's border go whole to one side; only the border slice is ranked.
+    before = F.coalesce(F.sum("n_").over(Window.partitionBy(label).orderBy("slice_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    room = slices.withColumn("before_", before).join(sized(quotas(counts, label, total, n), classes), label).select(label, "slice_", "n_", (F.col("quota") - F.col("before_")).alias("room_"))
+    rows = keyed.join(sized(room, classes * 256), [label, "slice_"])
+    border = (F.col("room_") > 0) & (F.col("room_") < F.col("n_"))
+    rank = F.row_number().over(Window.partitionBy(label, "slice_").orderBy(h, key))
+    out = rows.where(~border).withColumn("held", F.col("room_") > 0).unionByName(rows.where(border).withColumn("held", rank <= F.col("room_")))
+    return out.select(*df.columns, "held")
 
 
 def two_way(df: DataFrame, label: str, key: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:

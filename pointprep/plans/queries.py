@@ -155,7 +155,7 @@ SELECT norm, label, label_id, count(*)::DOUBLE / (any_value(na) + any_value(nb)
 (SELECT norm, len(t) AS na, unnest(t) AS token FROM (SELECT DISTINCT norm, list_distinct(list_filter(string_split(norm, ' '), lambda x: x <> '')) AS t FROM {{names}})) a JOIN
 (SELECT label, label_id, len(t) AS nb, unnest(t) AS token FROM (SELECT label, label_id, list_distinct(list_filter(string_split({NORM.format('label')}, ' '), lambda x: x <> '')) AS t FROM {{vocab}})) b USING (token)
 GROUP BY norm, label, label_id) WHERE score >= 0.3) WHERE rn = 1)"""
-CASCADE = f"""SELECT p_partkey, clean_name, profile_name, label, label_id, coalesce(confidence, 0.0::DOUBLE) AS confidence FROM (SELECT n.*, coalesce(k.label, {rule_sql('label')}, j.l3) AS label,
+CASCADE = f"""SELECT p_partkey, clean_name, profile_name, label, coalesce(label_id, -1) AS label_id, coalesce(confidence, 0.0::DOUBLE) AS confidence FROM (SELECT n.*, coalesce(k.label, {rule_sql('label')}, j.l3) AS label,
 coalesce(CASE WHEN k.label IS NOT NULL THEN 1.0::DOUBLE END, {rule_sql('confidence')}, j.c3) AS confidence
 FROM {NAMED} n LEFT JOIN {LOOKUP} k ON k.key = n.norm LEFT JOIN {JACCARD.format(names=NAMED, vocab=VOCAB)} j(jn, l3, c3) ON j.jn = n.norm) LEFT JOIN {VOCAB} v USING (label)"""
 
@@ -168,18 +168,18 @@ def points(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return part.select("p_partkey", F.col("p_brand").alias("profile_name"), name.alias("clean_name")), labels
 
 
-@query(f"SELECT p_partkey, k.label, label_id, CASE WHEN k.label IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0 END AS confidence FROM {NAMED} n LEFT JOIN {LOOKUP} k ON k.key = n.norm LEFT JOIN {VOCAB} v ON v.label = k.label")
+@query(f"SELECT p_partkey, k.label, coalesce(label_id, -1) AS label_id, CASE WHEN k.label IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0 END AS confidence FROM {NAMED} n LEFT JOIN {LOOKUP} k ON k.key = n.norm LEFT JOIN {VOCAB} v ON v.label = k.label")
 def exact_match(spark, sf_dir):
     p, labels = points(spark, sf_dir)
     named = p.select("p_partkey", T.normalize(F.col("clean_name")).alias("norm"))
     out = match.exact(named, labels, 64).join(F.broadcast(labels), "label", "left")
-    return out.select("p_partkey", "label", "label_id", F.when(F.col("label").isNotNull(), 1.0).otherwise(0.0).alias("confidence"))
+    return out.select("p_partkey", "label", F.coalesce("label_id", F.lit(-1)).alias("label_id"), F.when(F.col("label").isNotNull(), 1.0).otherwise(0.0).alias("confidence"))
 
 
-@query(f"SELECT p_partkey, {rule_sql('label')} AS label, {rule_sql('confidence')} AS confidence FROM {NAMED}")
+@query(f"SELECT p_partkey, {rule_sql('label')} AS label, coalesce({rule_sql('confidence')}, 0.0::DOUBLE) AS confidence FROM {NAMED}")
 def rule_match(spark, sf_dir):
     p, _ = points(spark, sf_dir)
-    return p.withColumn("r", match.rule(T.normalize(F.col("clean_name")), vocab.rules_in(LABELS, RULES))).select("p_partkey", "r.label", "r.confidence")
+    return p.withColumn("r", match.rule(T.normalize(F.col("clean_name")), vocab.rules_in(LABELS, RULES))).select("p_partkey", "r.label", F.coalesce("r.confidence", F.lit(0.0)).alias("confidence"))
 
 
 NAMES = "(SELECT DISTINCT lower(p_type) || ' ' || p_name AS norm FROM part)"
@@ -210,7 +210,8 @@ def additive_match(spark, sf_dir):
 @query(CASCADE)
 def match_cascade(spark, sf_dir):
     p, labels = points(spark, sf_dir)
-    return match.cascade(p, labels, rules=RULES)
+    # Unmatched rows show id -1, so that both engines' integers compare.
+    return match.cascade(p, labels, rules=RULES).withColumn("label_id", F.coalesce("label_id", F.lit(-1)))
 
 
 @query(f"""SELECT count(*) AS total, count(*) FILTER (confidence >= 0.6) AS matched, count(*) FILTER (confidence < 0.6) AS unmatched, round(100.0 * count(*) FILTER (confidence >= 0.6) / count(*), 4)::DOUBLE AS matched_pct,
