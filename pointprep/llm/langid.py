@@ -10,6 +10,7 @@ words are multiplied out for all blocks at once, then joined in order, so cost i
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -21,13 +22,17 @@ from pyspark.sql import functions as F
 
 #: Training rows: at most so many a language, those with the smallest seeded hashes of their ids.
 MAX_ROWS = 300
-#: Words a training row may give; whole texts are read in prediction.
+#: Words that a training row gives, drawn over its whole text; prediction reads whole texts.
 MAX_WORDS = 400
+#: Words of a piece, the unit in which training rows are drawn.
+PIECE = 40
 BINS = 1 << 15
 BLOCK = 32
 SEED = 11
 CACHE = 150_000
-WORD = re.compile(r"[^\W\d_]+")
+#: Signs of number that are no letters, such as fractions and Roman numerals; digits are left out by the pattern itself.
+NUMERALS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+WORD = re.compile(rf"[^\W\d_{NUMERALS}]+")
 
 
 def feature_bins(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -156,7 +161,7 @@ def train(texts: list[str], langs: list[str], rounds: int = 24) -> tuple[list[st
     rows_with = Counter(line for text in texts for line in set(text.split("\n")))
     for text, lang in zip(texts, langs, strict=True):
         own = [line for line in text.split("\n") if rows_with[line] == 1]
-        words = WORD.findall("\n".join(own or [text]))[:MAX_WORDS]
+        words = WORD.findall("\n".join(own or [text]))
         at = 0
         while at < len(words):
             size = int(rng.integers(4, 40))
@@ -201,6 +206,25 @@ def train(texts: list[str], langs: list[str], rounds: int = 24) -> tuple[list[st
     return names, weights, trans
 
 
+def excerpt(text: str, max_words: int = MAX_WORDS) -> str:
+    """Pieces of a whole text, one a line, drawn by seed until they have ``max_words`` words; in text order.
+
+    Pieces are lines, and runs of ``PIECE`` blank-separated words of longer lines.
+    """
+    pieces = []
+    for line in text.split("\n"):
+        words = line.split()
+        pieces += [line] if len(words) <= PIECE else [" ".join(words[i : i + PIECE]) for i in range(0, len(words), PIECE)]
+    rng = np.random.default_rng([SEED, zlib.crc32(text.encode("utf-8", "surrogatepass"))])
+    drawn, held = [], 0
+    for i in rng.permutation(len(pieces)).tolist():
+        if held >= max_words:
+            break
+        drawn.append(i)
+        held += len(pieces[i].split())
+    return "\n".join(pieces[i] for i in sorted(drawn))
+
+
 def learned(docs: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Model from rows whose crc32(doc_id as text) mod 4 is not 2; languages and counts come from all of them."""
     rows = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out())
@@ -212,7 +236,14 @@ def learned(docs: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list[str], np.nd
     level = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.3 * max_rows / n))])
     unit = (F.pmod(h, F.lit(1 << 30)) / float(1 << 30))
     few = rows.select("text", "lang", "doc_id", h.alias("h"), unit.alias("u")).where(F.col("u") < F.element_at(level, F.col("lang")))
-    pdf = few.select(F.regexp_extract(F.col("text"), rf"(?s)^.{{0,{MAX_WORDS * 16}}}", 0).alias("text"), "lang", "doc_id", "h").toPandas()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array([excerpt(x) for x in batch.column(0).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([texts, *batch.columns[1:]], ["text", "lang", "doc_id", "h"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    pdf = few.select(F.col("text").cast("string"), F.col("lang").cast("string"), "doc_id", "h").mapInArrow(run, f"text string, lang string, doc_id {kind}, h long").toPandas()
     pdf = pdf.sort_values(["lang", "h", "doc_id", "text"]).groupby("lang").head(max_rows)
     return train(pdf["text"].tolist(), pdf["lang"].tolist())
 

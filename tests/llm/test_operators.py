@@ -273,6 +273,22 @@ def test_language(spark, odd, none):
     assert langid.identify(none).count() == 0
 
 
+def test_number_signs_are_no_letters(spark, small):
+    signs = [(-1, "½ Ⅷ ² 12", "en", "a", 9), (-2, "the ½ cup", "en", "a", 9)]
+    r = got(langid.identify(docs_of(spark, small).select("doc_id", "text", "lang", "source", "n_chars").union(spark.createDataFrame(signs, DOCS))))
+    assert (r[-1].lang_pred, r[-1].score, r[-2].n_words) == ("und", 0.0, 2)
+
+
+def test_training_words_come_from_the_whole_text():
+    lines = [f"w{i} " * (95 if i % 7 == 0 else 5) for i in range(2000)]
+    drawn = langid.excerpt("\n".join(lines)).split("\n")
+    held = sum(len(x.split()) for x in drawn)
+    assert langid.MAX_WORDS <= held < langid.MAX_WORDS + langid.PIECE and max(len(x.split()) for x in drawn) <= langid.PIECE
+    at = [int(x.split()[0][1:]) for x in drawn]
+    assert at == sorted(at) and at[0] < 500 and at[-1] > 1500
+    assert langid.excerpt("a b\n\nc") == "a b\n\nc" and langid.excerpt("") == ""
+
+
 def test_forward_backward_is_enumeration():
     from itertools import product
 
