@@ -10,7 +10,6 @@ words are multiplied out for all blocks at once, then joined in order, so cost i
 from __future__ import annotations
 
 import re
-import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -30,9 +29,12 @@ BINS = 1 << 15
 BLOCK = 32
 SEED = 11
 CACHE = 150_000
-#: Signs of number that are no letters, such as fractions and Roman numerals; digits are left out by the pattern itself.
-NUMERALS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-WORD = re.compile(rf"[^\W\d_{NUMERALS}]+")
+WORD = re.compile(r"[^\W\d_]+")
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters; number signs such as fractions count as letters beside one, alone they are no word."""
+    return [w for w in WORD.findall(text) if w.isascii() or any(map(str.isalpha, w))]
 
 
 def feature_bins(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -161,7 +163,7 @@ def train(texts: list[str], langs: list[str], rounds: int = 24) -> tuple[list[st
     rows_with = Counter(line for text in texts for line in set(text.split("\n")))
     for text, lang in zip(texts, langs, strict=True):
         own = [line for line in text.split("\n") if rows_with[line] == 1]
-        words = WORD.findall("\n".join(own or [text]))
+        words = words_of("\n".join(own or [text]))
         at = 0
         while at < len(words):
             size = int(rng.integers(4, 40))
@@ -302,7 +304,7 @@ def identify(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
             while at < batch.num_rows:  # about 100,000 words at a time, or one text
                 texts, held = [], 0
                 while at + len(texts) < batch.num_rows and held < 100_000:
-                    texts.append(WORD.findall(batch.column(2)[at + len(texts)].as_py() or ""))
+                    texts.append(words_of(batch.column(2)[at + len(texts)].as_py() or ""))
                     held += len(texts[-1])
                 cut = batch.slice(at, len(texts))
                 yield part(cut.column(0), cut.column(1), texts)
