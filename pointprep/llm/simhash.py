@@ -17,7 +17,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import crowded, dealt, linked
@@ -156,8 +156,17 @@ def bits_for(similarity: float, margin: float = 2.2) -> int:
     return int(WIDE * p + margin * (WIDE * p * (1 - p)) ** 0.5)
 
 
-def resembling(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, wide, component_id) of every row: groups of documents whose shingle sets resemble each other.
+def row_key(docs: DataFrame) -> Column:
+    """Hash of all columns and of which are null: rows with equal keys are copies of one row."""
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    return F.xxhash64(*cols, F.array(*[c.isNull() for c in cols]))
+
+
+def grouped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(key, doc_id, wide, root, component_id) of every row: groups of documents whose shingle sets resemble each other.
+
+    ``key`` is the ``row_key``; ``root`` tells the groups apart, which ``component_id``, the smallest doc_id,
+    does not where rows of several groups share a doc_id or have none.
 
     Documents of Jaccard similarity 0.8 differ in 5 to 14 of 64 SimHash bits, too many for any byte to
     be sure to agree. So each document has a wide fingerprint, and ``TABLES`` positional keys that are
@@ -176,13 +185,14 @@ def resembling(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Da
 
         for batch in batches:
             wide, keys = [], []
-            for x in batch.column(1):
+            for x in batch.column(2):
                 h = np.unique(shingle_hashes(x.as_py(), shingle, xxh64_intdigest))
                 wide.append(wide_bits(h))
                 keys.append(np.array(sampled(h) if len(h) else [], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(wide, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "wide", "keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(wide, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["key", "doc_id", "wide", "keys"])
 
-    rows = cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, wide binary, keys array<long>"))
+    sent = docs.select(row_key(docs).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = cut(sent.mapInArrow(run, "key long, doc_id long, wide binary, keys array<long>"))
     nodes = cut(rows.groupBy("wide").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")).withColumn("id", F.xxhash64("wide")))
     postings = nodes.select("id", F.explode("keys").alias("bucket"))
     met = crowded(postings).join(nodes.select("id", "wide"), "id")
@@ -200,16 +210,19 @@ def resembling(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Da
 
     found = linked(dealt(met), ["wide"], link)
     groups = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    grouped = named_groups(nodes.select("id", "least"), groups)
-    named = nodes.join(grouped, "id", "left").select("wide", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.select("doc_id", "wide").join(named, "wide", "left").select("doc_id", "wide", "component_id")
+    roots = nodes.join(groups.withColumnRenamed("node", "id"), "id", "left").select("wide", "least", F.coalesce("component", "id").alias("root"))
+    names = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.select("key", "doc_id", "wide").join(roots.join(names, "root").select("wide", "root", "component_id"), "wide")
+
+
+def resembling(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, wide, component_id) of every row: the groups of ``grouped``."""
+    return grouped(docs, shingle, similarity).select("doc_id", "wide", "component_id")
 
 
 def unique(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of each group of ``resembling``: that with the smallest doc_id, and of rows that share it one."""
-    firsts = resembling(docs, shingle, similarity).select(F.col("component_id").alias("first_id")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"))
-    kept = rows.join(firsts, F.col("id").eqNullSafe(F.col("first_id")), "left_semi")
-    # Of rows that share a doc_id, few once copies are gone, one stays: texts are ordered by their hash.
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("h"))
-    return kept.withColumn("rank", rank).where("rank = 1").select("row.*")
+    """One row of each group of ``grouped``: that with the smallest doc_id (null last), and of rows that share it that with the smallest key."""
+    firsts = grouped(docs, shingle, similarity).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first")).select("first.key")
+    # Copies of a row become one where they are read, so no key is hot in the shuffle.
+    rows = docs.select(row_key(docs).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.groupBy("key").agg(F.first("row").alias("row")).join(firsts, "key", "left_semi").select("row.*")

@@ -420,6 +420,16 @@ def test_resembling_catches_near_copies(spark, none, odd):
     assert kept.columns == odd.columns and [x.doc_id for x in kept.orderBy("doc_id").collect()] == [None, 1, 4, 6, 7, 8]
 
 
+def test_unique_keeps_one_row_of_each_group(spark):
+    words = lambda n: " ".join(f"w{n}x{i}" for i in range(60))
+    a, b, c, d = map(words, range(4))
+    # Ids shared by unrelated texts, null ids of unrelated texts, copies of one row, and the same text under two sources.
+    rows = [(5, a, "en", "s", 0), (5, b, "en", "s", 0), (1, a + " more", "en", "s", 0), (None, c, "en", "s", 0), (None, d, "en", "s", 0), (None, d, "en", "s", 0), (None, d, "en", None, 0), (None, d, None, "en", 0)]
+    for order in (rows, rows[::-1]):
+        kept = [(x.doc_id, x.text) for x in simhash.unique(spark.createDataFrame(order, DOCS)).collect()]
+        assert sorted(kept, key=str) == sorted([(1, a + " more"), (5, b), (None, c), (None, d)], key=str)
+
+
 # 9 pages
 
 
