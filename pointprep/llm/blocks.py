@@ -66,17 +66,18 @@ def roots(link: np.ndarray) -> np.ndarray:
     return root
 
 
-def linked(rows: DataFrame, columns: list[str], link: Callable[[pa.Table], np.ndarray], weight: str | None = None) -> DataFrame:
+def linked(rows: DataFrame, columns: list[str], link: Callable[[pa.Table], np.ndarray], weight: str | None = None, bucket: bool = False) -> DataFrame:
     """(id, links, root) for rows of ``dealt``: links and one edge of each row in each group.
 
     ``link`` gives the boolean matrix of links among the rows of one group; within a group of two
     blocks only links between the blocks count. ``weight`` is a column with the number of copies
-    that a row stands for.
+    that a row stands for; ``bucket`` adds the bucket to the result.
     """
     keys = ["bucket", "lo", "hi"]
+    names = ["id", "links", "root", *["bucket"][: int(bucket)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[list[np.ndarray]] = [[], [], []]
+        out: list[list[np.ndarray]] = [[] for _ in names]
         held = 0
         for group in groups(batches, keys):
             if group.num_rows < 2:
@@ -93,14 +94,14 @@ def linked(rows: DataFrame, columns: list[str], link: Callable[[pa.Table], np.nd
                 continue
             ids = group.column("id").to_numpy()
             count = m @ group.column(weight).to_numpy() if weight else m.sum(1)
-            for x, v in zip(out, (ids[some], count[some], ids[roots(m)][some]), strict=True):
+            for x, v in zip(out, (ids[some], count[some], ids[roots(m)][some], group.column("bucket").to_numpy()[some])[: len(names)], strict=True):
                 x.append(v.astype(np.int64))
             held += int(some.sum())
             if held > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["id", "links", "root"])
-                out, held = [[], [], []], 0
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names)
+                out, held = [[] for _ in names], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["id", "links", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names)
 
     sent = rows.select(*keys, "own", "id", *columns)
-    return sent.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "id long, links long, root long")
+    return sent.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, ", ".join(f"{x} long" for x in names))

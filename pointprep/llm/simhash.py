@@ -156,6 +156,59 @@ def bits_for(similarity: float, margin: float = 2.2) -> int:
     return int(WIDE * p + margin * (WIDE * p * (1 - p)) ** 0.5)
 
 
+#: Sets of at least this many shingles are compared by wide fingerprint before their exact similarity; margin of that filter.
+MANY, LOOSE = 64, 5.0
+#: Columns of the incidence matrix held at a time, and rows of a block when sets are compared.
+COLUMNS, SETS = 4096, 512
+
+
+def distinct_hashes(text: str | None, shingle: int) -> np.ndarray:
+    from xxhash import xxh64_intdigest
+
+    return np.unique(shingle_hashes(text, shingle, xxh64_intdigest))
+
+
+def candidates(wide: list[bytes], sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Pairs that may reach ``similarity``: sizes allow it, and fingerprints of large sets are not far apart."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    same = (1 - p) ** 8
+    least = max(1, int(WIDE // 8 * same - LOOSE * (WIDE // 8 * same * (1 - same)) ** 0.5))
+    most = bits_for(similarity, LOOSE)
+    raw = np.frombuffer(b"".join(wide), np.uint8).reshape(len(wide), WIDE // 8)
+    words = raw.view(np.uint64)
+    out = np.zeros((len(wide), len(wide)), bool)
+    for i in range(len(wide)):
+        small, large = np.minimum(sizes, sizes[i]), np.maximum(sizes, sizes[i])
+        fit = small >= similarity * large - 1e-9
+        test = fit & (small >= MANY)
+        near = test.copy()
+        near[test] = (raw[test] == raw[i]).sum(1) >= least
+        near[near] = np.bitwise_count(words[near] ^ words[i]).sum(1) <= most
+        out[i] = near | fit & ~test
+    return out
+
+
+def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Pairs of sets whose Jaccard similarity reaches ``similarity``, by the exact sizes of their intersections."""
+    sizes = np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(len(sets)), sizes)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # Only hashes of several sets count in intersections.
+    place = np.cumsum(times > 1) - 1
+    held = times[column] > 1
+    row, column = row[held], place[column[held]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(sets), len(sets)))
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (at, at + COLUMNS))
+        m = np.zeros((len(sets), COLUMNS), np.float32)
+        m[row[a:b], column[a:b] - at] = 1
+        both += m @ m.T
+    np.fill_diagonal(both, sizes)
+    return both >= similarity * (sizes[:, None] + sizes[None, :] - both) - 1e-9
+
+
 def row_key(docs: DataFrame) -> Column:
     """Hash of all columns and of which are null: rows with equal keys are copies of one row."""
     cols = [F.col(f"`{c}`") for c in docs.columns]
@@ -168,51 +221,58 @@ def grouped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
     ``key`` is the ``row_key``; ``root`` tells the groups apart, which ``component_id``, the smallest doc_id,
     does not where rows of several groups share a doc_id or have none.
 
-    Documents of Jaccard similarity 0.8 differ in 5 to 14 of 64 SimHash bits, too many for any byte to
+    Two documents are linked if the Jaccard similarity of their shingle sets reaches ``similarity``.
+    Those of similarity 0.8 differ in 5 to 14 of 64 SimHash bits, too many for any byte to
     be sure to agree. So each document has a wide fingerprint, and ``TABLES`` positional keys that are
     SimHashes of shingles sampled by minimum order; equal keys collide with probability similarity**SAMPLE
-    each. Inside a list, pairs are tallied by shared bytes of the wide fingerprints, those below the
-    minimum are dropped, and the rest verified by Hamming distance. Lists of any size are paired in
-    blocks; equal fingerprints are one node. Documents without a word link with each other only.
+    each. Inside a list, pairs are candidates by the sizes of their sets and, for large sets, by shared
+    bytes and Hamming distance of the wide fingerprints with a wide margin. The sets of rows with a
+    candidate are then compared exactly. Lists of any size are paired in blocks; equal fingerprints of
+    equally many shingles are one node. Documents without a word link with each other only.
     """
-    most = bits_for(similarity)
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    same = (1 - p) ** 8
-    least = max(1, int(WIDE // 8 * same - 3.5 * (WIDE // 8 * same * (1 - same)) ** 0.5))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
         for batch in batches:
-            wide, keys = [], []
-            for x in batch.column(2):
-                h = np.unique(shingle_hashes(x.as_py(), shingle, xxh64_intdigest))
+            wide, keys, sizes = [], [], []
+            for x in batch.column(3):
+                h = distinct_hashes(x.as_py(), shingle)
                 wide.append(wide_bits(h))
                 keys.append(np.array(sampled(h) if len(h) else [], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(wide, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["key", "doc_id", "wide", "keys"])
+                sizes.append(len(h))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(wide, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["key", "doc_id", "h", "wide", "shingles", "keys"])
 
-    sent = docs.select(row_key(docs).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = cut(sent.mapInArrow(run, "key long, doc_id long, wide binary, keys array<long>"))
-    nodes = cut(rows.groupBy("wide").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")).withColumn("id", F.xxhash64("wide")))
+    text = F.col("text").cast("string")
+    sent = docs.select(row_key(docs).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    rows = cut(sent.mapInArrow(run, "key long, doc_id long, h long, wide binary, shingles int, keys array<long>").withColumn("id", F.xxhash64("wide", "shingles")))
+    nodes = cut(rows.groupBy("id").agg(F.min("doc_id").alias("least"), F.min(F.struct("h", "wide", "shingles", "keys")).alias("x")).select("id", "least", "x.*"))
     postings = nodes.select("id", F.explode("keys").alias("bucket"))
-    met = crowded(postings).join(nodes.select("id", "wide"), "id")
+    met = crowded(postings).join(nodes.select("id", "wide", "shingles"), "id")
+
+    def near(group: pa.Table) -> np.ndarray:
+        return candidates(group.column("wide").to_pylist(), group.column("shingles").to_numpy(), similarity)
 
     def link(group: pa.Table) -> np.ndarray:
-        raw = np.frombuffer(b"".join(group.column("wide").to_pylist()), np.uint8).reshape(group.num_rows, WIDE // 8)
-        words = raw.view(np.uint64)
-        n = len(raw)
-        out = np.zeros((n, n), bool)
-        for i in range(n):
-            enough = (raw == raw[i]).sum(1) >= least
-            enough[enough] = np.bitwise_count(words[enough] ^ words[i]).sum(1) <= most
-            out[i] = enough
-        return out
-
-    found = linked(dealt(met), ["wide"], link)
+        return alike([np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()], similarity)
+
+    # Lists with the same members give the same pairs: one of them is enough.
+    open_ = cut(linked(dealt(met), ["wide", "shingles"], near, bucket=True).select("bucket", "id").distinct())
+    lists = open_.groupBy("bucket").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"))
+    once = lists.groupBy("size", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
+    owners = nodes.join(open_.select("id").distinct(), "id", "left_semi").select("id", "h")
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [distinct_hashes(x.as_py(), shingle).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
+
+    # Copies of a text become one where they are read, so no hash is hot in the join.
+    texts = docs.select(F.xxhash64(text).alias("h"), text.alias("text")).groupBy("h").agg(F.first("text").alias("text"))
+    sets = texts.join(owners, "h").select("id", "text").mapInArrow(gather, "id long, set binary")
+    found = linked(dealt(open_.join(once, "bucket").join(sets, "id"), SETS), ["set"], link)
     groups = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    roots = nodes.join(groups.withColumnRenamed("node", "id"), "id", "left").select("wide", "least", F.coalesce("component", "id").alias("root"))
+    roots = nodes.join(groups.withColumnRenamed("node", "id"), "id", "left").select("id", "least", F.coalesce("component", "id").alias("root"))
     names = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.select("key", "doc_id", "wide").join(roots.join(names, "root").select("wide", "root", "component_id"), "wide")
+    return rows.select("key", "doc_id", "wide", "id").join(roots.join(names, "root").select("id", "root", "component_id"), "id").drop("id")
 
 
 def resembling(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

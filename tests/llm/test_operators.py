@@ -430,6 +430,22 @@ def test_unique_keeps_one_row_of_each_group(spark):
         assert sorted(kept, key=str) == sorted([(1, a + " more"), (5, b), (None, c), (None, d)], key=str)
 
 
+def test_resembling_is_exact_similarity(spark):
+    rng = np.random.default_rng(4)
+    texts = []
+    for _ in range(12):  # versions of 60 to 400 words, some shares of them changed
+        words = [f"v{x}" for x in rng.integers(0, 10**6, int(rng.integers(60, 400)))]
+        texts += [" ".join(words), *(" ".join(w if rng.random() > share else f"c{rng.integers(10**6)}" for w in words) for share in (0.01, 0.02, 0.03, 0.035, 0.04, 0.05, 0.06))]
+    for _ in range(30):  # four shingles against five: exactly 0.8
+        words = [f"s{x}" for x in rng.integers(0, 10**6, 9)]
+        texts += [" ".join(words[:8]), " ".join(words)]
+    sets = [np.unique(simhash.shingle_hashes(t, 5, xxhash.xxh64_intdigest)) for t in texts]
+    like = lambda i, j: len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))
+    r = got(simhash.resembling(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)))
+    assert [r[i].component_id for i in range(len(texts))] == brute_groups(len(texts), like)
+    assert (simhash.alike(sets, 0.8) == [[like(i, j) for j in range(len(sets))] for i in range(len(sets))]).all()
+
+
 # 9 pages
 
 
