@@ -1,8 +1,9 @@
 """Licence scan in Spark SQL alone: Dice coefficient of word bigrams against licence templates.
 
 Texts and templates are normalised to lower-case words. A passage (one or more consecutive
-sentences of a line, a line, a block between blank lines, the text) matches a template if the Dice
-coefficient of their sets of word bigrams reaches ``threshold``. Two bounds prune without loss:
+sentences of a line or of a block, a line, a block between blank lines, the text) matches a template if the Dice
+coefficient of their sets of word bigrams reaches ``threshold``. Sentences of a block run over its
+line breaks and the marks at line starts; lines without a letter or digit are blank. Two bounds prune without loss:
 
 * Size. dice(A, B) >= t needs t/(2-t) |B| <= |A| <= (2-t)/t |B|; passages of other sizes meet no template.
 * Shared words. Such a passage holds over t/(2-t) of a template's bigrams. Anchors are words of a
@@ -50,6 +51,8 @@ TEMPLATES = {
 }
 THRESHOLD = 0.8
 SENTENCE = r"(?<=[.!?:])[ \t]+"
+#: Marks of comments and quotations, and blanks, at the start of a line; all of a line without a letter or digit.
+MARGIN = r"(?md)^[^\p{L}\p{N}\n]+"
 
 
 def words(text: str) -> list[str]:
@@ -106,7 +109,9 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     some = lambda array: F.filter(array, lambda x: x.rlike(anchor))
     runs = lambda s: F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.size(s), F.lit(longest))), lambda w: F.transform(F.sequence(F.lit(1), F.size(s) - w + 1), lambda at: F.array_join(F.slice(s, at, w), " "))))
     windows = lambda lines: F.flatten(F.transform(lines, lambda x: let(F.split(x, SENTENCE), runs)))
-    parts = let(some(F.split(text, r"\n")), lambda lines: F.concat(F.array(text), F.split(text, r"\n\s*\n"), lines, some(windows(lines))))
+    wrapped = F.filter(F.split(F.regexp_replace(text, MARGIN, ""), r"\n{2,}"), lambda x: x.contains("\n") & x.rlike(anchor))
+    blocks = F.transform(wrapped, lambda x: F.regexp_replace(x, r"[ \t\r]*\n", " "))
+    parts = let(some(F.split(text, r"\n")), lambda lines: F.concat(F.array(text), F.split(text, r"\n\s*\n"), lines, some(windows(lines)), blocks, some(windows(blocks))))
     passages = docs.where(text.rlike(anchor)).select("doc_id", F.explode(F.array_distinct(some(parts))).alias("passage"))
     grams = passages.select("doc_id", "passage", bigrams_of(F.col("passage"), low, high).alias("grams")).where("grams is not null")
     each = grams.select("doc_id", "passage", F.size("grams").alias("n"), F.explode("grams").alias("gram"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 import zlib
 
 import duckdb
@@ -348,6 +349,23 @@ def test_licenses(spark, odd, none, small):
     assert licenses.report(odd).count() == len(ROWS) and licenses.report(none).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    mit, gpl, bsd = licenses.TEMPLATES["MIT"][2], licenses.TEMPLATES["GPL-3.0"][1], licenses.TEMPLATES["BSD-3-Clause"][0]
+    mit += " The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+    mit += ' THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'
+    gpl += " This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+    before, after = "The wind turned over the harbour and the boats came home. ", " Nobody on the quay had expected them before the evening, and most had gone home by then."
+    rows, want = [], []
+    for name, notice in (("MIT", mit), ("GPL-3.0", gpl), ("BSD-3-Clause", bsd)):
+        for mark, end in (("", "\n"), (" * ", "\n"), ("# ", "\n"), ("// ", "\r\n"), ("> ", "\n")):
+            lines = textwrap.wrap(before + notice + after, 60)
+            rows.append((len(rows), end.join([mark + x for x in lines])))
+            rows.append((len(rows), end.join([mark + x for x in [*textwrap.wrap(before * 3, 60), "", *lines, "", *textwrap.wrap(after * 2, 60)]])))
+            want += [name, name]
+    r = got(licenses.report(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [r[i].license for i in range(len(rows))] == want
+
+
 # 8 SimHash
 
 
