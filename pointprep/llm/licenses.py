@@ -91,11 +91,11 @@ def bigrams_of(text: Column, low: int, high: int) -> Column:
     return let(normalised(text), lambda w: F.when(F.size(w) >= 2, let(pairs(w), lambda g: F.when(F.size(g).between(low, high), g))))
 
 
-def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, license, template, dice, passages, matched) for each row and licence found.
+def scan(docs: DataFrame, threshold: float = THRESHOLD, by: str = "doc_id") -> DataFrame:
+    """(``by``, license, template, dice, passages, matched) for each row and licence found.
 
     ``dice`` is the best over the passages, ``passages`` how many match, ``matched`` the first of the best
-    in code-point order. Rows without text or licence give none. Rows that share a doc_id are taken together.
+    in code-point order. Rows without text or licence give none. Rows that share a value of ``by`` are taken together.
     """
     spark = docs.sparkSession
     rows = template_rows(threshold)
@@ -112,22 +112,24 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     wrapped = F.filter(F.split(F.regexp_replace(text, MARGIN, ""), r"\n{2,}"), lambda x: x.contains("\n") & x.rlike(anchor))
     blocks = F.transform(wrapped, lambda x: F.regexp_replace(x, r"[ \t\r]*\n", " "))
     parts = let(some(F.split(text, r"\n")), lambda lines: F.concat(F.array(text), F.split(text, r"\n\s*\n"), lines, some(windows(lines)), blocks, some(windows(blocks))))
-    passages = docs.where(text.rlike(anchor)).select("doc_id", F.explode(F.array_distinct(some(parts))).alias("passage"))
-    grams = passages.select("doc_id", "passage", bigrams_of(F.col("passage"), low, high).alias("grams")).where("grams is not null")
-    each = grams.select("doc_id", "passage", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    passages = docs.where(text.rlike(anchor)).select(by, F.explode(F.array_distinct(some(parts))).alias("passage"))
+    grams = passages.select(by, "passage", bigrams_of(F.col("passage"), low, high).alias("grams")).where("grams is not null")
+    each = grams.select(by, "passage", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
     templates = spark.createDataFrame([(i, name, n, g) for i, name, n, gs in rows for g in gs], "template int, license string, size int, gram string")
     # The templates are a fixed list: broadcasting it is bounded.
     near = each.join(F.broadcast(templates), "gram").where(F.col("n").between(F.col("size") * least - 1e-9, F.col("size") * most + 1e-9))
-    shared = near.groupBy("doc_id", "license", "template", "size", "passage", "n").agg(F.count_distinct("gram").alias("both"))
-    hits = shared.select("doc_id", "license", "template", "passage", (2.0 * F.col("both") / (F.col("n") + F.col("size"))).alias("dice")).where(F.col("dice") >= threshold)
-    best = hits.groupBy("doc_id", "license").agg(F.min(F.struct(-F.col("dice"), "template", "passage")).alias("b"), F.count_distinct("passage").alias("passages"))
-    return best.select("doc_id", "license", F.col("b.template").alias("template"), (-F.col("b.col1")).alias("dice"), "passages", F.col("b.passage").alias("matched"))
+    shared = near.groupBy(by, "license", "template", "size", "passage", "n").agg(F.count_distinct("gram").alias("both"))
+    hits = shared.select(by, "license", "template", "passage", (2.0 * F.col("both") / (F.col("n") + F.col("size"))).alias("dice")).where(F.col("dice") >= threshold)
+    best = hits.groupBy(by, "license").agg(F.min(F.struct(-F.col("dice"), "template", "passage")).alias("b"), F.count_distinct("passage").alias("passages"))
+    return best.select(by, "license", F.col("b.template").alias("template"), (-F.col("b.col1")).alias("dice"), "passages", F.col("b.passage").alias("matched"))
 
 
 def report(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, n_licenses, license, dice, licenses) of every row: the best licence (null if none), its Dice, all names by code point."""
-    found = scan(docs, threshold).groupBy(F.col("doc_id").alias("found_id")).agg(
+    # Rows find their hits by id and text, so rows without an id, or that share one, have their own.
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("row_key", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text"))
+    found = scan(rows, threshold, "row_key").groupBy(F.col("row_key").alias("found_key")).agg(
         F.count("*").alias("n"), F.min(F.struct(-F.col("dice"), "license")).alias("b"), F.array_join(F.sort_array(F.collect_set("license")), ",").alias("all")
     )
-    out = docs.select("doc_id").join(found, F.col("doc_id") == F.col("found_id"), "left")
+    out = rows.select("doc_id", "row_key").join(found, F.col("row_key") == F.col("found_key"), "left")
     return out.select("doc_id", F.coalesce("n", F.lit(0)).alias("n_licenses"), F.col("b.license").alias("license"), F.round(-F.col("b.col1"), 6).alias("dice"), F.coalesce("all", F.lit("")).alias("licenses"))

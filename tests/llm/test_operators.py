@@ -366,6 +366,13 @@ def test_wrapped_licenses(spark):
     assert [r[i].license for i in range(len(rows))] == want
 
 
+def test_licenses_of_rows_without_an_own_id(spark):
+    rows = [(None, "Licensed under CC BY 4.0."), (None, "Released under the MIT License."), (None, "no licence"), (None, None), (1, "All rights reserved."), (1, "plain prose")]
+    r = licenses.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, 1, "CC-BY-4.0"), (None, 1, "MIT"), (None, 0, None), (None, 0, None), (1, 1, "Proprietary"), (1, 0, None)]
+    assert sorted(((x.doc_id, x.n_licenses, x.license) for x in r), key=str) == sorted(want, key=str)
+
+
 # 8 SimHash
 
 
