@@ -24,7 +24,14 @@ from .common import cut, partitions
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 #: Elements whose content is no text, elements that are dropped, blocks, prose blocks.
-RAW = frozenset("script style noscript template iframe svg math textarea title head object video audio canvas".split())
+RAW = frozenset("script style noscript template iframe svg textarea title head object video audio canvas".split())
+#: Of these, those that run to the end of the page if their end tag is missing; of others only the tag is skipped then.
+UNENDED = frozenset("script style textarea title".split())
+#: End tags in any case of their ASCII letters, and the start tag that ends a head without one.
+ENDS = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I | re.A) for t in RAW}
+BODY = re.compile(r"<body(?=[\s/>]|\Z)", re.I | re.A)
+#: A slash that belongs to an unquoted value does not close its tag.
+VALUE = re.compile(r"=\s*[^\s\"'=<>`]+/\Z")
 DROPPED = frozenset("nav footer aside form menu dialog button select fieldset label".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -66,7 +73,7 @@ def lines_of(html: str) -> list[Line]:
     # Open elements: (tag, dropped, article number or 0, holder, prose).
     stack: list[tuple[str, bool, int, bool, bool]] = []
     articles, at, n = 0, 0, len(html)
-    lower = None
+    unended: set[str] = set()
 
     def flush() -> None:
         text = " ".join(unescape("".join(buffer)).split())
@@ -93,11 +100,15 @@ def lines_of(html: str) -> list[Line]:
                         break
             continue
         if tag in RAW:
-            lower = html.lower() if lower is None else lower
-            end = lower.find(f"</{tag}", at)
-            if tag == "head" and end < 0:
-                end = lower.find("<body", at)
-            at = n if end < 0 else end
+            if tag == "svg" and m[3].endswith("/") and not VALUE.search(m[3]) or tag in unended:
+                continue
+            end = ENDS[tag].search(html, at) or (BODY.search(html, at) if tag == "head" else None)
+            if end:
+                at = end.start()
+            elif tag in UNENDED:
+                at = n
+            else:
+                unended.add(tag)
             continue
         if tag not in BLOCKS:
             if tag == "br" or tag == "img":

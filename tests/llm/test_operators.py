@@ -486,6 +486,19 @@ def test_pages(spark, none):
     assert html_diff.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_pages_keep_the_text_after_elements():
+    page = lambda x: html_diff.render(f"<article><p>{x}</p></article>", None)
+    assert page("\u0130" * 12 + "<script>var a = 1</script> the article goes on") == "\u0130" * 12 + " the article goes on"
+    assert page("a<SCRIPT>x</Script >b<style>y</style\n>c") == "abc"
+    assert page("a<svg width='1'/>b<svg/>c<svg><path d='z'/>no</svg>d") == "abcd"
+    assert page("a<svg data-x=y/>no</svg>b") == "ab"
+    assert page("one<iframe src=x> two <canvas>three<canvas>four") == "one two threefour"
+    assert page("kept<script>never ended") == "kept" and page("kept<textarea>never ended") == "kept"
+    assert page("so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds, <math/>as said") == "so x=2 holds, as said"
+    assert html_diff.render("<head><title>t</title><body><header>h</header><article><p>text</p></article>", None) == "text"
+    assert html_diff.render("<head><script>s = '<body>no'</script></head><body><p>text</p>", None) == "text"
+
+
 def test_pages_lose_the_sites_template(spark):
     page = "<body><div>Site name</div><div>Story {0} begins</div><p>Body {0}.</p><div>All rights kept</div></body>"
     rows = [(i, f"http://h.example/a/{i:03d}", page.format(i)) for i in range(60)] + [(99, "http://h.example/a/005?x", page.format(5))]
