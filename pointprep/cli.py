@@ -6,7 +6,7 @@ import argparse
 import sys
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointprep.operators import match, merge, profile, split, vocab
@@ -37,12 +37,28 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def print_unmatched(rows: DataFrame, name: str, k: int = 20) -> None:
+    """The first ``k`` distinct names of unmatched ``rows`` in order and how many more there are."""
+    names = rows.where(F.col(name).isNotNull()).select(name).distinct()
+    n = names.count()
+    if n:
+        print(f"unmatched: {n} names")
+    for (x,) in names.orderBy(name).limit(k).collect():
+        print(f"  - {x}")
+    if n > k:
+        print(f"  ... and {n - k} more")
+
+
 def run(spark: SparkSession, a: argparse.Namespace) -> None:
     keyed = lambda df: df.withColumn("key", F.xxhash64(*df.columns)) if "key" not in df.columns else df
     if a.command == "clean":
         tables.write_csv(profile.clean_strings(tables.read_csv(spark, a.input, na=False)), a.output)
     elif a.command == "tags":
-        profile.label_distribution(tables.read_csv(spark, a.input), "target").show(1000, truncate=False)
+        labels, total = 0, 0
+        for label, n in profile.label_distribution(tables.read_csv(spark, a.input), "target").toLocalIterator():
+            print(f"{label}: {n}")
+            labels, total = labels + 1, total + n
+        print(f"total: {labels} targets, {total} rows")
     elif a.command == "split":
         both = split.two_way(keyed(tables.read_csv(spark, a.input)), "target", "key", a.test_size, a.seed)
         for name, path in (("train", a.train_output), ("test", a.valid_output)):
@@ -63,7 +79,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
             tables.write_jsonl(merge.shuffled(out.where(F.col("split") == name), "key", a.seed), f"{a.output}/{name}.jsonl")
     else:
         files = profiles.scan(spark, a.profiles_dir)
-        for path, error in profiles.errors(files).limit(100).collect():
+        for path, error in profiles.errors(files).toLocalIterator():
             print(f"warning: {path}: {error}", file=sys.stderr)
         points = profiles.points(files, a.profiles_dir)
         order = ["file_rank", "path", "pos"]
@@ -71,6 +87,8 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
             labels = tables.read_mapping(spark, a.label_mapping) if a.label_mapping else None
             found = ingest.extract(points, labels, a.min_confidence)
             tables.write_extract(found, a.output)
+            if labels is not None:
+                print_unmatched(found.where("target = ''"), "text")
             if a.jsonl and labels is not None:
                 tables.write_jsonl(ingest.extract_records(found, labels, a.min_confidence), a.output.removesuffix(".csv") + ".jsonl")
             return
@@ -82,6 +100,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         if a.command == "analyze":
             profile.match_summary(matched).show(truncate=False)
             profile.top_labels(matched.withColumn("at", F.struct(*order)), "label", "at").show(truncate=False)
+            print_unmatched(matched.where("label is null"), "clean_name")
         else:
             tables.write_csv(profile.unmatched_report(matched.withColumn("at", F.struct(*order)), order="at"), a.output, one_file=True)
 

@@ -165,6 +165,27 @@ def test_csv_flow(spark, tmp_path):
     assert cli.main(["tags", str(tmp_path / "missing.csv")]) == 1
 
 
+def test_command_line_prints_all(spark, tmp_path, capsys):
+    src = tmp_path / "train.csv"
+    src.write_text("text,target\n" + "".join(f"pt {i},label{i % 1200:04d}\n" for i in range(1500)))
+    cli.run(spark, cli.parser().parse_args(["tags", str(src)]))
+    out = capsys.readouterr().out.splitlines()
+    assert out[:1] + out[-2:] == ["label0000: 2", "label1199: 1", "total: 1200 targets, 1500 rows"] and len(out) == 1201
+    found = tmp_path / "profiles"
+    found.mkdir()
+    for i in range(105):
+        (found / f"bad{i}.yml").write_text("deviceResources: null\n")
+    (found / "good.yml").write_text("deviceResources:\n" + "".join(f"  - name: qqq{i:02d}\n" for i in range(25)))
+    mapping = tmp_path / "mapping.json"
+    mapping.write_text(json.dumps({"label2id": {"zoneTempSp": 0}, "id2label": {"0": "zoneTempSp"}, "num_labels": 1}, indent=1))
+    for command, more in (("analyze", []), ("extract", ["-o", str(tmp_path / "out")])):
+        cli.run(spark, cli.parser().parse_args([command, "-p", str(found), "-l", str(mapping), *more]))
+        said = capsys.readouterr()
+        assert said.err.count("warning: ") == 105
+        names = [x for x in said.out.splitlines() if x.startswith("  ")]
+        assert "unmatched: 25 names" in said.out and names == [f"  - qqq{i:02d}" for i in range(20)] + ["  ... and 5 more"]
+
+
 def test_model(spark):
     rows = spark.createDataFrame([("alpha beta", 0), ("omega psi", 1), ("alpha", 0), ("omega", 1)], "text string, label_id int")
     out = metrics.predictions(ml.logits(ml.fit(rows), rows), spark.createDataFrame([("a", 0), ("b", 1)], "label string, label_id int"))
