@@ -37,6 +37,11 @@ def words_of(text: str) -> list[str]:
     return [w for w in WORD.findall(text) if w.isascii() or any(map(str.isalpha, w))]
 
 
+def places_of(text: str) -> list[tuple[int, int]]:
+    """(start, end) in code points of each of ``words_of``."""
+    return [m.span() for m in WORD.finditer(text) if m[0].isascii() or any(map(str.isalpha, m[0]))]
+
+
 def feature_bins(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Hashed features as groups of (bin, index of the word): n-grams of two and three, affixes of one to three, the word.
 
@@ -262,6 +267,20 @@ def identify(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     nothing can be learned. n_switched counts words labelled with another language. Rows with a null
     doc_id are predicted and not held out.
     """
+    return labelled(docs, max_rows, False)
+
+
+def language_spans(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """(doc_id, spans) of every row: runs of words of one language by the posteriors that ``identify`` sums.
+
+    A span is (start, end, lang, score): code points from its first word to the end of its last, and the mean
+    posterior of its words. Every word is in one span; texts without a word have none, as do all if nothing can be learned.
+    """
+    return labelled(docs, max_rows, True).select("doc_id", "spans")
+
+
+def labelled(docs: DataFrame, max_rows: int, spans: bool) -> DataFrame:
+    """The columns of ``identify``, and ``spans`` if wanted, from one pass."""
     names, weights, trans = learned(docs, max_rows)
     model = docs.sparkSession.sparkContext.broadcast((names, weights.astype(np.float32), trans))
 
@@ -271,10 +290,11 @@ def identify(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
         place: dict[str, int] = {}
         table = np.empty((CACHE + 65536, k))
 
-        def part(ids: pa.Array, held: pa.Array, texts: list[list[str]]) -> pa.RecordBatch:
+        def part(ids: pa.Array, held: pa.Array, texts: list[list[str]], places: list[list[tuple[int, int]]]) -> pa.RecordBatch:
             sizes = np.array([len(t) for t in texts])
             best, score = np.full(len(texts), -1), np.zeros(len(texts))
             switched = np.zeros(len(texts), np.int64)
+            runs: list[list[dict]] = [[] for _ in texts]
             some = np.nonzero(sizes)[0]
             if len(some) and k:
                 if len(place) > CACHE:
@@ -296,8 +316,18 @@ def identify(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
                 best[some] = np.round(sums, 9).argmax(1)
                 score[some] = np.clip(sums.max(1) / sizes[some], 0, 1)
                 switched[some] = np.add.reduceat((p.argmax(1) != np.repeat(best[some], sizes[some])).astype(np.int64), starts)
+                if spans:
+                    own = p.argmax(1)
+                    for t, at in zip(some.tolist(), starts.tolist(), strict=True):
+                        q = own[at : at + sizes[t]]
+                        edges = [0, *(np.nonzero(q[1:] != q[:-1])[0] + 1).tolist(), len(q)]
+                        for a, b in zip(edges, edges[1:], strict=False):
+                            runs[t].append({"start": places[t][a][0], "end": places[t][b - 1][1], "lang": names[q[a]], "score": float(np.clip(p[at + a : at + b, q[a]].mean(), 0, 1))})
             label = pa.array([names[b] if b >= 0 else "und" for b in best.tolist()])
-            return pa.RecordBatch.from_arrays([ids, held, label, pa.array(score), pa.array(sizes.astype(np.int64)), pa.array(switched)], ["doc_id", "held_out", "lang_pred", "score", "n_words", "n_switched"])
+            out = {"doc_id": ids, "held_out": held, "lang_pred": label, "score": pa.array(score), "n_words": pa.array(sizes.astype(np.int64)), "n_switched": pa.array(switched)}
+            if spans:
+                out["spans"] = pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string()), ("score", pa.float64())])))
+            return pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
         for batch in batches:
             at = 0
@@ -307,8 +337,8 @@ def identify(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
                     texts.append(words_of(batch.column(2)[at + len(texts)].as_py() or ""))
                     held += len(texts[-1])
                 cut = batch.slice(at, len(texts))
-                yield part(cut.column(0), cut.column(1), texts)
+                yield part(cut.column(0), cut.column(1), texts, [places_of(x or "") for x in cut.column(2).to_pylist()] if spans else [])
                 at += len(texts)
 
     kept = docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.col("text").cast("string"))
-    return kept.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double, n_words long, n_switched long")
+    return kept.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double, n_words long, n_switched long" + (", spans array<struct<start:long,end:long,lang:string,score:double>>" if spans else ""))

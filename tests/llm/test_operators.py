@@ -316,6 +316,20 @@ def test_code_switched_words():
     assert [names[k] for k in p.argmax(1)] == ["a"] * 10 + ["b"] * 10
 
 
+def test_language_spans(spark):
+    rng = np.random.default_rng(2)
+    make = lambda parts, n: " ".join("".join(rng.choice(parts, 3)) for _ in range(n))
+    aa, bb = ["ka", "lo", "mi"], ["sch", "ung", "eit"]
+    a, b = make(aa, 10), make(bb, 12)
+    rows = [(4 * i + k, make(x, 60), n, "s", 0) for i in range(40) for k, (n, x) in enumerate((("a", aa), ("b", bb)))]
+    d = spark.createDataFrame([*rows, (-1, f"¡{a}. 12 {b}!", None, "s", 0), (-2, "12", None, "s", 0), (-3, None, None, "s", 0), (None, b, None, "s", 0)], DOCS)
+    r = got(langid.language_spans(d))
+    assert [tuple(x)[:3] for x in r[-1].spans] == [(1, 1 + len(a), "a"), (len(a) + 6, len(a) + 6 + len(b), "b")]
+    assert all(0.5 < x.score <= 1 for x in r[-1].spans) and r[-2].spans == r[-3].spans == [] and [x.lang for x in r[None].spans] == ["b"]
+    o = got(langid.identify(d))
+    assert len(r) == len(o) == len(rows) + 4 and (o[-1].lang_pred, o[-1].n_words, o[-1].n_switched) == ("b", 22, 10)
+
+
 # 7 licences
 
 
