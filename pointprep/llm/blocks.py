@@ -15,13 +15,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 256
+from .common import spread
 
+BLOCK = 1024
 
-def crowded(rows: DataFrame) -> DataFrame:
-    """Rows (bucket, id, ...) of buckets with two rows or more, with the bucket's ``size``."""
+
+def crowded(rows: DataFrame, total: int) -> DataFrame:
+    """Of ``total`` rows (bucket, id, ...) those of buckets with two rows or more, with the bucket's ``size``."""
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    return rows.join(sizes, "bucket")
+    return spread(rows, sizes.withColumn("w", F.col("size")), ["bucket"], "w", total)
+
+
+def alone(rows: DataFrame) -> DataFrame:
+    """Rows (bucket, id, ...) of one bucket, the smallest, of those with the same members, with its ``size``."""
+    members = lambda seed: F.sum(F.xxhash64(F.lit(seed), "id").cast("decimal(38,0)"))
+    lists = rows.groupBy("bucket").agg(F.count("*").alias("size"), members(1).alias("x"), members(2).alias("y"))
+    once = lists.groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket"))
+    return spread(rows, once.select("bucket", "size", F.col("size").alias("w")), ["bucket"], "w", rows.count())
 
 
 def dealt(rows: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -67,7 +67,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, recall: float =
     width = (bits + 7) // 8
     at = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.xxhash64("place", t, F.substring("signs", t * width + 1, F.lit(width)))))
     postings = signed.select("id", at.alias("table", "bucket"))
-    met = crowded(postings).join(signed.select("id", "embedding", "copies", "signs"), "id")
+    met = crowded(postings, tables * signed.count()).join(signed.select("id", "embedding", "copies", "signs"), "id")
 
     def link(group: pa.Table) -> np.ndarray:
         v = np.array(group.column("embedding").to_pylist())

@@ -3,9 +3,9 @@
 Each source takes whole copies of all its documents as often as its target allows; what remains of
 the target is a budget for one more copy of some of them. Documents of a source are counted by exact
 length; every length first gets its proportional share of the budget, and bounded-knapsack dynamic
-programming over the counts that are left fits the rest, which is then bounded by the longest texts.
-Which documents of a length are taken follows a seeded hash, ranked in slices so that no source or
-length is ranked in one task.
+programming over the counts that are left fits the rest. Which documents of a length are taken
+follows a seeded hash: of each length there is one border, up to which documents are taken, so
+whole rows are decided where they are read.
 """
 
 from __future__ import annotations
@@ -15,14 +15,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, spread, text_key
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
-SLICES = 64
 SEED = 42
-#: Largest rest, in words, that dynamic programming fits; a larger rest first takes the longest texts that fit.
+#: Rows of a length in which its border is sought by ranking, about.
+SLICE = 1024
+#: Least width, in words, of the table of sums; it is twice the longest text where that is more.
 REACH = 1 << 16
 
 
@@ -54,95 +55,130 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 def subset_sum(items: list[tuple[int, int]], budget: int) -> dict[int, int]:
     """How many of each (length, count) to take so that the sum is as near below ``budget`` as can be.
 
-    Reachable sums are the bits of one integer; counts are split in powers of two. At most
-    ``budget`` bits and, since items of a length l beyond budget // l cannot help, few steps.
+    A table of the sums up to ``budget``, each with the step that first reached it; counts are split
+    in powers of two. Stops when ``budget`` itself is reached. Memory is five bytes a word of the budget.
     """
-    bits, mask, steps = 1, (1 << (budget + 1)) - 1, []
+    first = np.full(budget + 1, -1, np.int32)
+    first[0] = 0
+    steps: list[tuple[int, int]] = [(0, 0)]
     for length, count in items:
         if not 0 < length <= budget:
             continue
         left, k = min(count, budget // length), 1
-        while left and not bits >> budget & 1:
+        while left and first[budget] < 0:
             k_ = min(k, left)
-            steps.append((length, k_, bits))
-            bits |= (bits << (length * k_)) & mask
+            w = length * k_
+            if w > budget:
+                break
+            fresh = (first[: budget + 1 - w] >= 0) & (first[w:] < 0)
+            first[w:][fresh] = len(steps)
+            steps.append((length, k_))
             left, k = left - k_, k * 2
-    at, taken = bits.bit_length() - 1, {}
-    for length, k, before in reversed(steps):
-        if not before >> at & 1:
-            at -= length * k
-            taken[length] = taken.get(length, 0) + k
+        if first[budget] >= 0:
+            break
+    at, taken = int(np.nonzero(first >= 0)[0][-1]), {}
+    while at:  # the sum before a step was reached by an earlier one
+        length, k = steps[first[at]]
+        taken[length] = taken.get(length, 0) + k
+        at -= length * k
     return taken
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """Of each length how many to take, for a sum as near to ``budget`` as can be, from below."""
+    """Of each length how many to take, for a sum as near to ``budget`` as can be, from below.
+
+    After the proportional shares the longest texts are taken until the rest is within the table of
+    sums; the table is wider than any text, so the rest never falls short of it by that. What is missing
+    in the end is less than the shortest text that is not taken.
+    """
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
-    order = np.argsort(-lengths)
-    quota = np.floor(counts * (budget / total)).astype(np.int64)
+    order = np.argsort(-lengths, kind="stable")
+    quota = np.array([int(c) * budget // total for c in counts], np.int64)
     rest = budget - int((quota * lengths).sum())
+    table = max(REACH, 2 * int(lengths[counts > quota].max(initial=0)))
     for i in order:
-        n, more = int(lengths[i]), (rest - REACH // 2) // max(1, int(lengths[i]))
-        if n and more > 0:
-            add = min(more, int(counts[i] - quota[i]))
+        n = int(lengths[i])
+        if n and rest > table:
+            add = min(-(-(rest - table) // n), int(counts[i] - quota[i]))
             quota[i] += add
             rest -= add * n
     left = [(int(lengths[i]), int(counts[i] - quota[i])) for i in order if counts[i] > quota[i]]
-    # Greedy longest-first to within reach of the table of sums, short texts kept for it.
-    for length, k in subset_sum(left, min(rest, 2 * REACH)).items():
-        quota[np.nonzero(lengths == length)[0][0]] += k
+    place = {int(n): i for i, n in enumerate(lengths)}
+    for length, k in subset_sum(left, rest).items():
+        quota[place[length]] += k
     return quota
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, source_size, target, times) of every row; times is how often the mix takes it (0 to 2).
+def placed(docs: DataFrame, *columns: Column) -> DataFrame:
+    """``columns`` of every row with its source's ``key``, its ``size`` and, in ``o``, its place in the seeded order."""
+    text = F.col("text").cast("string")
+    place = F.struct(F.xxhash64(F.lit(SEED), "doc_id").alias("h"), F.col("doc_id").alias("i"), F.xxhash64(text).alias("t"))
+    return docs.select(*columns, text_key(F.col("source")).alias("key"), size_of(text).alias("size"), place.alias("o"))
 
-    Rows are ranked within a length by a seeded hash of doc_id, then doc_id; rows alike in all of
-    these are interchangeable. Null and blank texts have size 0 and are never taken; sources that are
-    null form one source.
-    """
-    base = docs.select(F.col("doc_id"), F.col("source"), size_of(F.col("text")).alias("size"))
-    base = cut(base.withColumn("h", F.xxhash64(F.lit(SEED), "doc_id")).withColumn("slice", F.pmod("h", F.lit(SLICES)).cast("int")))
-    sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = cut(targets(sizes))
 
-    counts = base.where("size > 0").groupBy("source", "size", "slice").agg(F.count("*").alias("n"))
-    counts = cut(counts)
+def plan(base: DataFrame) -> tuple[DataFrame, int, int]:
+    """What the mix takes of the rows (source, key, size, o): one row for each length of a source, their number, and the number of rows.
+
+    Columns: key, size, n (rows), base (copies of every row), quota (rows with one more), source_size, target,
+    border (the last place with one more), tied and tied_in (rows at the border, and those of them taken).
+    """
+    counts = cut(base.groupBy("source", "key", "size").agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    named = cut(targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))))
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         lengths, n = pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
         target, whole = float(pdf["target"].iloc[0]), int((lengths * n).sum())
         times = min(MOST, int(target // whole)) if whole else 0
         quota = fit(lengths, n, round(target) - times * whole) if times < MOST else np.zeros(len(n), np.int64)
-        return pd.DataFrame({"key": pdf["key"], "size": lengths, "base": times, "quota": quota})
+        return pd.DataFrame({"key": pdf["key"], "size": lengths, "n": n, "base": np.where(lengths > 0, times, 0), "quota": np.where(lengths > 0, quota, 0), "source_size": whole, "target": target})
 
     # One row for each length of a source: their number grows at most as the root of its words.
-    histogram = counts.groupBy("source", "size").agg(F.sum("n").alias("n"))
-    quotas = cut(
-        histogram.withColumn("key", key_of(F.col("source")))
-        .join(plan.select(key_of(F.col("source")).alias("key"), "target"), "key")
-        .select("key", "size", "n", "target")
-        .groupBy("key").applyInPandas(choose, "key string, size long, base int, quota long")
-    )
-    # Slices below the border are taken whole; rows of the border slice are ranked there.
+    schema = "key string, size long, n long, base int, quota long, source_size long, target double"
+    quotas = counts.select("key", "size", "n").join(named.select(text_key(F.col("source")).alias("key"), "target"), "key").groupBy("key").applyInPandas(choose, schema)
+    quotas = cut(quotas)
+    listed = quotas.count()
+
+    # Lengths of many rows are cut in slices of their seeded order; only the slice with the border is ranked.
+    part = quotas.where("quota > 0 and quota < n").select("key", "size", "n", "quota", F.ceil(F.col("n") / SLICE).alias("slices"), F.col("n").alias("w"))
+    unit = F.pmod(F.col("o.h"), F.lit(1 << 40)) / float(1 << 40)
+    sliced = cut(spread(base.select("key", "size", "o"), part, ["key", "size"], "w", total, listed=listed).withColumn("slice", F.floor(unit * F.col("slices")).cast("long")).select("key", "size", "o", "slice", "quota"))
+    each = sliced.groupBy("key", "size", "slice", "quota").agg(F.count("*").alias("n"))
     run = Window.partitionBy("key", "size").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = counts.select(key_of(F.col("source")).alias("key"), "size", "slice", "n").withColumn("before", F.coalesce(F.sum("n").over(run), F.lit(0)))
-    part = slices.join(quotas, ["key", "size"]).withColumn("room", F.col("quota") - F.col("before"))
-    rows = base.withColumn("key", key_of(F.col("source"))).join(part.select("key", "size", "slice", "base", "room", "n"), ["key", "size", "slice"], "left")
-    whole = rows.where("room is null or room <= 0 or room >= n").withColumn("extra", F.coalesce((F.col("room") > 0).cast("int"), F.lit(0)))
-    edge = rows.where("room > 0 and room < n")
-    rank = F.row_number().over(Window.partitionBy("key", "size", "slice").orderBy("h", "doc_id"))
-    edge = edge.withColumn("extra", (rank <= F.col("room")).cast("int"))
-    taken = whole.unionByName(edge)
-    named = plan.select(key_of(F.col("source")).alias("key"), "source_size", "target")
-    return taken.join(named, "key").select("doc_id", "source", "size", "source_size", "target", (F.coalesce("base", F.lit(0)) + F.col("extra")).alias("times"))
+    room = each.withColumn("room", F.col("quota") - F.coalesce(F.sum("n").over(run), F.lit(0))).where("room > 0 and room <= n").select("key", "size", F.col("slice").alias("edge"), "room", F.col("n").alias("w"))
+    ranked = spread(sliced.select("key", "size", "o", "slice"), room, ["key", "size"], "w", total, listed=listed).where("slice = edge")
+    places = ranked.groupBy("key", "size", "room", "o").agg(F.count("*").alias("tied"))
+    upto = F.sum("tied").over(Window.partitionBy("key", "size").orderBy("o"))
+    border = places.withColumn("upto", upto).where("upto >= room and upto - tied < room").select("key", "size", F.col("o").alias("border"), "tied", (F.col("room") - F.col("upto") + F.col("tied")).alias("tied_in"))
+    return cut(quotas.join(border, ["key", "size"], "left")), listed, total
+
+
+def decided(rows: DataFrame, chosen: tuple[DataFrame, int, int]) -> DataFrame:
+    """``rows`` (..., key, size, o) with source_size, target and ``times``, how often the mix takes each."""
+    lengths, listed, total = chosen
+    whole = spread(rows, lengths.withColumn("w", F.col("n")), ["key", "size"], "w", total, listed=listed)
+    more = F.when(F.col("quota") == 0, 0).when(F.col("quota") == F.col("n"), 1).when(F.col("o") < F.col("border"), 1).when(F.col("o") == F.col("border"), 1).otherwise(0)
+    columns = [*rows.columns, "source_size", "target"]
+    if lengths.where("tied_in < tied").isEmpty():
+        return whole.select(*columns, (F.col("base") + more).alias("times"))
+    # Rows alike in doc_id, source and text of which a part is taken: these few are told apart by rank.
+    split = (F.col("o") == F.col("border")) & (F.col("tied_in") < F.col("tied"))
+    nth = F.row_number().over(Window.partitionBy("key", "size").orderBy("o"))
+    tied = whole.where(split).withColumn("times", F.col("base") + (nth <= F.col("tied_in")).cast("int"))
+    return whole.where(~F.coalesce(split, F.lit(False))).select(*columns, (F.col("base") + more).alias("times")).unionByName(tied.select(*columns, "times"))
 
 
-def key_of(source: Column) -> Column:
-    """Join key of a source; null is a source of its own."""
-    return F.coalesce(F.concat(F.lit("s"), source), F.lit(""))
+def mix(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, size, source_size, target, times) of every row; times is how often the mix takes it (0 to 2).
+
+    Of a length, rows are taken in the order of a seeded hash of doc_id, then doc_id, then a hash of the text; rows alike in all of
+    these are interchangeable. Null and blank texts have size 0 and are never taken; sources that are
+    null form one source.
+    """
+    base = cut(placed(docs, F.col("doc_id"), F.col("source")))
+    return decided(base, plan(base)).select("doc_id", "source", "size", "source_size", "target", "times")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -153,12 +189,8 @@ def report(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the mix takes, each as often as it takes it.
 
-    Rows alike in doc_id, source and text are paired by rank, so that repeated rows keep their number.
+    Rows are decided where they are read: sources of together at most ``common.LISTED`` lengths need no shuffle of texts.
     """
-    alike = lambda size: F.xxhash64("doc_id", "source", size)
-    times = mix(docs).where("times > 0").withColumn("alike", alike(F.col("size"))).groupBy("alike").agg(F.sum("times").alias("times"), F.count("*").alias("rows"))
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), alike(size_of(F.col("text"))).alias("alike"), F.xxhash64("text").alias("h"))
-    nth = F.row_number().over(Window.partitionBy("alike").orderBy("h"))
-    copies = F.floor(F.col("times") / F.col("rows")) + (nth <= F.col("times") % F.col("rows")).cast("int")
-    taken = whole.join(times, "alike").withColumn("copies", copies.cast("int")).where("copies > 0")
-    return taken.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("row.*")
+    chosen = plan(cut(placed(docs, F.col("source"))))
+    rows = decided(placed(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), chosen).where("times > 0")
+    return rows.select("row", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select("row.*")

@@ -13,13 +13,15 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from operator import eq
+from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, spread, text_key
 
 #: Labelled rows that the classifier is fitted on: those with the smallest seeded hashes of their ids.
 MAX_LABELLED = 20_000
@@ -64,8 +66,8 @@ def featured(docs: DataFrame, host: str, path: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) + 1, N_FEATURES, dtype=np.int32)), pa.array(x))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), lists], ["doc_id", "host", "path", "x"])
 
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), F.col("text").cast("string"))
-    return kept.mapInArrow(run, "doc_id long, host string, path string, x array<double>")
+    kept = docs.select("doc_id", F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), F.col("text").cast("string"))
+    return kept.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, host string, path string, x array<double>")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -95,14 +97,18 @@ def strength(between: DataFrame, rate: str, prior: str, n: str) -> float:
     return min(1e4, max(1.0, 1 / share - 1))
 
 
-def assess(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """(doc_id, evidence, host_rate, path_rate, quality, keep) of every row.
+class Fit(NamedTuple):
+    """A fitted classifier: ``seen`` has (doc_id, host, path, logit, evidence) of every row, ``rates`` one row for each path with its rows in ``n``."""
 
-    evidence, the rates and quality are probabilities; keep is quality >= threshold. Null hosts and
-    paths form groups of their own. Texts without a word get the classifier's verdict on an
-    empty text. Labels that are repeated count once (the lower); without labels of both
-    kinds evidence is 0.5 for all and all rows are kept. Rows with a null or repeated doc_id keep their own rows.
-    """
+    weights: np.ndarray
+    base: float
+    seen: DataFrame
+    rates: DataFrame
+    rows: int
+    paths: int
+
+
+def fit(docs: DataFrame, labels: DataFrame, host: str, path: str, max_labelled: int) -> Fit:
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
     rows = cut(featured(docs, host, path))
     # A hash level lets about 1.3 times as many rows through as wanted, so that few reach the final sort.
@@ -124,22 +130,54 @@ def assess(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     hosts = paths.groupBy("host").agg(F.sum("good").alias("host_good"), F.sum("n").alias("host_n"))
     good, n = hosts.agg(F.sum("host_good"), F.sum("host_n")).first()
     base = min(1 - 1e-6, max(1e-6, (good or 0.0) / n if n else 0.5))
-    spread = hosts.select((F.col("host_good") / F.col("host_n")).alias("r"), F.lit(base).alias("m"), F.col("host_n").alias("k"))
-    a = strength(spread, "r", "m", "k")
+    spread_ = hosts.select((F.col("host_good") / F.col("host_n")).alias("r"), F.lit(base).alias("m"), F.col("host_n").alias("k"))
+    a = strength(spread_, "r", "m", "k")
     hosts = hosts.withColumn("host_rate", (F.col("host_good") + a * base) / (F.col("host_n") + a))
     above = hosts.select(F.col("host").alias("host_"), "host_rate")
     both = paths.join(above, F.col("host").eqNullSafe(F.col("host_"))).select("host", "path", "good", "n", "host_rate")
     b = strength(both.select((F.col("good") / F.col("n")).alias("r"), F.col("host_rate").alias("m"), F.col("n").alias("k")), "r", "m", "k")
-    rates = both.select(F.col("host").alias("host_"), F.col("path").alias("path_"), "host_rate", ((F.col("good") + b * F.col("host_rate")) / (F.col("n") + b)).alias("path_rate"))
-    placed = seen.join(rates, F.col("host").eqNullSafe(F.col("host_")) & F.col("path").eqNullSafe(F.col("path_")))
+    rate = (F.col("good") + b * F.col("host_rate")) / (F.col("n") + b)
+    rates = cut(both.select(text_key(F.col("host")).alias("host_key"), text_key(F.col("path")).alias("path_key"), "n", "host_rate", rate.alias("path_rate")))
+    return Fit(weights, base, seen, rates, n or 0, rates.count())
+
+
+def quality_of(fitted: Fit, logit: Column) -> Column:
+    """Probability that a document is good, from its evidence and ``path_rate``."""
     odds = lambda p: F.log(F.greatest(p, F.lit(1e-6)) / F.greatest(1 - p, F.lit(1e-6)))
-    moved = F.col("logit") + odds(F.col("path_rate")) - math.log(base / (1 - base))
-    quality = 1 / (1 + F.exp(-moved)) if weights.any() else F.lit(0.5)
-    return placed.select("doc_id", "evidence", "host_rate", "path_rate", quality.alias("quality")).withColumn("keep", F.col("quality") >= threshold)
+    moved = logit + odds(F.col("path_rate")) - math.log(fitted.base / (1 - fitted.base))
+    return 1 / (1 + F.exp(-moved)) if fitted.weights.any() else F.lit(0.5)
 
 
-def kept(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that ``assess`` keeps. Rows that share a doc_id stay or go together: one good row keeps them."""
-    good = assess(docs, labels, **options).where("keep").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"))
-    return rows.join(good, F.col("id").eqNullSafe(F.col("kept_id")), "left_semi").select("row.*")
+def assess(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """(doc_id, evidence, host_rate, path_rate, quality, keep) of every row.
+
+    evidence, the rates and quality are probabilities; keep is quality >= threshold. Null hosts and
+    paths form groups of their own. Texts without a word get the classifier's verdict on an
+    empty text. Labels that are repeated count once (the lower); without labels of both
+    kinds evidence is 0.5 for all and all rows are kept. Rows with a null or repeated doc_id keep their own rows.
+    """
+    fitted = fit(docs, labels, host, path, max_labelled)
+    keyed = fitted.seen.withColumns({"host_key": text_key(F.col("host")), "path_key": text_key(F.col("path"))})
+    rated = spread(keyed, fitted.rates, ["host_key", "path_key"], "n", fitted.rows, listed=fitted.paths)
+    return rated.select("doc_id", "evidence", "host_rate", "path_rate", quality_of(fitted, F.col("logit")).alias("quality")).withColumn("keep", F.col("quality") >= threshold)
+
+
+def kept(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """The rows of ``docs`` that ``assess`` keeps.
+
+    A row's verdict needs its text and its path's rate alone, so rows are decided where they are read:
+    sites of together at most ``common.LISTED`` paths need no shuffle of texts.
+    """
+    fitted = fit(docs, labels, host, path, max_labelled)
+    weights = fitted.weights
+
+    @F.pandas_udf("double")
+    def logit(texts: pd.Series) -> pd.Series:
+        x = np.array([features(t) for t in texts], np.float64).reshape(-1, N_FEATURES)
+        # Added up in the order of the columns, as in ``fit``.
+        return pd.Series(np.clip(sum((x[:, i] * w for i, w in enumerate(weights)), np.zeros(len(x))), -12.0, 12.0))
+
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row, text_key(F.col(host)).alias("host_key"), text_key(F.col(path)).alias("path_key"), logit(F.col("text").cast("string")).alias("logit"))
+    rated = spread(keyed, fitted.rates, ["host_key", "path_key"], "n", fitted.rows, listed=fitted.paths)
+    return rated.where(quality_of(fitted, F.col("logit")) >= threshold).select("row.*")

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import crowded, dealt, linked
-from .common import components, cut, named_groups
+from .blocks import alone, crowded, dealt, linked
+from .common import components, cut, identity, named_groups, spread
 
 SEED = 42
 SPLIT = 128
@@ -64,7 +64,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             fps = pa.array(np.array(fps, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), fps], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 def block(fp: str, i: int) -> str:
@@ -111,11 +112,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """
     fps = cut(fingerprints(docs, shingle))
     # Equal fingerprints are one node: groups of copies shrink before any join.
-    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("c")))
     edges = links(nodes.select("fp")).toDF("a", "b")
-    grouped = named_groups(nodes.withColumnRenamed("fp", "id"), components(edges)).withColumnRenamed("id", "fp")
-    named = nodes.join(grouped, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    grouped = named_groups(nodes.select(F.col("fp").alias("id"), "least"), components(edges)).withColumnRenamed("id", "fp")
+    named = cut(nodes.join(grouped, "fp", "left").select("fp", "c", F.coalesce("component_id", "least").alias("component_id")))
+    return spread(fps, named, ["fp"], "c", fps.count()).select("doc_id", "fp", "component_id")
 
 
 def hexed(fp: str = "fp"):
@@ -209,16 +210,24 @@ def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return both >= similarity * (sizes[:, None] + sizes[None, :] - both) - 1e-9
 
 
-def row_key(docs: DataFrame) -> Column:
-    """Hash of all columns and of which are null: rows with equal keys are copies of one row."""
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    return F.xxhash64(*cols, F.array(*[c.isNull() for c in cols]))
+#: Keys of rows, of so many bytes with their place in a hash table, that are broadcast at most (some 20 MB).
+KEYS = 200_000
+
+
+def row_key(docs: DataFrame) -> list[Column]:
+    """Columns k1 and k2 for all columns' values: rows with equal keys are copies of one row."""
+    return [c.alias(n) for c, n in zip(identity(*[F.col(f"`{c}`") for c in docs.columns]), ("k1", "k2"), strict=True)]
+
+
+def marked(rows: DataFrame, keys: DataFrame, n: int, how: str) -> DataFrame:
+    """Semi or anti join of ``rows`` with ``n`` distinct ``keys``: without a shuffle of rows for up to ``KEYS`` of them."""
+    return rows.join(F.broadcast(keys) if n <= KEYS else keys, ["k1", "k2"], how)
 
 
 def grouped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(key, doc_id, wide, root, component_id) of every row: groups of documents whose shingle sets resemble each other.
+    """(k1, k2, doc_id, wide, root, component_id) of every row: groups of documents whose shingle sets resemble each other.
 
-    ``key`` is the ``row_key``; ``root`` tells the groups apart, which ``component_id``, the smallest doc_id,
+    ``k1`` and ``k2`` are the ``row_key``; ``root`` tells the groups apart, which ``component_id``, the smallest doc_id,
     does not where rows of several groups share a doc_id or have none.
 
     Two documents are linked if the Jaccard similarity of their shingle sets reaches ``similarity``.
@@ -227,26 +236,32 @@ def grouped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
     SimHashes of shingles sampled by minimum order; equal keys collide with probability similarity**SAMPLE
     each. Inside a list, pairs are candidates by the sizes of their sets and, for large sets, by shared
     bytes and Hamming distance of the wide fingerprints with a wide margin. The sets of rows with a
-    candidate are then compared exactly. Lists of any size are paired in blocks; equal fingerprints of
-    equally many shingles are one node. Documents without a word link with each other only.
+    candidate are then compared exactly. Lists of any size are paired in blocks; equal sets are one node. Documents without a word link with each other only.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
         for batch in batches:
-            wide, keys, sizes = [], [], []
+            own, wide, keys, sizes = [], [], [], []
             for x in batch.column(3):
                 h = distinct_hashes(x.as_py(), shingle)
+                own.append(xxh3_128_digest(h.tobytes()))
                 wide.append(wide_bits(h))
                 keys.append(np.array(sampled(h) if len(h) else [], np.uint64).view(np.int64))
                 sizes.append(len(h))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(wide, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["key", "doc_id", "h", "wide", "shingles", "keys"])
+            lists = pa.array(keys, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own, pa.binary()), pa.array(wide, pa.binary()), pa.array(sizes, pa.int32()), lists], ["k1", "k2", "doc_id", "set_id", "wide", "shingles", "keys"])
 
     text = F.col("text").cast("string")
-    sent = docs.select(row_key(docs).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    rows = cut(sent.mapInArrow(run, "key long, doc_id long, h long, wide binary, shingles int, keys array<long>").withColumn("id", F.xxhash64("wide", "shingles")))
-    nodes = cut(rows.groupBy("id").agg(F.min("doc_id").alias("least"), F.min(F.struct("h", "wide", "shingles", "keys")).alias("x")).select("id", "least", "x.*"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sent = docs.select(*row_key(docs), "doc_id", text.alias("text"))
+    rows = cut(sent.mapInArrow(run, f"k1 long, k2 long, doc_id {kind}, set_id binary, wide binary, shingles int, keys array<long>"))
+    sets = rows.groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("c"), F.min(F.struct("k1", "k2", "wide", "shingles", "keys")).alias("x"))
+    # Numbered where they are written: the number is the node, so no two sets can be taken for one.
+    nodes = cut(sets.select(F.monotonically_increasing_id().alias("id"), "set_id", "least", "c", "x.*"))
     postings = nodes.select("id", F.explode("keys").alias("bucket"))
-    met = crowded(postings).join(nodes.select("id", "wide", "shingles"), "id")
+    met = crowded(postings, TABLES * nodes.count()).join(nodes.select("id", "wide", "shingles"), "id")
 
     def near(group: pa.Table) -> np.ndarray:
         return candidates(group.column("wide").to_pylist(), group.column("shingles").to_numpy(), similarity)
@@ -256,23 +271,24 @@ def grouped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
 
     # Lists with the same members give the same pairs: one of them is enough.
     open_ = cut(linked(dealt(met), ["wide", "shingles"], near, bucket=True).select("bucket", "id").distinct())
-    lists = open_.groupBy("bucket").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"))
-    once = lists.groupBy("size", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
-    owners = nodes.join(open_.select("id").distinct(), "id", "left_semi").select("id", "h")
+    owners = cut(nodes.join(open_.select("id").distinct(), "id", "left_semi").select("k1", "k2", "id"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [distinct_hashes(x.as_py(), shingle).tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
 
-    # Copies of a text become one where they are read, so no hash is hot in the join.
-    texts = docs.select(F.xxhash64(text).alias("h"), text.alias("text")).groupBy("h").agg(F.first("text").alias("text"))
-    sets = texts.join(owners, "h").select("id", "text").mapInArrow(gather, "id long, set binary")
-    found = linked(dealt(open_.join(once, "bucket").join(sets, "id"), SETS), ["set"], link)
+    n = owners.count()
+    texts = docs.select(*row_key(docs), text.alias("text")).join(F.broadcast(owners) if n <= KEYS else owners, ["k1", "k2"]).select("id", "text")
+    # Rows that are copies of one another have the same set; they are combined where they are read.
+    held = texts.mapInArrow(gather, "id long, set binary").groupBy("id").agg(F.first("set").alias("set"))
+    found = linked(dealt(alone(open_).join(held, "id"), SETS), ["set"], link)
     groups = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    roots = nodes.join(groups.withColumnRenamed("node", "id"), "id", "left").select("id", "least", F.coalesce("component", "id").alias("root"))
-    names = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.select("key", "doc_id", "wide", "id").join(roots.join(names, "root").select("id", "root", "component_id"), "id").drop("id")
+    roots = cut(nodes.join(groups.withColumnRenamed("node", "id"), "id", "left").select("set_id", "least", "c", F.coalesce("component", "id").alias("root")))
+    total = roots.count()
+    names = roots.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("w"))
+    named = cut(spread(roots, names, ["root"], "w", total))
+    return spread(rows.select("k1", "k2", "doc_id", "wide", "set_id"), named.select("set_id", "c", "root", "component_id"), ["set_id"], "c", rows.count()).drop("set_id")
 
 
 def resembling(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -281,8 +297,20 @@ def resembling(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Da
 
 
 def unique(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of each group of ``grouped``: that with the smallest doc_id (null last), and of rows that share it that with the smallest key."""
-    firsts = grouped(docs, shingle, similarity).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first")).select("first.key")
-    # Copies of a row become one where they are read, so no key is hot in the shuffle.
-    rows = docs.select(row_key(docs).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return rows.groupBy("key").agg(F.first("row").alias("row")).join(firsts, "key", "left_semi").select("row.*")
+    """One row of each group of ``grouped``: that with the smallest doc_id (null last), and of rows that share it that with the smallest key.
+
+    Rows that go, and rows that are repeated, are known by their keys; up to ``KEYS`` of them no text is
+    shuffled, beyond that each text once.
+    """
+    rows = cut(grouped(docs, shingle, similarity).groupBy("root", "k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("c")))
+    firsts = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("first")).select("first.k1", "first.k2")
+    left = cut(rows.join(firsts.withColumn("stays", F.lit(True)), ["k1", "k2"], "left").select("k1", "k2", "stays", "c"))
+    gone, copied = left.where("stays is null or c > 1").select("k1", "k2"), left.where("stays and c > 1").select("k1", "k2")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(*row_key(docs), row.alias("row"))
+    out = marked(keyed, gone, gone.count(), "left_anti")
+    if n := copied.count():
+        # Copies of a row become one where they are read, so no key is hot in the shuffle.
+        once = marked(keyed, copied, n, "left_semi").groupBy("k1", "k2").agg(F.first("row").alias("row"))
+        out = out.unionByName(once)
+    return out.select("row.*")

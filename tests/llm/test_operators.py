@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from pointprep.llm import embed_dedup, entry, html_diff, langid, licenses, merkle, mixing, pii, quality, simhash, wfst
-from pointprep.llm.common import components
+from pointprep.llm.common import components, spread
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "word " * 30_000
@@ -214,6 +214,41 @@ def test_subset_sum():
         assert all(k <= dict(items)[n] for n, k in taken.items())
 
 
+def test_fit_falls_short_by_less_than_a_text():
+    rng = np.random.default_rng(0)
+    whole = lambda *x: np.array(x, np.int64)
+    assert mixing.fit(whole(180_000, 150_000), whole(1, 1), 170_000).tolist() == [0, 1]
+    assert mixing.fit(whole(300_000, 3), whole(4, 1), 900_004).tolist() == [3, 1]
+    for longest in (30, 30, 30, 2_000, 300_000):
+        for _ in range(8):
+            lengths = np.unique(rng.integers(1, longest, 6 if longest == 30 else 60))
+            counts = rng.integers(1, 4 if longest == 30 else 40, len(lengths))
+            budget = int((lengths * counts).sum() * rng.random())
+            quota = mixing.fit(lengths, counts, budget)
+            left = budget - int((quota * lengths).sum())
+            assert (0 <= quota).all() and (quota <= counts).all() and 0 <= left < lengths[quota < counts].min()
+
+
+def test_mixing_hits_targets_of_very_long_texts(spark):
+    rows = [(i, "w " * n, "en", "a", 0) for i, n in enumerate((180_000, 150_000, 150_000, 7, 3))] + [(9, "w " * 1_000_000, "en", "b", 0), (10, "w", "en", "b", 0)]
+    r = mixing.report(spark.createDataFrame(rows, DOCS)).collect()
+    for target, taken in {x.target: sum(y.taken for y in r if y.target == x.target) for x in r}.items():
+        # No sum of texts is nearer from below; a text taken twice is the longest step.
+        assert 0 <= target - taken < 1_000_000 and target > 0
+    tied = [(5, "two words", "en", "a", 0)] * 11 + [(None, "two words", "en", "a", 0), (7, "one", None, None, 0)]
+    m = mixing.mixed(spark.createDataFrame(tied, DOCS)).collect()
+    want = {x.target: x.source_size for x in mixing.report(spark.createDataFrame(tied, DOCS)).collect()}
+    assert sum(len(x.text.split()) for x in m) == sum(round(t) - round(t) % (2 if s == 24 else 1) for t, s in want.items())
+
+
+def test_join_without_hot_tasks(spark):
+    rows = spark.range(4000).select(F.when(F.col("id") < 3000, 0).otherwise(F.col("id")).alias("k"), "id")
+    side = rows.groupBy("k").agg(F.count("*").alias("w"), F.max("id").alias("top"))
+    want = sorted(map(tuple, rows.join(side.drop("w"), "k").collect()))
+    assert sorted(map(tuple, spread(rows, side, ["k"], "w", 4000).select("k", "id", "top").collect())) == want
+    assert sorted(map(tuple, spread(rows, side, ["k"], "w", 4000, listed=1001).select("k", "id", "top").collect())) == want
+
+
 def test_size_is_duckdbs(spark, small):
     r = got(mixing.report(docs_of(spark, small)))
     for i, n in duckdb.sql(f"select doc_id, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) from '{small}/documents.parquet'").fetchall():
