@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pointprep.llm import mixing, pii, quality, simhash, wfst
-from pointprep.llm.common import cut, table
+from pointprep.llm.common import cut, delete, table, written
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +49,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for at, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if at + 1 < len(STAGES):
-            docs = cut(docs)
+        with written() as made:
+            docs = stage(spark, docs, sf_dir)
+            if at + 1 < len(STAGES):
+                docs = cut(docs)
+                # What the stage wrote on its way, and what it read, is not needed again.
+                delete(spark, [*before, *made[:-1]])
+                before = made[-1:]
     return docs
