@@ -43,20 +43,27 @@ def dealt(rows: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Runs of equal keys in batches that are sorted by them."""
+    """Runs of equal keys in batches that are sorted by them. Only runs that cross batches are copied."""
     rest: list[pa.Table] = []
+    key: list = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = pa.concat_tables([*rest, pa.Table.from_batches([batch])]).combine_chunks()
+        now = pa.Table.from_batches([batch])
         cols = [now.column(k).to_numpy() for k in keys]
         change = np.zeros(now.num_rows - 1, bool)
         for c in cols:
             change |= c[1:] != c[:-1]
-        at = [0, *(np.nonzero(change)[0] + 1).tolist()]
+        at = [0, *(np.nonzero(change)[0] + 1).tolist(), now.num_rows]
+        if rest and key != [c[0] for c in cols]:
+            yield pa.concat_tables(rest).combine_chunks()
+            rest = []
         for a, b in zip(at, at[1:], strict=False):
-            yield now.slice(a, b - a)
-        rest = [now.slice(at[-1])]
+            if a:
+                yield pa.concat_tables(rest).combine_chunks() if len(rest) > 1 else rest[0]
+                rest = []
+            rest.append(now.slice(a, b - a))
+        key = [c[-1] for c in cols]
     if rest:
         yield pa.concat_tables(rest).combine_chunks()
 

@@ -16,7 +16,6 @@ from operator import eq
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -171,11 +170,11 @@ def kept(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "
     fitted = fit(docs, labels, host, path, max_labelled)
     weights = fitted.weights
 
-    @F.pandas_udf("double")
-    def logit(texts: pd.Series) -> pd.Series:
-        x = np.array([features(t) for t in texts], np.float64).reshape(-1, N_FEATURES)
+    @F.arrow_udf("double")
+    def logit(texts: pa.Array) -> pa.Array:
+        x = np.array([features(t.as_py()) for t in texts], np.float64).reshape(-1, N_FEATURES)
         # Added up in the order of the columns, as in ``fit``.
-        return pd.Series(np.clip(sum((x[:, i] * w for i, w in enumerate(weights)), np.zeros(len(x))), -12.0, 12.0))
+        return pa.array(np.clip(sum((x[:, i] * w for i, w in enumerate(weights)), np.zeros(len(x))), -12.0, 12.0))
 
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     keyed = docs.select(row, text_key(F.col(host)).alias("host_key"), text_key(F.col(path)).alias("path_key"), logit(F.col("text").cast("string")).alias("logit"))

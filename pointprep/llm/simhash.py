@@ -159,8 +159,8 @@ def bits_for(similarity: float, margin: float = 2.2) -> int:
 
 #: Sets of at least this many shingles are compared by wide fingerprint before their exact similarity; margin of that filter.
 MANY, LOOSE = 64, 5.0
-#: Columns of the incidence matrix held at a time, and rows of a block when sets are compared.
-COLUMNS, SETS = 4096, 512
+#: Columns of the incidence matrix and hashes held at a time, and rows of a block when sets are compared.
+COLUMNS, HELD, SETS = 2048, 400_000, 256
 
 
 def distinct_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -190,22 +190,30 @@ def candidates(wide: list[bytes], sizes: np.ndarray, similarity: float) -> np.nd
 
 
 def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """Pairs of sets whose Jaccard similarity reaches ``similarity``, by the exact sizes of their intersections."""
+    """Pairs of sets (sorted hashes) whose Jaccard similarity reaches ``similarity``, by the exact sizes of their intersections.
+
+    Ranges of the hashes are counted one after the other, so memory does not grow with the sets.
+    """
     sizes = np.array([len(x) for x in sets])
-    row = np.repeat(np.arange(len(sets)), sizes)
-    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    # Only hashes of several sets count in intersections.
-    place = np.cumsum(times > 1) - 1
-    held = times[column] > 1
-    row, column = row[held], place[column[held]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
+    parts = 1 + int(sizes.sum()) // HELD
+    borders = np.array([(1 << 64) * p // parts for p in range(1, parts)], np.uint64)
+    cuts = [[0, *np.searchsorted(x, borders).tolist(), len(x)] for x in sets]
     both = np.zeros((len(sets), len(sets)))
-    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
-        a, b = np.searchsorted(column, (at, at + COLUMNS))
-        m = np.zeros((len(sets), COLUMNS), np.float32)
-        m[row[a:b], column[a:b] - at] = 1
-        both += m @ m.T
+    for p in range(parts):
+        part = [x[c[p] : c[p + 1]] for x, c in zip(sets, cuts, strict=True)]
+        row = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in part])
+        _, column, times = np.unique(np.concatenate(part), return_inverse=True, return_counts=True)
+        # Only hashes of several sets count in intersections.
+        place = np.cumsum(times > 1) - 1
+        held = times[column] > 1
+        row, column = row[held], place[column[held]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            a, b = np.searchsorted(column, (at, at + COLUMNS))
+            m = np.zeros((len(sets), COLUMNS), np.float32)
+            m[row[a:b], column[a:b] - at] = 1
+            both += m @ m.T
     np.fill_diagonal(both, sizes)
     return both >= similarity * (sizes[:, None] + sizes[None, :] - both) - 1e-9
 
@@ -267,7 +275,7 @@ def grouped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
         return candidates(group.column("wide").to_pylist(), group.column("shingles").to_numpy(), similarity)
 
     def link(group: pa.Table) -> np.ndarray:
-        return alike([np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()], similarity)
+        return alike([np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("set")], similarity)
 
     # Lists with the same members give the same pairs: one of them is enough.
     open_ = cut(linked(dealt(met), ["wide", "shingles"], near, bucket=True).select("bucket", "id").distinct())
@@ -280,8 +288,10 @@ def grouped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
 
     n = owners.count()
     texts = docs.select(*row_key(docs), text.alias("text")).join(F.broadcast(owners) if n <= KEYS else owners, ["k1", "k2"]).select("id", "text")
-    # Rows that are copies of one another have the same set; they are combined where they are read.
-    held = texts.mapInArrow(gather, "id long, set binary").groupBy("id").agg(F.first("set").alias("set"))
+    held = texts.mapInArrow(gather, "id long, set binary")
+    if rows.select("k1", "k2").distinct().count() < rows.count():
+        # Rows that are copies of one another have the same set; they are combined where they are read.
+        held = held.groupBy("id").agg(F.first("set").alias("set"))
     found = linked(dealt(alone(open_).join(held, "id"), SETS), ["set"], link)
     groups = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     roots = cut(nodes.join(groups.withColumnRenamed("node", "id"), "id", "left").select("set_id", "least", "c", F.coalesce("component", "id").alias("root")))
