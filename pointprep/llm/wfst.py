@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding as shortest paths of weighted finite-state transducers.
 
 Compiled from a model file: the normaliser (dummy prefix, blanks to U+2581), a lexicon transducer
-from characters to pieces, byte fallback for characters without a piece, and arc weights in the tropical
-semiring (minimum, sum). Encoding composes the input with them and takes the shortest path.
+from characters to pieces, byte fallback with arcs from a character without a piece to those of its bytes, and arc weights in the tropical
+semiring (minimum, sum). Encoding composes the input with the normaliser, the result with lexicon and fallback, takes the shortest path and reads its output side.
 
 * Unigram models: a piece weighs minus its score.
 * BPE models: scores order merges and are no path weights. There the transducer has a state for each
@@ -34,7 +34,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 KEPT = 150_000
 INF = float("inf")
-#: The state before the first piece; arcs below it are characters outside the lexicon.
+#: The state before the first arc.
 START = -1
 WIDE = 1 << 32
 
@@ -87,16 +87,57 @@ class Model:
             raise ValueError("character maps, unescaped blanks, user-defined symbols and word or character models are not supported")
 
 
+class Normaliser:
+    """Transducer from text to normalised characters.
+
+    States: at the start, inside a word, in a gap whose mark is still to be written. An arc has what it writes before its
+    character, whether it copies that, and its end; characters other than blanks share their arcs, so a run of them is one step.
+    """
+
+    RUNS = re.compile("( )|([^ ]+)")
+
+    def __init__(self, m: Model):
+        mark = BLANK if m.dummy else ""
+        if m.squeeze:  # blanks wait until a character follows: those at both ends write nothing
+            self.arcs = {("start", False): (mark, True, "word"), ("start", True): ("", False, "start"), ("word", False): ("", True, "word"), ("word", True): ("", False, "gap"), ("gap", False): (BLANK, True, "word"), ("gap", True): ("", False, "gap")}
+        else:
+            self.arcs = {("start", False): (mark, True, "word"), ("start", True): (mark + BLANK, False, "word"), ("word", False): ("", True, "word"), ("word", True): (BLANK, False, "word")}
+        # From the state inside words the second kind leaves on no arc: there one replacement takes all arcs on blanks.
+        self.stays = not m.squeeze
+
+    def compose(self, text: str) -> str:
+        """The output side of ``text`` composed with the machine: it is functional, so that is one chain of characters."""
+        out, state, at = [], "start", 0
+        while at < len(text):
+            if self.stays and state == "word":
+                out.append(text[at:].replace(" ", self.arcs["word", True][0]))
+                break
+            blank, run = self.RUNS.match(text, at).groups()
+            before, copied, state = self.arcs[state, blank is not None]
+            out += (before, run if copied else "")
+            at += len(blank or run)
+        return "".join(out)
+
+
 class Codec:
-    """Compiled transducers of a model."""
+    """Compiled transducers of a model.
+
+    Arcs are numbered: ``names`` is the input side of each, ``outputs`` the ids on its output side as little-endian 32-bit integers, ``weights`` its
+    weight. The first are the pieces; byte fallback adds, when it is met, an arc for a character that is no piece, from the character to the pieces of its bytes.
+    """
 
     def __init__(self, model: Model):
         self.m = model
+        self.normaliser = Normaliser(model)
         self.lexicon = {p: i for i, (p, k) in enumerate(zip(model.pieces, model.kinds, strict=True)) if k == NORMAL}
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(model.pieces, model.kinds, strict=True)) if k == BYTE}
         self.unknown = next((i for i, k in enumerate(model.kinds) if k == UNKNOWN), 0)
         self.rank = {p: model.scores[i] for p, i in self.lexicon.items()}.get
-        self.worst = min(model.scores, default=0.0) - 10.0
+        self.worst = 10.0 - min(model.scores, default=0.0)
+        self.names = list(model.pieces)
+        self.outputs = [struct.pack("<i", i) for i in range(len(model.pieces))]
+        self.weights = [-x for x in model.scores]
+        self.fallback: dict[str, int] = {}
         # Each node of the trie is (arc that ends here or None, nodes by character).
         self.trie: dict = {}
         for p, i in self.lexicon.items():
@@ -104,6 +145,7 @@ class Codec:
             for c in p[:-1]:
                 nodes = nodes.setdefault(c, [None, {}])[1]
             nodes.setdefault(p[-1], [None, {}])[0] = i
+        self.longest = max(map(len, self.lexicon), default=1)
         inner = [p for p in self.lexicon if len(p) > 1]
         chars = {c for p in inner for c in p}
         # A blank inside a piece behind another character would make words cross; then a text is one unit.
@@ -125,13 +167,16 @@ class Codec:
             return " ⁇ ".encode()
         return piece.replace(BLANK, " ").encode()
 
-    def normalise(self, text: str) -> str:
-        if self.m.squeeze:
-            text = re.sub(" +", " ", text.strip(" "))
-        if not text:
-            return ""
-        text = text.replace(" ", BLANK)
-        return BLANK + text if self.m.dummy else text
+    def byte_arc(self, c: str) -> int:
+        """The arc of a character that is no piece: its bytes' pieces, or the unknown piece where the model has none."""
+        arc = self.fallback.get(c)
+        if arc is None:
+            ids = [self.bytes[b] for b in c.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
+            arc = self.fallback[c] = len(self.names)
+            self.names.append(c)
+            self.outputs.append(struct.pack(f"<{len(ids)}i", *ids))
+            self.weights.append(self.worst)
+        return arc
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short string by merging: the best-scored neighbours first, the left of equals."""
@@ -151,35 +196,30 @@ class Codec:
         return parts
 
     def joins(self, a: int, b: int) -> bool:
-        """Whether the arc from piece a to piece b has weight 0 (BPE); a < 0 stands for the start."""
-        x, y = self.name(a) if a != START else "", self.name(b)
+        """Whether the arc b has weight 0 behind the arc a (BPE); START stands for the beginning."""
+        x, y = self.names[a] if a != START else "", self.names[b]
         if len(self.pairs) > 2 * KEPT:
             self.pairs.clear()
         found = self.pairs[a * WIDE + b] = self.merged(x + y) == ([x, y] if x else [y])
         return found
 
-    def name(self, arc: int) -> str:
-        """The string of an arc: a piece, or by code point a character that is none."""
-        return self.m.pieces[arc] if arc >= 0 else chr(START - arc - 1)
-
     def path(self, unit: str) -> list[int]:
-        """Arcs (pieces, or negative: single characters outside the lexicon) on the shortest path over a unit."""
-        last, sizes = self.zero_path(unit) if self.m.kind == BPE else self.least_path(unit)
-        out, at = [], len(unit)
+        """Arcs on the shortest path over a unit."""
+        last = self.zero_path(unit) if self.m.kind == BPE else self.least_path(unit)
+        out, at, names = [], len(unit), self.names
         while at:
             out.append(last[at])
-            at -= sizes[at]
+            at -= len(names[last[at]])
         return out[::-1]
 
-    def zero_path(self, unit: str) -> tuple[list, list]:
-        """Arcs into positions, and their lengths, on the path of weight 0.
+    def zero_path(self, unit: str) -> list:
+        """Arcs into positions on the path of weight 0.
 
         Weights are 0 or infinite, so the search follows any arc of weight 0, longest first, and takes up
         shorter ones where that ends. A position is reached by one arc only, and so entered once.
         """
-        n, trie, fits_of, joins = len(unit), self.trie, self.pairs.get, self.joins
+        n, trie, fits_of, joins, longest = len(unit), self.trie, self.pairs.get, self.joins, self.longest
         last: list[int | None] = [None] * (n + 1)
-        sizes = [0] * (n + 1)
         last[0] = START
         open_ = [0]
         while open_:
@@ -188,64 +228,49 @@ class Codec:
                 break
             before = last[i]
             base, nodes, j = before * WIDE, trie, i
-            for c in unit[i:]:
+            for c in unit[i : i + longest]:
                 node = nodes.get(c)
                 if node is None:
-                    break
+                    if j > i:
+                        break
+                    node = (None, None)
                 arc, nodes = node
+                if arc is None and j == i:
+                    arc = self.byte_arc(c)
                 j += 1
-                if arc is None:
-                    if j > i + 1:
-                        continue
-                    arc = START - 1 - ord(c)
-                if last[j] is None:
+                if arc is not None and last[j] is None:
                     fits = fits_of(base + arc)
                     if joins(before, arc) if fits is None else fits:
-                        last[j], sizes[j] = arc, j - i
+                        last[j] = arc
                         open_.append(j)
-            if j == i and last[i + 1] is None:  # a character that starts no piece
-                arc = START - 1 - ord(unit[i])
-                if joins(before, arc):
-                    last[i + 1], sizes[i + 1] = arc, 1
-                    open_.append(i + 1)
-        return last, sizes
-
-    def least_path(self, unit: str) -> tuple[list, list]:
+                if not nodes:
+                    break
+        return last
+
+    def least_path(self, unit: str) -> list:
         """As ``zero_path``, for weights of minus the pieces' scores."""
-        n, trie, scores = len(unit), self.trie, self.m.scores
+        n, trie, weights = len(unit), self.trie, self.weights
         last: list[int | None] = [None] * (n + 1)
-        sizes = [0] * (n + 1)
         cost = [0.0] + [INF] * n
         for i in range(n):
-            nodes, j = trie, i
-            for c in unit[i:]:
+            nodes, j, here = trie, i, cost[i]
+            for c in unit[i : i + self.longest]:
                 node = nodes.get(c)
                 if node is None:
                     break
                 arc, nodes = node
                 j += 1
-                if arc is not None and cost[i] - scores[arc] < cost[j]:
-                    cost[j], last[j], sizes[j] = cost[i] - scores[arc], arc, j - i
-            if cost[i] - self.worst < cost[i + 1]:
-                cost[i + 1], last[i + 1], sizes[i + 1] = cost[i] - self.worst, START - 1 - ord(unit[i]), 1
-        return last, sizes
-
-    def ids(self, arcs: list[int]) -> list[int]:
-        out: list[int] = []
-        for arc in arcs:
-            if arc >= 0:
-                out.append(arc)
-            elif self.bytes:
-                out.extend(self.bytes[b] for b in self.name(arc).encode("utf-8", "surrogatepass"))
-            else:
-                out.append(self.unknown)
-        return out
+                if arc is not None and here + weights[arc] < cost[j]:
+                    cost[j], last[j] = here + weights[arc], arc
+            if here + self.worst < cost[i + 1] and unit[i] not in self.lexicon:
+                cost[i + 1], last[i + 1] = here + self.worst, self.byte_arc(unit[i])
+        return last
 
     def unit(self, unit: str) -> bytes:
         found = self.older.get(unit)
         if found is None:
-            ids = self.ids(self.path(unit))
-            found = struct.pack(f"<{len(ids)}i", *ids)
+            outputs = self.outputs
+            found = b"".join([outputs[arc] for arc in self.path(unit)])
         if len(unit) <= 64:
             if len(self.kept) > KEPT:  # what was met since the last time stays for one more
                 self.older, self.kept = self.kept, {}
@@ -255,7 +280,7 @@ class Codec:
     def encode_bytes(self, text: str) -> bytes:
         """Ids of a text as little-endian 32-bit integers."""
         kept, make = self.kept, self.unit
-        return b"".join([kept.get(u) or make(u) for u in self.units.findall(self.normalise(text))])
+        return b"".join([kept.get(u) or make(u) for u in self.units.findall(self.normaliser.compose(text))])
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "<i4").tolist()

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import textwrap
+import time
 import zlib
 
 import duckdb
@@ -268,6 +269,8 @@ def test_sentencepiece_is_the_library(spark, small, odd, none):
     for t in texts:
         assert codec.encode(t) == sp.encode(t), repr(t)
         assert codec.decode(codec.encode(t)) == t.replace("▁", " ")
+    for t in ("漢字かな交じり文" * 300, "".join(map(chr, rng.integers(0x4E00, 0x5200, 3000))), "".join(rng.choice(list("abcdefgh"), 20_000)), "the" * 7000, "🙂" * 500):  # no blanks
+        assert codec.encode(t) == sp.encode(t) and codec.decode(codec.encode(t)) == t
     r = got(wfst.encode(odd))
     assert r[1].ids is None and r[1].decoded is None and r[2].ids == [] and r[6].decoded == LONG and r[4].ids == sp.encode(ROWS[3][1])
     assert wfst.report(odd).count() == len(ROWS) and wfst.report(none).count() == 0
@@ -275,6 +278,27 @@ def test_sentencepiece_is_the_library(spark, small, odd, none):
         assert x.decoded_sha256 == hashlib.sha256(x.text.encode()).hexdigest() and x.n_tokens == len(x.ids)
 
 
+def test_long_texts_without_blanks_are_linear():
+    codec = wfst.compiled()
+    codec.encode("".join(np.random.default_rng(0).choice(list("abcdefghijklmnop"), 50_000)))
+    times = []
+    for n in (50_000, 400_000):
+        text = "".join(np.random.default_rng(n).choice(list("abcdefghijklmnop"), n))
+        began = time.process_time()
+        assert codec.decode(codec.encode(text)) == text
+        times.append(time.process_time() - began)
+    assert times[1] < 24 * times[0] + 0.5
+
+
+def test_normaliser():
+    m = wfst.Model(b"")
+    cases = {"": "", "  ": "", " a  b ": "▁a▁b", "ab": "▁ab", "a\n c": "▁a\n▁c"}
+    for m.squeeze, m.dummy in ((True, True), (True, False), (False, True), (False, False)):
+        for text, squeezed in cases.items():
+            want = squeezed if m.squeeze else "▁" * bool(text) + text.replace(" ", "▁")
+            assert wfst.Normaliser(m).compose(text) == (want if m.dummy else want[1:])
+
+
 def test_unigram_path_is_shortest():
     def piece(p, score, kind=1):
         body = b"\x0a" + bytes([len(p.encode())]) + p.encode() + b"\x15" + np.float32(score).tobytes() + b"\x18" + bytes([kind])
