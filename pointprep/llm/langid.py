@@ -1,15 +1,19 @@
 """Language of every word by a linear-chain conditional random field, for code-switched text.
 
-Words are maximal runs of letters. A word's emission scores are sums of weights of its affixes,
+Words are maximal runs of letters and their marks. A word's emission scores are sums of weights of its affixes,
 character n-grams, shape and, as lexicon, itself; transitions between languages are learned with
-them. Training text is cut into stretches and stretches of different documents are put in one
-sequence, so that switches occur in it. Inference is exact forward-backward over the whole text: blocks of
-words are multiplied out for all blocks at once, then joined in order, so cost is linear in words.
+them, by gradient ascent on the conditional likelihood with exact word and pair posteriors. Whole training texts are cut into
+stretches and stretches of different documents are put in one sequence, so that switches occur in it; lines found in several
+training rows are quoted passages, say nothing of their rows' languages and are left out of training, unless a row has no other.
+Inference is exact forward-backward over the whole text: blocks of words are multiplied out side by
+side, then joined in order, so cost is linear in words.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -19,21 +23,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Training rows: at most so many a language, those with the smallest seeded hashes of their ids.
-MAX_ROWS = 300
-#: Words that a training row gives, drawn over its whole text; prediction reads whole texts.
-MAX_WORDS = 400
-#: Words of a piece, the unit in which training rows are drawn.
-PIECE = 40
+#: Training rows in all, shared out evenly over the languages (at least one each): those with the smallest seeded hashes of their ids.
+MAX_ROWS = 1200
+#: Words of a step of training, fewer where there are many languages.
+STEP = 8192
 BINS = 1 << 15
 BLOCK = 32
 SEED = 11
-CACHE = 150_000
-WORD = re.compile(r"[^\W\d_]+")
+#: Words whose scores a worker keeps, and numbers held at a time by forward-backward, whatever the number of languages.
+CACHE, HELD = 150_000, 8_000_000
+
+
+def mark_ranges() -> str:
+    """Marks that belong to the letter before them, and joiners, as ranges of a character class."""
+    marks = [c for c in range(0x300, sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == "M"] + [0x200C, 0x200D]
+    out, marks = [], sorted(marks)
+    for c in marks:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in out)
+
+
+WORD = re.compile(rf"[^\W\d_]+(?:[{mark_ranges()}]+[^\W\d_]*)*")
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters; number signs such as fractions count as letters beside one, alone they are no word."""
+    """Runs of letters and marks; number signs such as fractions count as letters beside one, alone they are no word."""
     return [w for w in WORD.findall(text) if w.isascii() or any(map(str.isalpha, w))]
 
 
@@ -90,11 +107,16 @@ def emissions(words: list[str], weights: np.ndarray) -> np.ndarray:
     return emitted(feature_bins(words), weights)
 
 
-def marginals(scores: np.ndarray, starts: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Posterior (words, languages) by forward-backward; ``starts`` are the places where sequences begin.
+def unit(x: np.ndarray, axis) -> np.ndarray:
+    return x / np.maximum(x.sum(axis, keepdims=True), 1e-300)
+
+
+def messages(scores: np.ndarray, starts: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(forward, backward, emission) of each word (words, languages), each up to a factor a word.
 
-    Every sequence is padded to whole blocks with neutral words behind its end; blocks advance
-    together, one word a step.
+    ``starts`` are the places where sequences begin. Forward counts the word itself, backward what
+    follows it. Every sequence is padded to whole blocks with neutral words behind its end; blocks advance
+    together, one word a step, and as many at a time as ``HELD`` allows.
     """
     n, k = scores.shape
     ends = np.append(starts[1:], n)
@@ -102,73 +124,111 @@ def marginals(scores: np.ndarray, starts: np.ndarray, trans: np.ndarray) -> np.n
     first = np.concatenate(([0], np.cumsum(blocks)[:-1]))
     total = int(blocks.sum())
     where = np.arange(n) - np.repeat(starts, ends - starts) + np.repeat(first * BLOCK, ends - starts)
-    e = np.zeros((total * BLOCK, k))
+    e = np.ones((total * BLOCK, k))
     e[where] = np.exp(scores - scores.max(1, keepdims=True))
     real = np.zeros(total * BLOCK, bool)
     real[where] = True
     e, real = e.reshape(total, BLOCK, k), real.reshape(total, BLOCK)
     t = np.exp(trans - trans.max())
-
     head = np.zeros(total, bool)
     head[first] = True
-    # Product of each block: prod[b, i, j] from the state before the block to its last word.
-    prod = np.broadcast_to(np.eye(k), (total, k, k)).copy()
-    for s in range(BLOCK):
-        step = (prod.reshape(-1, k) @ t).reshape(total, k, k)
-        if s == 0:
-            step[head] = 1.0 / k  # no transition into the first word
-        step = step * e[:, s, None, :]
-        prod = np.where(real[:, s, None, None], step, prod)
-        prod /= np.maximum(prod.max((1, 2), keepdims=True), 1e-300)
-    into = np.empty((total, k))  # forward message into each block
-    after = np.empty((total, k))  # backward message from behind each block
-    msg = np.full(k, 1.0 / k)
-    heads = head.tolist()
-    for b in range(total):
-        if heads[b]:
-            msg = np.full(k, 1.0 / k)
-        into[b] = msg
-        msg = msg @ prod[b]
-        msg = msg / max(msg.sum(), 1e-300)
-    for b in range(total - 1, -1, -1):
-        if b == total - 1 or heads[b + 1]:
-            msg = np.full(k, 1.0 / k)
-        after[b] = msg
-        msg = prod[b] @ msg
-        msg = msg / max(msg.sum(), 1e-300)
-
-    alpha = np.empty_like(e)
+    size = max(1, HELD // (k * k))
+    ranges = [(a, min(total, a + size)) for a in range(0, total, size)]
+
+    def products(a: int, b: int) -> np.ndarray:
+        """prod[x, i, j]: from the state before block x to its last word."""
+        prod = np.broadcast_to(np.eye(k), (b - a, k, k)).copy()
+        for s in range(BLOCK):
+            step = (prod.reshape(-1, k) @ t).reshape(b - a, k, k)
+            if s == 0:
+                step[head[a:b]] = 1.0 / k  # no transition into the first word
+            step *= e[a:b, s, None, :]
+            prod = np.where(real[a:b, s, None, None], step, prod)
+            prod /= np.maximum(prod.max((1, 2), keepdims=True), 1e-300)
+        return prod
+
+    into, after, prod = np.empty((total, k)), np.empty((total, k)), None
+    even, heads = np.full(k, 1.0 / k), head.tolist()
+    msg = even
+    for a, b in ranges:
+        prod = products(a, b)
+        for x in range(a, b):
+            if heads[x]:
+                msg = even
+            into[x] = msg
+            msg = unit(msg @ prod[x - a], 0)
+    for a, b in reversed(ranges):
+        prod = products(a, b) if len(ranges) > 1 else prod
+        for x in range(b - 1, a - 1, -1):
+            if x == total - 1 or heads[x + 1]:
+                msg = even
+            after[x] = msg
+            msg = unit(prod[x - a] @ msg, 0)
+
+    alpha, beta = np.empty_like(e), np.empty_like(e)
     now = into
     for s in range(BLOCK):
         step = now @ t
         if s == 0:
             step[head] = 1.0 / k
-        step = step * e[:, s]
-        step /= np.maximum(step.sum(1, keepdims=True), 1e-300)
-        now = np.where(real[:, s, None], step, now)
+        now = np.where(real[:, s, None], unit(step * e[:, s], 1), now)
         alpha[:, s] = now
     now = after
     for s in range(BLOCK - 1, -1, -1):
-        alpha[:, s] *= now
-        step = (now * e[:, s]) @ t.T
-        step /= np.maximum(step.sum(1, keepdims=True), 1e-300)
-        now = np.where(real[:, s, None], step, now)
-    out = alpha.reshape(-1, k)[where]
-    return out / np.maximum(out.sum(1, keepdims=True), 1e-300)
+        beta[:, s] = now
+        now = np.where(real[:, s, None], unit((now * e[:, s]) @ t.T, 1), now)
+    return alpha.reshape(-1, k)[where], beta.reshape(-1, k)[where], e.reshape(-1, k)[where]
+
+
+def marginals(scores: np.ndarray, starts: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Posterior (words, languages) by forward-backward."""
+    alpha, beta, _ = messages(scores, starts, trans)
+    return unit(alpha * beta, 1)
+
+
+def expected(scores: np.ndarray, starts: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(posterior of each word, expected number of each transition): a pair of neighbours has forward, transition, emission and backward."""
+    alpha, beta, e = messages(scores, starts, trans)
+    inner = np.ones(len(scores), bool)
+    inner[starts] = False
+    at = np.nonzero(inner)[0]
+    t = np.exp(trans - trans.max())
+    a, b = alpha[at - 1], e[at] * beta[at]
+    norm = np.maximum(((a @ t) * b).sum(1), 1e-300)
+    return unit(alpha * beta, 1), (a / norm[:, None]).T @ b * t
+
+
+def gradient(words: list[str], y: np.ndarray, starts: np.ndarray, weights: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient of the conditional log-likelihood of the labels ``y`` of ``words`` in weights and transitions."""
+    k = len(trans)
+    own: dict[str, int] = {}
+    which = np.array([own.setdefault(w, len(own)) for w in words])
+    groups = feature_bins(list(own))
+    p, pairs = expected(emitted(groups, weights)[which], starts, trans)
+    gap = np.eye(k)[y] - p
+    by_word = np.stack([np.bincount(which, gap[:, j], len(own)) for j in range(k)], 1)
+    grad = np.stack([sum(np.bincount(b, by_word[o, j], BINS) for b, o in groups) for j in range(k)], 1)
+    inner = np.ones(len(y), bool)
+    inner[starts] = False
+    at = np.nonzero(inner)[0]
+    true = np.zeros((k, k))
+    np.add.at(true, (y[at - 1], y[at]), 1)
+    return grad, true - pairs
 
 
-def train(texts: list[str], langs: list[str], rounds: int = 24) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages, emission weights, transition scores) by gradient ascent on the conditional likelihood."""
+def train(texts: list[str], langs: list[str], rounds: int = 3) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(languages, emission weights, transition scores) by gradient ascent in steps of about ``STEP`` words, ``rounds`` times over all."""
     rng = np.random.default_rng(SEED)
     names = sorted(set(langs))
     k = len(names)
     weights, trans = np.zeros((BINS, k)), np.zeros((k, k))
-    stretches = []
-    # Lines found in several rows are quoted passages and say nothing of their rows' languages.
     rows_with = Counter(line for text in texts for line in set(text.split("\n")))
+    # Words are held once; texts are numbers of words.
+    place: dict[str, int] = {}
+    stretches = []
     for text, lang in zip(texts, langs, strict=True):
         own = [line for line in text.split("\n") if rows_with[line] == 1]
-        words = words_of("\n".join(own or [text]))
+        words = np.array([place.setdefault(w, len(place)) for w in words_of("\n".join(own or [text]))], np.int32)
         at = 0
         while at < len(words):
             size = int(rng.integers(4, 40))
@@ -176,83 +236,51 @@ def train(texts: list[str], langs: list[str], rounds: int = 24) -> tuple[list[st
             at += size
     if not stretches or k < 2:
         return names, weights, trans
+    known = list(place)
     order = rng.permutation(len(stretches))
-    sequences, i = [], 0
+    steps, held, i = [[]], 0, 0
     while i < len(order):  # one to four stretches make a sequence
         size = int(rng.integers(1, 5))
-        sequences.append([stretches[j] for j in order[i : i + size]])
+        steps[-1].append([stretches[j] for j in order[i : i + size]])
+        held += sum(len(x) for _, x in steps[-1][-1])
         i += size
-    words = [w for s in sequences for _, part in s for w in part]
-    y = np.array([lang for s in sequences for lang, part in s for _ in part])
-    lengths = np.array([sum(len(p) for _, p in s) for s in sequences])
-    distinct, which = np.unique(np.array(words, object), return_inverse=True)
-    groups = feature_bins(list(distinct))
-    starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    inner = np.ones(len(y), bool)
-    inner[starts] = False
-    truth = np.eye(k)[y]
-    pair = np.zeros((k, k))
-    np.add.at(pair, (y[:-1][inner[1:]], y[1:][inner[1:]]), 1)
+        if held >= min(STEP, HELD // (8 * k)) and i < len(order):
+            steps.append([])
+            held = 0
+    share = 1 / len(steps)
     square, square_t = np.full((BINS, k), 1e-6), np.full((k, k), 1e-6)
-    for _ in range(rounds):
-        scores = emitted(groups, weights)[which]
-        p = marginals(scores, starts, trans)
-        gap = truth - p
-        by_word = np.stack([np.bincount(which, gap[:, j], len(distinct)) for j in range(k)], 1)
-        grad = np.stack([sum(np.bincount(b, by_word[o, j], BINS) for b, o in groups) for j in range(k)], 1) - 0.05 * weights
-        # Expected transitions from the marginals of both ends under the present transitions.
-        a, b = p[:-1][inner[1:]], p[1:][inner[1:]]
-        t = np.exp(trans - trans.max())
-        norm = np.einsum("ni,ij,nj->n", a, t, b, optimize=True)
-        expect = np.einsum("ni,nj->ij", a / norm[:, None], b, optimize=True) * t
-        grad_t = pair - expect - 0.05 * trans
-        square += grad**2
-        square_t += grad_t**2
-        weights += 0.3 * grad / np.sqrt(square)
-        trans += 0.3 * grad_t / np.sqrt(square_t)
+    for _ in range(max(rounds, -(-30 // len(steps)))):
+        for s in rng.permutation(len(steps)).tolist():
+            sequences = steps[s]
+            words = [known[w] for x in sequences for _, part in x for w in part.tolist()]
+            y = np.repeat([lang for x in sequences for lang, _ in x], [len(part) for x in sequences for _, part in x])
+            starts = np.concatenate(([0], np.cumsum([sum(len(part) for _, part in x) for x in sequences])[:-1])).astype(np.int64)
+            grad, grad_t = gradient(words, y, starts, weights, trans)
+            grad -= 0.05 * share * weights
+            grad_t -= 0.05 * share * trans
+            square += grad**2
+            square_t += grad_t**2
+            weights += 0.3 * grad / np.sqrt(square)
+            trans += 0.3 * grad_t / np.sqrt(square_t)
     return names, weights, trans
 
 
-def excerpt(text: str, max_words: int = MAX_WORDS) -> str:
-    """Pieces of a whole text, one a line, drawn by seed until they have ``max_words`` words; in text order.
-
-    Pieces are lines, and runs of ``PIECE`` blank-separated words of longer lines.
-    """
-    pieces = []
-    for line in text.split("\n"):
-        words = line.split()
-        pieces += [line] if len(words) <= PIECE else [" ".join(words[i : i + PIECE]) for i in range(0, len(words), PIECE)]
-    rng = np.random.default_rng([SEED, zlib.crc32(text.encode("utf-8", "surrogatepass"))])
-    drawn, held = [], 0
-    for i in rng.permutation(len(pieces)).tolist():
-        if held >= max_words:
-            break
-        drawn.append(i)
-        held += len(pieces[i].split())
-    return "\n".join(pieces[i] for i in sorted(drawn))
-
-
 def learned(docs: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Model from rows whose crc32(doc_id as text) mod 4 is not 2; languages and counts come from all of them."""
+    """Model from whole texts of rows whose crc32(doc_id as text) mod 4 is not 2; languages and counts come from all of them."""
     rows = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out())
     h = F.xxhash64(F.lit(SEED), "doc_id")
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(F.col("lang").cast("string")).count().collect()}
     if not counts:
         return [], np.zeros((BINS, 0)), np.zeros((0, 0))
+    each = max(1, max_rows // len(counts))
     # Of each language the rows below a hash level that lets about 1.3 times as many through as wanted.
-    level = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.3 * max_rows / n))])
-    unit = (F.pmod(h, F.lit(1 << 30)) / float(1 << 30))
-    few = rows.select("text", "lang", "doc_id", h.alias("h"), unit.alias("u")).where(F.col("u") < F.element_at(level, F.col("lang")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = pa.array([excerpt(x) for x in batch.column(0).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([texts, *batch.columns[1:]], ["text", "lang", "doc_id", "h"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    pdf = few.select(F.col("text").cast("string"), F.col("lang").cast("string"), "doc_id", "h").mapInArrow(run, f"text string, lang string, doc_id {kind}, h long").toPandas()
-    pdf = pdf.sort_values(["lang", "h", "doc_id", "text"]).groupby("lang").head(max_rows)
-    return train(pdf["text"].tolist(), pdf["lang"].tolist())
+    level = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (1.3 * each + 10) / n))])
+    below = F.pmod(h, F.lit(1 << 30)) / float(1 << 30) < F.element_at(level, F.col("lang").cast("string"))
+    few = rows.where(below).select(F.col("text").cast("string"), F.col("lang").cast("string"), "doc_id", h.alias("h")).collect()
+    few.sort(key=lambda r: (r.lang, r.h, str(r.doc_id), r.text))
+    seen: Counter = Counter()
+    kept = [r for r in few if (seen.update([r.lang]) or seen[r.lang]) <= each]
+    return train([r.text for r in kept], [r.lang for r in kept])
 
 
 def held_out():
@@ -288,7 +316,9 @@ def labelled(docs: DataFrame, max_rows: int, spans: bool) -> DataFrame:
         names, weights, trans = model.value
         k = len(names)
         place: dict[str, int] = {}
-        table = np.empty((CACHE + 65536, k))
+        cache = min(CACHE, HELD // max(1, k))
+        table = np.empty((cache + cache // 2, k))
+        most = min(100_000, 4 * HELD // max(1, k * k))
 
         def part(ids: pa.Array, held: pa.Array, texts: list[list[str]], places: list[list[tuple[int, int]]]) -> pa.RecordBatch:
             sizes = np.array([len(t) for t in texts])
@@ -297,14 +327,14 @@ def labelled(docs: DataFrame, max_rows: int, spans: bool) -> DataFrame:
             runs: list[list[dict]] = [[] for _ in texts]
             some = np.nonzero(sizes)[0]
             if len(some) and k:
-                if len(place) > CACHE:
+                if len(place) > cache:
                     place.clear()
                 words = [w for t in texts for w in t]
                 new = list({w: 0 for w in words if w not in place})
                 far = len(place) + len(new) > len(table)
                 if far:  # one batch with more new words than the table holds
                     own = {w: i for i, w in enumerate(dict.fromkeys(words))}
-                    scores = emissions(list(own), weights)[[own[w] for w in words]]
+                    scores = emissions(list(own), weights)[np.fromiter(map(own.__getitem__, words), np.int64, len(words))]
                 else:
                     if new:
                         table[len(place) : len(place) + len(new)] = emissions(new, weights)
@@ -331,9 +361,9 @@ def labelled(docs: DataFrame, max_rows: int, spans: bool) -> DataFrame:
 
         for batch in batches:
             at = 0
-            while at < batch.num_rows:  # about 100,000 words at a time, or one text
+            while at < batch.num_rows:  # at most some 100,000 words at a time, or one text
                 texts, held = [], 0
-                while at + len(texts) < batch.num_rows and held < 100_000:
+                while at + len(texts) < batch.num_rows and held < most:
                     texts.append(words_of(batch.column(2)[at + len(texts)].as_py() or ""))
                     held += len(texts[-1])
                 cut = batch.slice(at, len(texts))

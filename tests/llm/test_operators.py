@@ -339,14 +339,9 @@ def test_number_signs_are_no_letters(spark, small):
     assert (r[-1].lang_pred, r[-1].score, r[-2].n_words) == ("und", 0.0, 2)
 
 
-def test_training_words_come_from_the_whole_text():
-    lines = [f"w{i} " * (95 if i % 7 == 0 else 5) for i in range(2000)]
-    drawn = langid.excerpt("\n".join(lines)).split("\n")
-    held = sum(len(x.split()) for x in drawn)
-    assert langid.MAX_WORDS <= held < langid.MAX_WORDS + langid.PIECE and max(len(x.split()) for x in drawn) <= langid.PIECE
-    at = [int(x.split()[0][1:]) for x in drawn]
-    assert at == sorted(at) and at[0] < 500 and at[-1] > 1500
-    assert langid.excerpt("a b\n\nc") == "a b\n\nc" and langid.excerpt("") == ""
+def test_marks_stay_in_words():
+    assert langid.words_of("हिन्दी भाषा, e\u0301te\u0301 ½ cup't") == ["हिन्दी", "भाषा", "e\u0301te\u0301", "cup", "t"]
+    assert [("x हि")[a:b] for a, b in langid.places_of("x हि")] == ["x", "हि"]
 
 
 def test_forward_backward_is_enumeration():
@@ -365,6 +360,66 @@ def test_forward_backward_is_enumeration():
         assert np.allclose(got_[a:b], want / want.sum(1, keepdims=True))
 
 
+def test_pairs_are_enumeration(monkeypatch):
+    from itertools import product
+
+    rng = np.random.default_rng(1)
+    scores, trans, starts = rng.normal(size=(8, 3)), rng.normal(size=(3, 3)), np.array([0, 1, 4])
+    _, got_ = langid.expected(scores, starts, trans)
+    want = np.zeros((3, 3))
+    for a, b in ((0, 1), (1, 4), (4, 8)):
+        paths = list(product(range(3), repeat=b - a))
+        w = np.exp([sum(scores[a + i, s] for i, s in enumerate(x)) + sum(trans[p, q] for p, q in zip(x, x[1:], strict=False)) for x in paths])
+        for x, v in zip(paths, w / w.sum(), strict=True):
+            for p, q in zip(x, x[1:], strict=False):
+                want[p, q] += v
+    assert np.allclose(got_, want)
+    # Many blocks, a few at a time.
+    scores, starts = rng.normal(size=(700, 3)), np.array([0, 33, 400])
+    whole = langid.expected(scores, starts, trans)
+    monkeypatch.setattr(langid, "HELD", 40)
+    assert all(np.allclose(x, y) for x, y in zip(whole, langid.expected(scores, starts, trans), strict=True))
+
+
+def test_gradient_is_the_slope_of_the_likelihood():
+    from itertools import product
+
+    rng = np.random.default_rng(6)
+    words, y, starts = ["un", "der", "la", "un", "x"], np.array([0, 1, 1, 0, 1]), np.array([0, 3])
+    weights, trans = rng.normal(size=(langid.BINS, 2)) * 0.1, rng.normal(size=(2, 2))
+
+    def likelihood(weights, trans):
+        e, out = langid.emissions(words, weights), 0.0
+        for a, b in ((0, 3), (3, 5)):
+            score = lambda x: sum(e[a + i, s] for i, s in enumerate(x)) + sum(trans[p, q] for p, q in zip(x, x[1:], strict=False))  # noqa: B023, E731
+            out += score(y[a:b]) - np.log(sum(np.exp(score(x)) for x in product(range(2), repeat=b - a)))
+        return out
+
+    grad, grad_t = langid.gradient(words, y, starts, weights, trans)
+    step = 1e-5
+    for i, j in product(range(2), repeat=2):
+        d = np.zeros((2, 2))
+        d[i, j] = step
+        assert abs((likelihood(weights, trans + d) - likelihood(weights, trans - d)) / (2 * step) - grad_t[i, j]) < 1e-6
+    for bin_ in np.unique(np.concatenate([b for b, _ in langid.feature_bins(words)]))[::4]:
+        d = np.zeros_like(weights)
+        d[bin_, 1] = step
+        assert abs((likelihood(weights + d, trans) - likelihood(weights - d, trans)) / (2 * step) - grad[bin_, 1]) < 1e-6
+
+
+def test_language_of_many_or_one(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for lang in range(60):
+        parts = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 3)) for _ in range(4)]
+        rows += [(len(rows) + i, " ".join("".join(rng.choice(parts, 3)) for _ in range(40)), f"l{lang:02d}", "s", 0) for i in range(12)]
+    r = got(langid.identify(spark.createDataFrame(rows, DOCS)))
+    held = [x for x in rows if r[x[0]].held_out]
+    assert sum(r[x[0]].lang_pred == x[2] for x in held) >= 0.9 * len(held) > 50
+    one = got(langid.identify(spark.createDataFrame([(i, "some words here", "aa", "s", 0) for i in range(9)], DOCS)))
+    assert {x.lang_pred for x in one.values()} == {"aa"}
+
+
 def test_code_switched_words():
     rng = np.random.default_rng(2)
     make = lambda parts: " ".join("".join(rng.choice(parts, 3)) for _ in range(60))
