@@ -1,13 +1,12 @@
 """Merkle-tree fingerprints over paragraphs and sections, in Spark SQL alone.
 
-Levels, from the leaves: pieces of ``PIECE`` code points counted from the start of each paragraph;
-paragraphs (lines); sections (runs of paragraphs that end with one whose digest starts with 0 or 1,
-so about eight paragraphs, and an inserted paragraph moves no other border); the root.
-
-A fingerprint is ``root|sections|leaves``: the SHA-256 root in hex, eight hex digits a section, six
-a piece, each run in document order. Roots test equality. Differing sections, then differing leaves,
-locate an edit. The likeness of two fingerprints is 1 where roots are equal, else the Dice
-coefficient of their sets of leaves, kept below 1.
+From the leaves: pieces of ``PIECE`` code points counted from the start of each paragraph have their MD5; a paragraph (line) the SHA-256 of
+its length and its pieces' digests; a section the SHA-256 of its paragraphs' digests; the root that of the sections' digests. A
+section ends with a paragraph whose digest starts with 0 or 1, so it has about eight, and an inserted paragraph moves no other border.
+
+A fingerprint is the tree in writing: ``root|section=paragraph,length,pieces:...paragraph,length,pieces;section=...`` with the root in full,
+eight hex digits of each digest below it, ``;`` behind the last paragraph of a section and ``:`` behind others, lengths in
+hex code points. Roots test equality. ``likeness`` and ``edits`` go down the branches that differ only.
 """
 
 from __future__ import annotations
@@ -15,59 +14,123 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import let, partitions
 
 PIECE = 32
+#: Lengths summed at a time where places are counted.
+CHUNK = 256
 
 
 def fingerprint(text: Column, piece: int = PIECE) -> Column:
     """Fingerprint of a string column; null counts as the empty text."""
-    whole = F.coalesce(text, F.lit(""))
-    leaves = F.array_join(F.transform(F.regexp_extract_all(whole, F.lit(f"[^\\n]{{1,{piece}}}"), F.lit(0)), lambda x: F.lower(F.substring(F.lpad(F.hex(F.xxhash64(x)), 16, "0"), 1, 6))), "")
-    digests = F.transform(F.split(whole, "\n", -1), lambda p: F.sha2(p, 256))
-    sections = F.transform(F.split(F.array_join(digests, "\n"), r"(?<=[01][0-9a-f]{63}\n)", -1), lambda s: F.sha2(s, 256))
-    root = F.sha2(F.array_join(sections, "\n"), 256)
-    return F.concat_ws("|", root, F.array_join(F.transform(sections, lambda s: F.substring(s, 1, 8)), ""), leaves)
 
+    def paragraph(p: Column) -> Column:
+        leaves = F.transform(F.regexp_extract_all(p, F.lit(f"(?s).{{1,{piece}}}"), F.lit(0)), F.md5)
+        size = F.lower(F.hex(F.length(p)))
+        return let(leaves, lambda x: let(F.sha2(F.concat(size, F.lit(","), F.array_join(x, "")), 256), lambda d: F.concat(d, F.lit(","), size, F.lit(","), F.array_join(F.transform(x, lambda y: F.substring(y, 1, 8)), ""), F.when(d < "2", ";").otherwise(":"))))
+
+    paragraphs = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), paragraph)
+    sections = F.filter(F.split(F.array_join(paragraphs, ""), "(?<=;)", -1), lambda s: s != "")
+    # A paragraph's digest stands for its length and pieces, so a section hashes the digests alone.
+    digests = lambda s: F.array_join(F.regexp_extract_all(s, F.lit("[0-9a-f]{64}(?=,)"), F.lit(0)), "")
+    short = lambda s: F.regexp_replace(s, "([0-9a-f]{8})[0-9a-f]{56},", "$1,")
+    written = F.transform(sections, lambda s: let(F.sha2(digests(s), 256), lambda d: F.struct(d.alias("d"), F.concat(F.substring(d, 1, 8), F.lit("="), short(s)).alias("s"))))
+    return let(written, lambda w: F.concat(F.sha2(F.array_join(w["d"], ""), 256), F.lit("|"), F.array_join(w["s"], "")))
+
+
+def root_of(fp: Column) -> Column:
+    return F.substring_index(fp, "|", 1)
+
+
+def sections_of(fp: Column) -> Column:
+    return F.filter(F.split(F.substring_index(fp, "|", -1), "(?<=;)", -1), lambda s: s != "")
 
-def leaves_of(fp: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.substring_index(fp, "|", -1), F.lit("[0-9a-f]{6}"), F.lit(0)))
 
+def paragraphs_of(sections: Column) -> Column:
+    """Paragraphs (digest, length, pieces as written) of an array of sections, in order."""
+    return F.regexp_extract_all(F.array_join(sections, ""), F.lit("[0-9a-f]+,[0-9a-f]+,[0-9a-f]*"), F.lit(0))
 
-def likeness_of(same: Column, a: Column, b: Column) -> Column:
-    total = F.size(a) + F.size(b)
-    return F.when(same, 1.0).when(total == 0, 0.0).otherwise(F.least(2.0 * F.size(F.array_intersect(a, b)) / total, 1.0 - 1.0 / (total + 1)))
+
+def pieces_of(paragraphs: Column) -> Column:
+    """Distinct digests of the pieces of an array of paragraphs."""
+    return F.array_distinct(F.regexp_extract_all(F.array_join(F.transform(paragraphs, lambda p: F.substring_index(p, ",", -1)), ""), F.lit("[0-9a-f]{8}"), F.lit(0)))
+
+
+def differing(a: Column, b: Column) -> Column:
+    """Paragraphs of fingerprint ``a`` that ``b`` has not where their sections differ, once each."""
+    own, other = F.array_except(sections_of(a), sections_of(b)), F.array_except(sections_of(b), sections_of(a))
+    return F.array_except(paragraphs_of(own), paragraphs_of(other))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1 for two fingerprints, from the fingerprints alone."""
-    return likeness_of(F.substring_index(a, "|", 1) == F.substring_index(b, "|", 1), leaves_of(a), leaves_of(b))
+    """0 to 1 for two fingerprints, from the fingerprints alone: 1 where roots are equal, else the Dice coefficient of
+    their distinct pieces, kept below 1; pieces below equal sections and paragraphs are in both and not compared."""
+    alone = lambda x, y, all_y: F.size(F.array_except(pieces_of(differing(x, y)), all_y))
+
+    def share(x: Column) -> Column:
+        total = F.size(x["a"]) + F.size(x["b"])
+        apart = alone(a, b, x["b"]) + alone(b, a, x["a"])
+        return F.when(total == 0, 0.0).otherwise(let(total, lambda t: F.least(1.0 - apart / t, 1.0 - 1.0 / (t + 1))))
+
+    pieces = F.struct(pieces_of(paragraphs_of(sections_of(a))).alias("a"), pieces_of(paragraphs_of(sections_of(b))).alias("b"))
+    return F.when(root_of(a) == root_of(b), 1.0).otherwise(let(pieces, share))
+
+
+def edits(a: Column, b: Column, piece: int = PIECE) -> Column:
+    """Where the text of fingerprint ``a`` differs from that of ``b``: array of (start, end) in code points, end exclusive.
+
+    One range for each piece of a differing paragraph that no differing paragraph of ``b`` has; for a paragraph without pieces an
+    empty range. Nothing where roots are equal.
+    """
+    total = lambda x, at, n: F.aggregate(F.slice(x, at, n), F.lit(0), lambda s, y: s + y)
+    part = lambda p, k: F.split(p, ",")[k]
+    size = lambda p: F.conv(part(p, 1), 16, 10).cast("int")
+
+    def ranges(x: Column) -> Column:
+        sizes = F.transform(x["all"], lambda p: size(p) + 1)
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(x["all"]) / CHUNK).cast("int")), lambda k: total(sizes, k * CHUNK + 1, F.lit(CHUNK)))
+        known = pieces_of(x["other"])
+
+        def one(p: Column, i: Column) -> Column:
+            whole = F.floor(i / CHUNK).cast("int")
+            start = total(blocks, F.lit(1), whole) + total(sizes, whole * CHUNK + 1, i % CHUNK)
+            digests = F.regexp_extract_all(part(p, 2), F.lit("[0-9a-f]{8}"), F.lit(0))
+            span = lambda s, k: F.struct((s + k * piece).alias("start"), F.least(s + (k + 1) * piece, s + size(p)).alias("end"))
+            spans = lambda s: F.filter(F.transform(digests, lambda d, k: F.when(~F.array_contains(known, d), span(s, k))), lambda y: y.isNotNull())
+            empty = lambda s: F.array(F.struct(s.alias("start"), s.alias("end")))
+            return F.when(F.array_contains(x["own"], p), let(start, lambda s: F.when(size(p) == 0, empty(s)).otherwise(spans(s))))
+
+        return F.flatten(F.filter(F.transform(x["all"], one), lambda y: y.isNotNull()))
+
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    tree = F.struct(paragraphs_of(sections_of(a)).alias("all"), differing(a, b).alias("own"), differing(b, a).alias("other"))
+    return F.when(root_of(a) == root_of(b), none).otherwise(let(tree, ranges))
+
+
+def below(borders: Column, n: int, value: Column) -> Column:
+    """How many of ``n`` sorted ``borders`` are at most ``value``, by halving."""
+    step = lambda s, _: F.when(s["lo"] < s["hi"], let(F.floor((s["lo"] + s["hi"]) / 2).cast("int"), lambda m: F.when(F.element_at(borders, m + 1) <= value, F.struct((m + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), m.alias("hi"))))).otherwise(s)
+    start = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(n.bit_length())), start, step, lambda s: s["lo"])
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of ``docs`` with ``following``: the struct of ``columns`` of the row next by (doc_id, text); after the last, the first.
+def with_next(docs: DataFrame) -> tuple[DataFrame, Window]:
+    """Rows of ``docs`` in windows by range of doc_id, ordered by (doc_id, text), each followed by the row next to it: after the last comes the first.
 
-    doc_ids are cut into ranges of about equal counts, which bound a window each; the first row of each range is
-    also dealt to the range before it. One shuffle of the rows; ranges of a third of the rows under one
-    doc_id stay ordered by text.
+    Rows with ``seen`` false stand at the end of a window for the first of the next; they are no rows of the
+    table. Ranges are those of a range partitioning of the ids alone. The texts are shuffled once.
     """
-    spark = docs.sparkSession
     keyed = docs.withColumn("at", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
-    n = 4 * partitions(spark)
-    borders = keyed.agg(F.percentile_approx("at", [i / n for i in range(1, n)], 100 * n)).first()[0] or []
-    borders = sorted(set(borders))
-    spot = lambda c: F.expr(f"size(filter(array({', '.join(f'{x}L' if x > -(2**63) else 'cast(-9223372036854775808 as long)' for x in borders)}), x -> x <= {c}))") if borders else F.lit(0)
-    firsts = sorted((r[0], r[1]) for r in keyed.select(spot("at").alias("r"), "at").groupBy("r").agg(F.min("at")).collect())
-    placed = keyed.withColumn("r", spot("at"))
+    ranged = keyed.select("at").repartitionByRange(4 * partitions(docs.sparkSession), "at")
+    firsts = sorted(r[1] for r in ranged.groupBy(F.spark_partition_id().alias("r")).agg(F.min("at")).collect())
+    n = len(firsts)
+    borders = F.split(F.lit(",".join(map(str, firsts))), ",").cast("array<long>")
+    placed = keyed.withColumn("r", below(borders, n, F.col("at")) - 1)
     # The rows of each range's smallest doc_id also stand at the end of the range before.
-    before = {at: firsts[i - 1][0] for i, (_, at) in enumerate(firsts)}
-    heads = F.create_map(*[F.lit(x).cast("long" if k % 2 == 0 else "int") for k, x in enumerate(y for kv in before.items() for y in kv)]) if before else F.lit(None)
-    if not before:
-        return placed.withColumn("following", F.struct(*columns)).drop("at", "r")
-    both = placed.withColumn("seen", F.explode(F.expr("array(true, false)"))).withColumn("r", F.when(F.col("seen"), F.col("r")).otherwise(F.element_at(heads, F.col("at")))).where("r is not null")
-    order = Window.partitionBy("r").orderBy(F.col("seen").desc(), "at", F.col("text").asc_nulls_first())
-    both = both.withColumn("following", F.lead(F.struct(*columns)).over(order))
-    return both.where("seen").drop("at", "r", "seen")
+    before = F.when(F.col("at") == F.element_at(borders, F.greatest(F.col("r"), F.lit(0)) + 1), F.array(F.struct(F.col("r").alias("r"), F.lit(True).alias("seen")), F.struct(F.pmod(F.col("r") - 1, F.lit(max(n, 1))).alias("r"), F.lit(False).alias("seen"))))
+    both = placed.select(*docs.columns, "at", F.explode(F.coalesce(before, F.array(F.struct(F.col("r").alias("r"), F.lit(True).alias("seen"))))).alias("x")) if n else placed.withColumn("x", F.struct("r", F.lit(True).alias("seen")))
+    both = both.select(*docs.columns, "at", "x.r", "x.seen")
+    return both, Window.partitionBy("r").orderBy(F.col("seen").desc(), "at", F.col("text").asc_nulls_first())
 
 
 def edited(docs: DataFrame) -> DataFrame:
@@ -78,18 +141,15 @@ def edited(docs: DataFrame) -> DataFrame:
     rows that share a doc_id the one with the smaller text comes first.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = docs.select("doc_id", text.alias("text")).withColumn("n_chars", F.length("text").cast("long")).withColumn("fp", fingerprint(F.col("text")))
-    pairs = with_next(own, ["text", "fp"])
-    half = F.floor(F.col("n_chars") / 2).cast("int")
-    new = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("following.text"), F.lit(1), half))
-    a, b, c = leaves_of(F.col("fp")), leaves_of(F.col("efp")), leaves_of(F.col("nfp"))
-    same = lambda x, y: F.substring_index(x, "|", 1) == F.substring_index(y, "|", 1)
-    return (
-        pairs.select("doc_id", "n_chars", "fp", new.alias("new"), F.col("following.fp").alias("nfp"))
-        .select("doc_id", "n_chars", "fp", "nfp", F.sha2("new", 256).alias("edited_sha256"), fingerprint(F.col("new")).alias("efp"))
-        .select("*", a.alias("a"), b.alias("b"), c.alias("c"))
-        .select(
-            "doc_id", "n_chars", "edited_sha256", F.col("fp").alias("fingerprint"), F.col("efp").alias("edited_fingerprint"),
-            likeness_of(same("fp", "efp"), F.col("a"), F.col("b")).alias("near_edited"), likeness_of(same("fp", "nfp"), F.col("a"), F.col("c")).alias("near_next"),
-        )
+    rows, order = with_next(docs.select("doc_id", text.alias("text")))
+    half = F.floor(F.length("text") / 2).cast("int")
+    new = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("following"), F.lit(1), half))
+    # Trees are built behind the shuffle and looked up in the same windows.
+    trees = (
+        rows.withColumn("following", F.lead("text").over(order))
+        .select("doc_id", "at", "text", "r", "seen", new.alias("new"))
+        .select("doc_id", "at", "text", "r", "seen", F.length("text").cast("long").alias("n_chars"), F.sha2("new", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("new")).alias("edited_fingerprint"))
     )
+    pairs = trees.withColumn("next", F.lead("fingerprint").over(order)).where("seen")
+    near = lambda other: likeness(F.col("fingerprint"), F.col(other))
+    return pairs.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("next").alias("near_next"))

@@ -22,7 +22,7 @@ SHARE = 1.5
 MOST = 2
 SEED = 42
 #: Rows of a length in which its border is sought by ranking, about.
-SLICE = 1024
+SLICE = 256
 #: Least width, in words, of the table of sums; it is twice the longest text where that is more.
 REACH = 1 << 16
 

@@ -14,3 +14,21 @@ named AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
 counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, n.component_id, e.vec_id = n.component_id AS kept
 FROM embeddings e JOIN named n ON n.a = e.vec_id LEFT JOIN counts c ON c.a = e.vec_id"""
+
+# Trees are built for the texts and their edited texts alike; likeness is the plain Dice coefficient of distinct pieces.
+SQL["op10_merkle"] = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id, text) AS rn, count(*) OVER () AS n FROM documents),
+p AS (SELECT a.doc_id, a.rn, b.rn AS next_rn, a.text, left(a.text, length(a.text) - length(a.text) // 2) || left(b.text, length(a.text) // 2) AS new FROM d a JOIN d b ON b.rn = a.rn % a.n + 1),
+t AS (SELECT rn, 0 AS kind, text FROM p UNION ALL SELECT rn, 1, new FROM p),
+leaves AS (SELECT rn, kind, list_transform(string_split(text, chr(10)), lambda q: {'s': lower(to_hex(length(q))), 'l': list_transform(regexp_extract_all(q, '(?s).{1,32}'), lambda x: md5(x))}) AS q FROM t),
+paragraphs AS (SELECT rn, kind, list_transform(q, lambda z: {'s': z.s, 'l': z.l, 'd': sha256(z.s || ',' || coalesce(array_to_string(z.l, ''), ''))}) AS q FROM leaves),
+listed AS (SELECT rn, kind, array_to_string(list_transform(q, lambda z: z.d || ',' || z.s || ',' || coalesce(array_to_string(list_transform(z.l, lambda x: left(x, 8)), ''), '') || CASE WHEN z.d < '2' THEN ';' ELSE ':' END), '') AS j FROM paragraphs),
+cut AS (SELECT rn, kind, list_filter(string_split(replace(j, ';', ';' || chr(1)), chr(1)), lambda s: s <> '') AS s FROM listed),
+sections AS (SELECT rn, kind, list_transform(s, lambda x: {'d': sha256(array_to_string(regexp_extract_all(x, '([0-9a-f]{64}),', 1), '')), 's': regexp_replace(x, '([0-9a-f]{8})[0-9a-f]{56},', '\1,', 'g')}) AS s FROM cut),
+prints AS (SELECT rn, kind, sha256(array_to_string(list_transform(s, lambda x: x.d), '')) AS root, array_to_string(list_transform(s, lambda x: left(x.d, 8) || '=' || x.s), '') AS body FROM sections),
+trees AS (SELECT rn, kind, root, root || '|' || body AS fp,
+  list_distinct(regexp_extract_all(array_to_string(list_transform(regexp_extract_all(body, '[0-9a-f]+,[0-9a-f]+,[0-9a-f]*'), lambda x: split_part(x, ',', 3)), ''), '[0-9a-f]{8}')) AS pieces FROM prints),
+near AS (SELECT a.rn, b.rn AS other, b.kind, CASE WHEN a.root = b.root THEN 1.0::DOUBLE WHEN len(a.pieces) + len(b.pieces) = 0 THEN 0.0::DOUBLE ELSE least(
+  1.0::DOUBLE - (len(a.pieces) + len(b.pieces) - 2 * len(list_intersect(a.pieces, b.pieces)))::DOUBLE / (len(a.pieces) + len(b.pieces))::DOUBLE, 1.0::DOUBLE - 1.0::DOUBLE / (len(a.pieces) + len(b.pieces) + 1)::DOUBLE) END AS v
+  FROM p JOIN trees a ON a.rn = p.rn AND a.kind = 0 JOIN trees b ON (b.rn = p.rn AND b.kind = 1) OR (b.rn = p.next_rn AND b.kind = 0))
+SELECT p.doc_id, length(p.text)::BIGINT AS n_chars, sha256(p.new) AS edited_sha256, a.fp AS fingerprint, e.fp AS edited_fingerprint, x.v AS near_edited, y.v AS near_next
+FROM p JOIN trees a ON a.rn = p.rn AND a.kind = 0 JOIN trees e ON e.rn = p.rn AND e.kind = 1 JOIN near x ON x.rn = p.rn AND x.kind = 1 JOIN near y ON y.rn = p.rn AND y.kind = 0"""

@@ -674,13 +674,84 @@ def test_merkle(spark, small, odd, none):
     assert one.edited_sha256 == hashlib.sha256(b"abab").hexdigest() and one.near_next == 1
 
 
+def tree(text):
+    """(root, sections of paragraphs (digest, pieces)) by the plain reading of the docstring."""
+    sections, at = [[]], []
+    for line in text.split("\n"):
+        pieces = [hashlib.md5(line[i : i + 32].encode()).hexdigest() for i in range(0, len(line), 32)]
+        d = hashlib.sha256(f"{len(line):x},{''.join(pieces)}".encode()).hexdigest()
+        sections[-1].append((d, len(line), pieces))
+        if d < "2":
+            sections.append([])
+    sections = [x for x in sections if x]
+    at = [hashlib.sha256("".join(p[0] for p in x).encode()).hexdigest() for x in sections]
+    body = "".join(d[:8] + "=" + "".join(f"{p[:8]},{n:x},{''.join(y[:8] for y in ys)}" + (";" if p < "2" else ":") for p, n, ys in x) for d, x in zip(at, sections, strict=True))
+    return hashlib.sha256("".join(at).encode()).hexdigest() + "|" + body, {y[:8] for x in sections for _, _, ys in x for y in ys}
+
+
+def test_merkle_is_the_plain_tree(spark):
+    rng = np.random.default_rng(2)
+    words = ["tree", "of", "pieces", "é🙂", "", "a much longer word than the others are", "x,y:z;w=|"]
+    make = lambda: "\n".join(" ".join(rng.choice(words, int(rng.integers(0, 12)))) for _ in range(int(rng.integers(1, 40))))
+    texts = ["", "\n", "\n\n", "a", "a\n", "a\r\nb", "\r" * 70] + [make() for _ in range(40)]
+    pairs = [(t, u) for t, u in zip(texts, texts[1:] + texts[:1], strict=True)] + [(t, t.replace("of", "oF", 1)) for t in texts] + [(t, t) for t in texts[:9]] + [(t + "\n" + t, t) for t in texts[7:15]]
+    d = spark.createDataFrame(pairs, "a string, b string").select("a", "b", merkle.fingerprint(F.col("a")).alias("fa"), merkle.fingerprint(F.col("b")).alias("fb"))
+    for r in d.select("*", merkle.likeness(F.col("fa"), F.col("fb")).alias("like"), merkle.edits(F.col("fa"), F.col("fb")).alias("edits")).collect():
+        (fa, ua), (fb, ub) = tree(r.a), tree(r.b)
+        assert (r.fa, r.fb) == (fa, fb)
+        n = len(ua) + len(ub)
+        dice = 1.0 if r.a == r.b else min(2 * len(ua & ub) / n, 1 - 1 / (n + 1)) if n else 0.0
+        assert abs(r.like - dice) < 1e-12
+        # Paragraphs of a, below sections that b lacks, that are below no section that a lacks: their pieces that have no counterpart there.
+        sa, sb = branches(fa), branches(fb)
+        da, db = ({p for x in own for p in x} for own in ([x for x in sa if x not in sb], [x for x in sb if x not in sa]))
+        known = {p.split(",")[2][i : i + 8] for p in db - da for i in range(0, len(p.split(",")[2]), 8)}
+        want, at = [], 0
+        for p in [p for x in sa for p in x]:
+            _, n, ys = p.split(",")
+            ranges = [(at + 4 * i, at + min(4 * i + 32, int(n, 16))) for i in range(0, len(ys), 8) if ys[i : i + 8] not in known] if ys else [(at, at)]
+            want += ranges if p in da - db else []
+            at += int(n, 16) + 1
+        assert [tuple(x) for x in r.edits] == ([] if r.a == r.b else want)
+
+
+def branches(fp):
+    """Sections of a fingerprint, each the tuple of its paragraphs with the section's digest."""
+    return [tuple(p for p in re.split("[:;]", x.split("=")[1]) if p) for x in re.split("(?<=;)", fp.split("|")[1]) if x]
+
+
 def test_merkle_locates_edits(spark):
-    lines = [f"paragraph number {i} with some words" for i in range(60)]
-    other = list(lines)
-    other[30] = "an altogether different line"
-    a, b = (spark.createDataFrame([("\n".join(x),)], "t string").select(merkle.fingerprint(F.col("t")).alias("f")).first().f for x in (lines, other))
-    (ra, sa, _), (rb, sb, _) = a.split("|"), b.split("|")
-    cut = lambda s: [s[i : i + 8] for i in range(0, len(s), 8)]
-    assert ra != rb and len(set(cut(sa)) - set(cut(sb))) <= 2
-    like = spark.createDataFrame([(a, b)], "a string, b string").select(merkle.likeness(F.col("a"), F.col("b"))).first()[0]
-    assert 0.9 < like < 1
+    lines = [f"paragraph number {i} with some words" for i in range(600)]
+    other = [*lines[:30], "an altogether different line", *lines[31:300], "one line more", *lines[300:]]
+    a, b = "\n".join(lines), "\n".join(other)
+    r = spark.createDataFrame([(a, b)], "a string, b string").select(merkle.fingerprint(F.col("a")).alias("a"), merkle.fingerprint(F.col("b")).alias("b"))
+    r = r.select(merkle.likeness(F.col("a"), F.col("b")), merkle.edits(F.col("a"), F.col("b")), merkle.edits(F.col("b"), F.col("a"))).first()
+    assert 0.99 < r[0] < 1
+    assert [a[x.start : x.end] for x in r[1]] == ["paragraph number 30 with some wo", "rds"]
+    assert [b[x.start : x.end] for x in r[2]] == ["an altogether different line", "one line more"]
+
+
+@pytest.mark.parametrize("partitions", [1, 8])
+def test_next_rows(spark, partitions):
+    ids = [5, 1, None, 3, 3, 9, -4, 2**40, 7, 7, 8, 11]
+    rows = [(i, f"text {k} " * 5) for k, i in enumerate(ids)]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    r = sorted(((x.doc_id, x.n_chars, x.edited_sha256) for x in merkle.edited(spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)).collect()), key=str)
+    want = []
+    for (i, t), (_, u) in zip(order, order[1:] + order[:1], strict=True):
+        want.append((i, len(t), hashlib.sha256((t[: len(t) - len(t) // 2] + u[: len(t) // 2]).encode()).hexdigest()))
+    assert r == sorted(want, key=str)
+
+
+# SQL
+
+
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+def test_queries_are_their_sql(spark, small, name):
+    db = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "labels"):
+        db.execute(f"create view {t} as select * from '{small}/{t}.parquet'")
+    ours = entry.queries()[name](spark, small)
+    columns = sorted(ours.columns)
+    a = sorted(repr([r[c] for c in columns]) for r in ours.collect())
+    assert a == sorted(repr(list(r)) for r in db.execute(f"select {', '.join(columns)} from ({entry.oracle_sql()[name]})").fetchall())
