@@ -31,16 +31,22 @@ def effective_batch(batch: int, accumulation: int) -> int:
     return batch * accumulation
 
 
-def fit(train: DataFrame, features: int = 1 << 14, rounds: int = 20) -> PipelineModel:
+def fit(train: DataFrame, features: int = 1 << 14, rounds: int = 20, decay: float = 1e-3) -> PipelineModel:
     stages = [
         RegexTokenizer(inputCol="text", outputCol="c_", pattern="", gaps=True, toLowercase=True, minTokenLength=1),
         NGram(n=2, inputCol="c_", outputCol="g_"),
         HashingTF(inputCol="g_", outputCol="features", numFeatures=features),
-        LogisticRegression(featuresCol="features", labelCol="label_id", maxIter=rounds, regParam=1e-3),
+        LogisticRegression(featuresCol="features", labelCol="label_id", maxIter=rounds, regParam=decay),
     ]
     return Pipeline(stages=stages).fit(train.where("text is not null and label_id is not null"))
 
 
+def parameters(model: PipelineModel) -> int:
+    """Number of fitted weights."""
+    last = model.stages[-1]
+    return last.coefficientMatrix.numRows * last.coefficientMatrix.numCols + last.interceptVector.size
+
+
 def logits(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """(text, label_id, logits) of every row."""
     return model.transform(rows).select("text", "label_id", vector_to_array(F.col("rawPrediction")).alias("logits"))

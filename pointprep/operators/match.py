@@ -100,3 +100,16 @@ def additive(points: DataFrame, vocab: DataFrame, column: str = "clean_name", le
     best = total.groupBy("norm").agg(F.max_by(F.struct("label", "score"), F.struct("score", -F.col("label_id"))).alias("b")).where(F.col("b.score") >= least)
     found = names.join(best, "norm", "left").select("norm", F.coalesce("label", "b.label").alias("label"), F.when(F.col("label").isNotNull(), 1.0).when(F.col("b.score").isNotNull(), F.least(F.col("b.score"), F.lit(cap))).otherwise(0.0).alias("confidence"))
     return keyed.join(found, "norm", "left").select(*points.columns, "label", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+
+
+class LabelMatcher:
+    """A vocabulary (label, label_id) with its rules, to match many tables: the cascade or the additive scorer."""
+
+    def __init__(self, vocab: DataFrame, rules: list = RULES, keywords: dict = KEYWORDS):
+        self.vocab, self.rules, self.keywords = vocab, rules, keywords
+
+    def match(self, points: DataFrame, column: str = "clean_name", min_confidence: float | None = None) -> DataFrame:
+        return cascade(points, self.vocab, column, self.rules, min_confidence)
+
+    def score(self, points: DataFrame, column: str = "clean_name") -> DataFrame:
+        return additive(points, self.vocab, column, keywords=self.keywords)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,14 +14,25 @@ def clean_strings(df: DataFrame) -> DataFrame:
     return df.select(*[remove_spaces(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in df.schema.fields])
 
 
-def complete(df: DataFrame, columns: tuple[str, ...] = ("text", "target")) -> DataFrame:
-    """Rows whose stripped ``columns`` are neither null nor empty; the columns come out stripped."""
-    out = df.withColumns({c: strip(F.col(c)) for c in columns})
+def is_complete(columns: tuple[str, ...]) -> Column:
+    """Whether the stripped ``columns`` are neither null nor empty."""
+    out = F.lit(True)
     for c in columns:
-        out = out.where(F.col(c).isNotNull() & (F.length(c) > 0))
+        out = out & F.coalesce(F.length(strip(F.col(c))) > 0, F.lit(False))
     return out
 
 
+def complete(df: DataFrame, columns: tuple[str, ...] = ("text", "target")) -> DataFrame:
+    """Rows whose stripped ``columns`` are neither null nor empty; the columns come out stripped."""
+    return df.where(is_complete(columns)).withColumns({c: strip(F.col(c)) for c in columns})
+
+
+def removal_summary(df: DataFrame, columns: tuple[str, ...] = ("text", "target")) -> DataFrame:
+    """One row: n_rows, n_kept and n_removed by ``complete``."""
+    kept = F.count_if(is_complete(columns))
+    return df.agg(F.count("*").alias("n_rows"), kept.alias("n_kept"), (F.count("*") - kept).alias("n_removed"))
+
+
 def label_distribution(df: DataFrame, target: str) -> DataFrame:
     """(label, n) by label; nulls do not count."""
     return df.where(F.col(target).isNotNull()).groupBy(F.col(target).alias("label")).agg(F.count("*").alias("n")).orderBy("label")

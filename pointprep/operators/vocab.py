@@ -28,10 +28,13 @@ KEYWORDS = {
 def vocabulary(df: DataFrame, column: str) -> DataFrame:
     """(label, label_id): distinct values that are not null, numbered from 0 by code point.
 
-    The window runs over the distinct labels only.
+    Labels are numbered among those with the same first characters; the only window over everything has one row for each such beginning.
     """
-    labels = df.where(F.col(column).isNotNull()).select(F.col(column).alias("label")).distinct()
-    return labels.withColumn("label_id", (F.dense_rank().over(Window.orderBy("label")) - 1).cast("int"))
+    labels = df.where(F.col(column).isNotNull()).select(F.col(column).alias("label")).distinct().withColumn("start_", F.substring(F.col("label").cast("string"), 1, 3))
+    starts = labels.groupBy("start_").agg(F.count("*").alias("n_"))
+    before = F.coalesce(F.sum("n_").over(Window.orderBy("start_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    nth = F.row_number().over(Window.partitionBy("start_").orderBy("label")) - 1
+    return labels.withColumn("nth_", nth).join(starts.withColumn("before_", before), "start_").select("label", (F.col("before_") + F.col("nth_")).cast("int").alias("label_id"))
 
 
 def lookup(vocab: DataFrame) -> DataFrame:

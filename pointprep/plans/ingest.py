@@ -10,11 +10,11 @@ from pointprep.operators import dedup, match, profile, split, vocab
 PIPELINE_CONFIDENCE, EXTRACT_CONFIDENCE = 0.6, 0.0
 
 
-def prepare(df: DataFrame, key: str, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def prepare(df: DataFrame, key: str, seed: int = 42, train: float = 0.8, val: float = 0.1, test: float = 0.1) -> tuple[DataFrame, DataFrame]:
     """(rows text, label, label_id, split; vocabulary) from (text, target): strip, drop empty, number labels, split."""
     rows = profile.complete(df).withColumnRenamed("target", "label")
     labels = vocab.vocabulary(rows, "label")
-    return split.three_way(rows, "label", key, seed=seed).join(labels, "label"), labels
+    return split.three_way(rows, "label", key, train, val, test, seed).join(labels, "label"), labels
 
 
 def generate(points: DataFrame, labels: DataFrame, order: list[str], min_confidence: float = PIPELINE_CONFIDENCE, rules: list = vocab.RULES) -> DataFrame:

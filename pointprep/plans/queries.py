@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pointprep.functions import text as T
 from pointprep.operators import dedup, match, metrics, profile, split, vocab
+from pointprep.sources import profiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,9 +46,14 @@ def clean_strip_spaces(spark, sf_dir):
 @query(r"""SELECT count(*) AS n_rows, count(*) FILTER (text IS NOT NULL AND lang IS NOT NULL AND length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 0 AND length(trim(lang)) > 0) AS n_kept,
 count(*) - count(*) FILTER (text IS NOT NULL AND lang IS NOT NULL AND length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 0 AND length(trim(lang)) > 0) AS n_removed FROM documents""")
 def nonempty_filter(spark, sf_dir):
-    full = lambda c: F.length(T.strip(F.col(c))) > 0
-    kept = F.count_if(full("text") & full("lang"))
-    return read(spark, sf_dir, "documents").agg(F.count("*").alias("n_rows"), kept.alias("n_kept"), (F.count("*") - kept).alias("n_removed"))
+    return profile.removal_summary(read(spark, sf_dir, "documents"), ("text", "lang"))
+
+
+@query(r"""SELECT doc_id, md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS text_md5, regexp_replace(lang, '^\s+|\s+$', '', 'g') AS lang FROM documents
+WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 0 AND length(regexp_replace(lang, '^\s+|\s+$', '', 'g')) > 0""")
+def complete_rows(spark, sf_dir):
+    d = profile.complete(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), ("text", "lang"))
+    return d.select("doc_id", F.md5("text").alias("text_md5"), "lang")
 
 
 @query("SELECT p_type AS label, count(*) AS n FROM part WHERE p_type IS NOT NULL GROUP BY 1 ORDER BY 1")
@@ -172,7 +178,8 @@ def points(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 def exact_match(spark, sf_dir):
     p, labels = points(spark, sf_dir)
     named = p.select("p_partkey", T.normalize(F.col("clean_name")).alias("norm"))
-    out = match.exact(named, labels, 64).join(F.broadcast(labels), "label", "left")
+    n = labels.count()
+    out = match.exact(named, labels, n).join(match.sized(labels, n), "label", "left")
     return out.select("p_partkey", "label", F.coalesce("label_id", F.lit(-1)).alias("label_id"), F.when(F.col("label").isNotNull(), 1.0).otherwise(0.0).alias("confidence"))
 
 
@@ -191,7 +198,7 @@ def jaccard_match(spark, sf_dir):
     part = read(spark, sf_dir, "part")
     labels = vocab.vocabulary(part.where("p_name NOT LIKE 'old g%'"), "p_name")
     names = part.select(F.concat_ws(" ", F.lower("p_type"), "p_name").alias("norm")).distinct()
-    return match.jaccard(names, labels, 64).withColumn("confidence", r6("confidence"))
+    return match.jaccard(names, labels, labels.count()).withColumn("confidence", r6("confidence"))
 
 
 KEYWORDS = {"bolt": ["Bolt", "small"], "gear": ["Gear"], "plate": ["Plate", "plate"], "promo": ["red"], "rod": ["Rod"]}
@@ -242,12 +249,18 @@ def unmatched_report(spark, sf_dir):
     return profile.unmatched_report(match.cascade(p, labels, rules=RULES, min_confidence=0.6), order="p_partkey")
 
 
-@query("SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS INTEGER) AS pos, role AS raw_name, coalesce(CASE WHEN turn % 2 = 0 THEN role END, 'unknown') AS value_type, length(text) AS n FROM conversations WHERE text IS NOT NULL AND text <> ''")
+@query("""SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS INTEGER) AS pos, md5(text) AS raw_md5, md5(regexp_replace(text, ':present-value$', '', 'i')) AS clean_md5,
+'conversation ' || CAST(conv_id AS VARCHAR) AS profile_name, 'c/' || CAST(conv_id AS VARCHAR) AS source_file, coalesce(CASE WHEN turn % 2 = 0 THEN role END, 'unknown') AS value_type FROM conversations WHERE text IS NOT NULL AND text <> ''""")
 def unnest_resources(spark, sf_dir):
+    """Conversations stand for parsed files, turns for their points."""
     c = read(spark, sf_dir, "conversations").where("text is not null and text <> ''")
-    doc = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", F.when(F.col("turn") % 2 == 0, F.col("role")).alias("value_type")))).alias("deviceResources"))
-    each = doc.select("conv_id", F.posexplode("deviceResources").alias("pos", "r"))
-    return each.select("conv_id", "pos", F.col("r.role").alias("raw_name"), F.coalesce("r.value_type", F.lit("unknown")).alias("value_type"), F.length("r.text").cast("long").alias("n"))
+    point = F.struct("turn", "role", F.col("text").alias("name"), F.when(F.col("turn") % 2 == 0, F.col("role")).otherwise("unknown").alias("value_type"))
+    files = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(point)).alias("p")).select(
+        F.concat(F.lit("store/c/"), F.col("conv_id").cast("string")).alias("path"), F.concat(F.lit("conversation "), F.col("conv_id").cast("string")).alias("profile_name"), F.lit(None).cast("string").alias("error"),
+        F.transform("p", lambda x: F.struct(x["name"].alias("name"), x["value_type"].alias("value_type"))).alias("points"),
+    )
+    each = profiles.points(files, "store")
+    return each.select(F.substring_index("path", "/", -1).cast("long").alias("conv_id"), "pos", F.md5("raw_name").alias("raw_md5"), F.md5("clean_name").alias("clean_md5"), "profile_name", "source_file", "value_type")
 
 
 KEY = r"lower(regexp_replace(text, '^\s+|\s+$', '', 'g'))"
@@ -267,6 +280,14 @@ def merge_anti_dedup(spark, sf_dir):
     return dedup.new_entries(old, new, "text", ["doc_id"]).select("doc_id")
 
 
+@query(f"""SELECT n.n AS n_new, u.n AS n_unique, n.n - u.n AS n_duplicates FROM (SELECT count(*) AS n FROM documents WHERE source >= 'src15') n, (SELECT count(*) AS n FROM {FRESH}) u""")
+def merge_counters(spark, sf_dir):
+    from pointprep.operators.merge import counters
+
+    old, new, _ = fresh(spark, sf_dir)
+    return counters(old.where("doc_id % 10 <> 0"), old.where("doc_id % 10 = 0"), new, "doc_id")
+
+
 @query(f"""WITH f AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS rn FROM {FRESH})
 SELECT doc_id, CASE WHEN rn <= floor((SELECT count(*) FROM f) * 0.1::DOUBLE) THEN 'validation' ELSE 'train' END AS split FROM f
 UNION ALL SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'validation' ELSE 'train' END FROM documents WHERE source < 'src15'""")
@@ -278,11 +299,18 @@ def merge_split(spark, sf_dir):
     return (out if out is not None else old.withColumn("split", F.when(F.col("doc_id") % 10 == 0, "validation").otherwise("train"))).select("doc_id", "split")
 
 
-@query("SELECT s_suppkey, coalesce(n_name, 'unknown_' || CAST(k AS VARCHAR)) AS label FROM (SELECT s_suppkey, s_nationkey + CASE WHEN s_suppkey % 7 = 0 THEN 100 ELSE 0 END AS k FROM supplier) LEFT JOIN nation ON n_nationkey = k")
+SUPPLIED = "(SELECT s_name, s_nationkey + CASE WHEN s_suppkey % 7 = 0 THEN 100 ELSE 0 END AS k, CAST(s_suppkey % 30 AS INTEGER) AS top FROM supplier)"
+
+
+@query(f"""SELECT s_name AS text, k AS actual_id, coalesce(a.n_name, 'unknown_' || CAST(k AS VARCHAR)) AS actual_label, top AS predicted_id, coalesce(p.n_name, 'unknown_' || CAST(top AS VARCHAR)) AS predicted_label,
+round(1.0 / (1.0 + 29.0 * exp(-2.0)), 6) AS confidence, k = top AS correct FROM {SUPPLIED} LEFT JOIN nation a ON a.n_nationkey = k LEFT JOIN nation p ON p.n_nationkey = top""")
 def id_to_label(spark, sf_dir):
-    ids = read(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_nationkey") + F.when(F.col("s_suppkey") % 7 == 0, 100).otherwise(0)).alias("k"))
-    names = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), "n_name")
-    return ids.join(names, "k", "left").select("s_suppkey", F.coalesce("n_name", F.concat(F.lit("unknown_"), F.col("k").cast("string"))).alias("label"))
+    """Prediction rows: of 30 logits one is 2 and the others 0."""
+    top = (F.col("s_suppkey") % 30).cast("int")
+    logits = F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: F.when(i == top, 2.0).otherwise(0.0))
+    scored = read(spark, sf_dir, "supplier").select(F.col("s_name").alias("text"), (F.col("s_nationkey") + F.when(F.col("s_suppkey") % 7 == 0, 100).otherwise(0)).alias("label_id"), logits.alias("logits"))
+    names = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("label_id"), F.col("n_name").alias("label"))
+    return metrics.predictions(scored, names).withColumn("confidence", r6("confidence"))
 
 
 @query("SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS predicted_id, round(1.0 / list_sum(list_transform(embedding, lambda x: exp(x::DOUBLE - list_max(embedding)::DOUBLE))), 6) AS confidence FROM embeddings")
@@ -322,3 +350,15 @@ def classification_report(spark, sf_dir):
 def best_checkpoint(spark, sf_dir):
     days = read(spark, sf_dir, "events").groupBy(F.dayofmonth("ts").alias("epoch")).agg(F.count_if(F.col("event_type") == "click").alias("f1_weighted"))
     return metrics.best_checkpoint(days, patience=1000).where("best").select("epoch", "f1_weighted")
+
+
+DAYS = "(SELECT CAST(day(ts) AS INTEGER) AS epoch, count(*) FILTER (event_type = 'click') AS f1_weighted FROM events GROUP BY 1)"
+
+
+@query(f"""WITH g AS (SELECT *, row_number() OVER (ORDER BY epoch) AS i, f1_weighted > coalesce(max(f1_weighted) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS gain FROM {DAYS}),
+l AS (SELECT *, i - max(CASE WHEN gain THEN i END) OVER (ORDER BY epoch) AS idle FROM g), s AS (SELECT *, coalesce(max((idle >= 3)::INT) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS stopped FROM l),
+t AS (SELECT (SELECT i FROM s WHERE NOT stopped ORDER BY f1_weighted DESC, i LIMIT 1) AS b, (SELECT max(i) FROM s WHERE NOT stopped) AS e)
+SELECT epoch, f1_weighted, i = b AS best, stopped, NOT stopped AND (i = b OR i > e - 1) AS kept FROM s, t""")
+def early_stopping(spark, sf_dir):
+    days = read(spark, sf_dir, "events").groupBy(F.dayofmonth("ts").alias("epoch")).agg(F.count_if(F.col("event_type") == "click").alias("f1_weighted"))
+    return metrics.best_checkpoint(days)

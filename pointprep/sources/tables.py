@@ -29,15 +29,26 @@ def read_jsonl(spark: SparkSession, path: str, strict: bool = False) -> DataFram
     return spark.read.schema(TRAINING).json(path, mode="FAILFAST" if strict else "PERMISSIVE")
 
 
-def read_mapping(spark: SparkSession, path: str) -> DataFrame:
-    """(label, label_id) of a label mapping document. A map schema: labels may differ in case alone."""
+def read_mapping(spark: SparkSession, path: str, required: bool = True) -> DataFrame | None:
+    """(label, label_id) of a label mapping document. A map schema: labels may differ in case alone.
+
+    Without a label2id that is an error if the mapping is ``required``, else there is no mapping.
+    """
     doc = spark.read.schema(MAPPING).json(path, multiLine=True)
     found = doc.select("label2id").first()
     if not found or found[0] is None:
-        raise ValueError("the mapping has no label2id")
+        if required:
+            raise ValueError("the mapping has no label2id")
+        return None
     return doc.select(F.explode("label2id").alias("label", "label_id"))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in any store that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def read_summary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SUMMARY).json(path, multiLine=True)
 

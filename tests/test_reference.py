@@ -1,5 +1,6 @@
 """Cleaning, matching, splitting, merging, metrics, sources and flows on literal edge rows and shipped figures."""
 
+import hashlib
 import json
 
 import pytest
@@ -9,7 +10,7 @@ import __spark_entry__
 from pointprep import cli, ml
 from pointprep.functions import text as T
 from pointprep.operators import dedup, match, merge, metrics, profile, split, vocab
-from pointprep.plans import ingest, queries
+from pointprep.plans import ingest, queries, training
 from pointprep.sources import profiles, tables
 from pointprep.streaming import ingest as streaming
 
@@ -99,12 +100,12 @@ def test_splits(spark):
 
 
 def test_metrics(spark):
+    # The two published runs: five rows of five classes, one class predicted throughout, and two classes.
     five = ["a", "b", "c", "d", "e"]
-    for predicted, accuracy, f1 in ((["a"] * 5, 0.2, 0.0667), (["a", "a", "a", "d", "a"], 0.4, 0.2333 + 0.0167)):
+    for predicted, accuracy, f1 in ((["a"] * 5, 0.2, 0.0667), (["b", "b", "c", "c", "c"], 0.4, 0.2333)):
         s = metrics.summary(spark.createDataFrame(list(zip(five, predicted)), "a string, p string"), "a", "p").first()
         assert abs(s.accuracy - accuracy) < 1e-9 and abs(s.f1_micro - accuracy) < 1e-9
-        if accuracy == 0.2:
-            assert abs(s.f1_weighted - f1) < 1e-4 and abs(s.f1_macro - f1) < 1e-4
+        assert abs(s.f1_weighted - f1) < 1e-4 and abs(s.f1_macro - f1) < 1e-4
     rows = metrics.report(spark.createDataFrame([("a", "z"), ("a", "a")], "a string, p string"), "a", "p").collect()
     assert {r.label: (r.precision, r.recall, r.support) for r in rows}["z"] == (0.0, 0.0, 0) and len(rows) == 4
     e = spark.createDataFrame([(1, 0.1), (2, 0.5), (3, 0.5), (4, 0.2), (5, 0.3), (6, 0.9)], "epoch int, f1_weighted double")
@@ -193,6 +194,78 @@ def test_model(spark):
     assert ml.model_name("roberta-base") != "roberta-base" and ml.model_name("x/y") == "x/y" and ml.effective_batch(8, 2) == 16
 
 
+def test_settings(tmp_path):
+    (tmp_path / "c.yml").write_text('model: "deberta-v3-small"\nepochs: 12\nlearning_rate: "2e-5"\nweight_decay: "0.01"\npush_to_hub: "false"\ngpu: b200\n')
+    s = training.settings(str(tmp_path / "c.yml"), epochs=3)
+    assert (s.epochs, s.learning_rate, s.weight_decay, s.push_to_hub, s.gpu, s.batch_size, s.max_seq_length) == (3, 2e-5, 0.01, False, "T4", 2, 25)
+    assert s.model.endswith("/deberta-v3-small") and training.accelerator("a100-40gb") == "A100-40GB"
+    (tmp_path / "d.yml").write_text("epoch: 3\n")
+    with pytest.raises(ValueError):
+        training.settings(str(tmp_path / "d.yml"))
+
+
+def test_finetune(spark, tmp_path, capsys):
+    from pyspark.ml import PipelineModel
+
+    words = {"alpha": 0, "omega": 1, "sigma": 2}
+    for name, k in (("train", 8), ("validation", 2)):
+        (tmp_path / f"{name}.jsonl").write_text("".join(json.dumps({"text": f"{w} point {i}", "label": w, "label_id": y}) + "\n" for w, y in words.items() for i in range(k)))
+    args = ["finetune", "--train", str(tmp_path / "train.jsonl"), "--validation", str(tmp_path / "validation.jsonl"), "--output", str(tmp_path / "out"), "--epochs", "6", "--weight-decay", "0.001", "--model", "roberta-base", "--push-to-hub"]
+    cli.run(spark, cli.parser().parse_args(args))
+    said = capsys.readouterr().out
+    # Right from the first epochs on, so three without a gain end the run before the sixth.
+    assert "Final Accuracy: 1.0000" in said and "epoch 6" not in said and "not supported" in said
+    report = next((tmp_path / "out").glob("*_roberta-base.txt")).read_text()
+    text, raw = report.split("Raw JSON:\n")
+    document = json.loads(raw)
+    assert document == json.loads((tmp_path / "out/results.json").read_text()) and "Accuracy: 6/6 (100.00%)" in text and text.count("✓ Input: ") == 6
+    assert len(document["validation_inference"]["predictions"]) == 6 and document["eval_metrics"]["f1_macro"] == 1.0 and document["config"]["effective_batch_size"] == 16 and document["model_params"]["total"] > 3
+    assert "  weight_decay: 0.001\n" in text and "  accuracy: 1.0000\n" in text
+    again = PipelineModel.load(str(tmp_path / "out/final_model"))
+    assert ml.logits(again, tables.read_jsonl(spark, str(tmp_path / "validation.jsonl"))).count() == 6
+
+
+def test_merge_and_extract_say_what_they_do(spark, tmp_path, capsys):
+    rows = lambda *texts: "".join(json.dumps({"text": t, "label": f"l{len(t) % 17:02d}", "label_id": 0}) + "\n" for t in texts)
+    (tmp_path / "t").write_text(rows("Aa", "b"))
+    (tmp_path / "v").write_text(rows("c"))
+    (tmp_path / "p").write_text(rows("aa ", "C", "new", "NEW ", *("x" * i for i in range(2, 40))))
+    cli.run(spark, cli.parser().parse_args(["merge", "-t", str(tmp_path / "t"), "-v", str(tmp_path / "v"), "-p", str(tmp_path / "p"), "-o", str(tmp_path / "out")]))
+    said = capsys.readouterr().out
+    assert "duplicates removed: 3\nnew unique entries: 39\ntrain: 38 rows\nvalidation: 4 rows" in said and said.count("\n  l") == 15 and "... and 2 more labels" in said
+    (tmp_path / "y").mkdir()
+    (tmp_path / "y/a.yml").write_text("deviceResources:\n" + "".join(f"  - name: qqq{i % 25:02d}\n" for i in range(60)))
+    for mapping in ("absent.json", "empty.json"):
+        (tmp_path / "empty.json").write_text("{}")
+        cli.run(spark, cli.parser().parse_args(["extract", "-p", str(tmp_path / "y"), "-l", str(tmp_path / mapping), "-o", str(tmp_path / "o")]))
+        assert "unmatched" not in capsys.readouterr().out and spark.read.csv(str(tmp_path / "o"), header=True).count() == 60
+    (tmp_path / "m.json").write_text(json.dumps({"label2id": {"zoneTempSp": 0}}))
+    cli.run(spark, cli.parser().parse_args(["extract", "-p", str(tmp_path / "y"), "-l", str(tmp_path / "m.json"), "-o", str(tmp_path / "o")]))
+    said = capsys.readouterr().out
+    assert "resources: 60\nmatched: 0 (0.0%)\nunmatched: 60 (100.0%)\nunmatched: 25 names" in said and "... and 40 more" in said
+    with pytest.raises(ValueError):
+        tables.read_mapping(spark, str(tmp_path / "empty.json"))
+
+
+def test_splits_of_repeated_keys(spark):
+    d = spark.range(1000).select(F.lit("one").alias("label"), (F.col("id") % 3).alias("k"))
+    n = {x.split: x["count"] for x in split.three_way(d, "label", "k").groupBy("split").count().collect()}
+    assert n == {"test": 100, "validation": 100, "train": 800}
+    p = split.prefix(spark.range(5000), "id", 0.37)
+    order = sorted(range(5000), key=lambda i: (hashlib.md5(f"42:{i}".encode()).hexdigest(), i))
+    assert {x.id for x in p.where("split = 'validation'").collect()} == set(order[: int(5000 * 0.37)])
+
+
+def test_matcher_and_ratios(spark, labels):
+    m = match.LabelMatcher(labels)
+    rows = names(spark, "zone temp sp", "RETURN AIR TEMP", "nothing")
+    assert [x.label for x in m.match(rows).orderBy("pos").collect()] == ["zoneTempSp", "returnTemp", None]
+    assert m.score(rows).where("label = 'zoneTempSp'").count() == 1
+    d = spark.range(400).select(F.col("id").alias("key"), F.concat(F.lit("pt "), "id").alias("text"), F.concat(F.lit("l"), F.col("id") % 4).alias("target"))
+    out, _ = ingest.prepare(d, "key", train=0.5, val=0.25, test=0.25)
+    assert {x.split: x["count"] for x in out.groupBy("split").count().collect()} == {"train": 200, "validation": 100, "test": 100}
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_are_their_sql(spark, small, name):
     import duckdb
