@@ -14,14 +14,17 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
+from math import isqrt
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions
+from .common import LISTED, cut, identity, partitions
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
+#: A quote that is not closed before the next tag is no quote: then the tag ends at the first ">".
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+(?=>)|[^>]*+)>?", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 #: Elements whose content is no text, elements that are dropped, blocks, prose blocks.
 RAW = frozenset("script style noscript template iframe svg textarea title head object video audio canvas".split())
@@ -46,13 +49,29 @@ MARKS = frozenset(
     "disqus respond share sharing social related recommended breadcrumb breadcrumbs pagination pager newsletter subscribe signup login popup modal overlay toolbar masthead contentinfo complementary search".split()
 )
 HOLDERS = frozenset("article main content post entry story articlebody".split())
+#: Marks that hold for an article element too, where it stands inside another.
+REPLIES = frozenset("comment comments disqus respond".split())
 
 
 class Line:
-    __slots__ = ("text", "dropped", "articles", "holder", "prose")
+    """A block's text and where it stands: dropped for certain, numbers of marked elements and of articles around it, in a content holder, in prose."""
 
-    def __init__(self, text, dropped, articles, holder, prose):
-        self.text, self.dropped, self.articles, self.holder, self.prose = text, dropped, articles, holder, prose
+    __slots__ = ("text", "dropped", "marked", "articles", "holder", "prose")
+
+    def __init__(self, text, dropped, marked, articles, holder, prose):
+        self.text, self.dropped, self.marked, self.articles, self.holder, self.prose = text, dropped, marked, articles, holder, prose
+
+
+class Open(NamedTuple):
+    """An open element; ``marked`` numbers one that only its words mark, ``soft`` says that it is one of prose."""
+
+    tag: str
+    dropped: bool
+    marked: int
+    soft: bool
+    article: int
+    holder: bool
+    prose: bool
 
 
 def marks_of(attributes: str) -> tuple[set[str], bool]:
@@ -68,18 +87,23 @@ def marks_of(attributes: str) -> tuple[set[str], bool]:
 
 
 def lines_of(html: str) -> list[Line]:
+    """The blocks of a page in order.
+
+    Words that mark an element drop it, but for the page's articles and what stands around them; marked prose inside an article
+    is left open.
+    """
     lines: list[Line] = []
     buffer: list[str] = []
-    # Open elements: (tag, dropped, article number or 0, holder, prose).
-    stack: list[tuple[str, bool, int, bool, bool]] = []
-    articles, at, n = 0, 0, len(html)
+    stack: list[Open] = []
+    articles, marked, at, n = 0, 0, 0, len(html)
     unended: set[str] = set()
+    around: set[int] = set()
 
     def flush() -> None:
         text = " ".join(unescape("".join(buffer)).split())
         buffer.clear()
         if text:
-            lines.append(Line(text, any(x[1] for x in stack), [x[2] for x in stack if x[2]], any(x[3] for x in stack), any(x[4] for x in stack)))
+            lines.append(Line(text, any(x.dropped for x in stack), [(x.marked, x.soft) for x in stack if x.marked], [x.article for x in stack if x.article], any(x.holder for x in stack), any(x.prose for x in stack)))
 
     while at < n:
         m = TOKEN.search(html, at)
@@ -95,7 +119,7 @@ def lines_of(html: str) -> list[Line]:
             if tag in BLOCKS:
                 flush()
                 for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
+                    if stack[i].tag == tag:
                         del stack[i:]
                         break
             continue
@@ -115,22 +139,32 @@ def lines_of(html: str) -> list[Line]:
                 buffer.append(" ")
             continue
         flush()
-        if stack and stack[-1][0] == "p":
+        if stack and stack[-1].tag == "p":
             stack.pop()
         for same in CLOSES.get(tag, "").split():
-            if stack and stack[-1][0] == same:
+            if stack and stack[-1].tag == same:
                 stack.pop()
         if tag in VOID:
             continue
         words, hidden = marks_of(m[3]) if m[3] else (set(), False)
-        inside = any(x[2] or x[3] for x in stack)
-        dropped = hidden or tag in DROPPED or bool(words & MARKS) and tag not in ("html", "body", "main") or (tag == "header" or "header" in words and tag == "div") and not inside
+        within = any(x.article for x in stack)
+        inside = within or any(x.holder for x in stack)
         number = 0
         if tag == "article":
             articles += 1
             number = articles
-        stack.append((tag, dropped, number, tag == "main" or bool(words & HOLDERS) and tag not in ("html", "body"), tag in PROSE))
+            if not within:
+                around.update(x.marked for x in stack)
+            words &= REPLIES if within else frozenset()
+        says = bool(words & MARKS) and tag not in ("html", "body", "main")
+        marked += says
+        dropped = hidden or tag in DROPPED or (tag == "header" or "header" in words and tag == "div") and not inside
+        stack.append(Open(tag, dropped, marked if says else 0, within and tag in PROSE, number, tag == "main" or bool(words & HOLDERS) and tag not in ("html", "body"), tag in PROSE))
     flush()
+    for x in lines:
+        left = [soft for i, soft in x.marked if i not in around]
+        x.dropped = x.dropped or not all(left)
+        x.prose = x.prose and not left
     return lines
 
 
@@ -183,8 +217,11 @@ def shared(a: list[int], b: list[int]) -> set[int]:
 
 
 def shared_bits(a: list[int], b: list[int], places: dict[int, list[int]]) -> set[int]:
-    """As ``shared``, a row of bits for each line of ``a``: a bit of ``b`` is 0 where the length rises."""
-    n = len(b)
+    """As ``shared``, a row of bits for each line of ``a``: a bit of ``b`` is 0 where the length rises.
+
+    Every so many rows one is kept; those between are made again when the way back comes to them, so rows held grow as the root of ``a``.
+    """
+    n, every = len(b), isqrt(len(a)) + 1
     full = (1 << n) - 1
     masks = {x: sum(1 << j for j in js) for x, js in places.items() if len(js) < 64}
     for x, js in places.items():
@@ -193,21 +230,32 @@ def shared_bits(a: list[int], b: list[int], places: dict[int, list[int]]) -> set
             for j in js:
                 bits[j >> 3] |= 1 << (j & 7)
             masks[x] = int.from_bytes(bits, "little")
-    rows, v = [], full
-    for x in a:
+
+    def after(v: int, x: int) -> int:
         u = v & masks.get(x, 0)
-        v = ((v + u) | (v - u)) & full
-        rows.append(v)
-    out, i, j = set(), len(a) - 1, n - 1
-    while i >= 0 and j >= 0:
-        if rows[i] >> j & 1:  # no rise at j: the length up to j is that up to j - 1
-            j -= 1
-        elif i and not rows[i - 1] >> j & 1:  # the line before has the rise already
-            i -= 1
-        else:
-            out.add(i)
-            i -= 1
-            j -= 1
+        return ((v + u) | (v - u)) & full
+
+    kept, v = [full], full  # kept[k] is the row before line k * every
+    for i, x in enumerate(a, 1):
+        v = after(v, x)
+        if i % every == 0:
+            kept.append(v)
+    out, j = set(), n - 1
+    for k in range(len(kept) - 1, -1, -1):
+        part = a[k * every : (k + 1) * every]
+        rows = [kept[k]]
+        for x in part:
+            rows.append(after(rows[-1], x))
+        i = len(part)  # rows[i] is the row behind line k * every + i - 1
+        while i > 0 and j >= 0:
+            if rows[i] >> j & 1:  # no rise at j: the length up to j is that up to j - 1
+                j -= 1
+            elif not rows[i - 1] >> j & 1:  # the line before has the rise already
+                i -= 1
+            else:
+                out.add(k * every + i - 1)
+                i -= 1
+                j -= 1
     return out
 
 
@@ -236,97 +284,105 @@ def render(html: str | None, gone: list[int] | None) -> str:
     return "\n".join(x.text for i, (x, s) in enumerate(zip(lines, states(lines), strict=True)) if s == KEEP or s == OPEN and i not in drop)
 
 
+EDGE = "host string, path string, page_id string, k1 long, k2 long, own array<long>, marks array<int>, need boolean"
+
+
+def neighbours(batches: Iterator[pa.RecordBatch], ends: bool) -> Iterator[pa.RecordBatch]:
+    """(k1, k2, gone, edge) for pages in order: the open lines that a page loses to its nearer neighbour, where any.
+
+    Without ``ends`` the first and the last page of the batches have neighbours elsewhere. They come as ``edge``, with ``need`` if
+    undecided, along with the pages next to them.
+    """
+    done: list[tuple] = []
+    edges: list[tuple] = []
+
+    def judged(before, x, behind) -> list[int]:
+        near = [y for y in (behind, before) if y and y["host"] == x["host"]]
+        y = max(near, key=lambda y: prefix(x["path"], y["path"]), default=None)
+        return deletions(x["own"], x["marks"], y["own"]) if y else []
+
+    def edge(x, need: bool) -> None:
+        if all((y["k1"], y["k2"]) != (x["k1"], x["k2"]) for _, y in edges):
+            edges.append(([], x | {"need": need}))
+
+    def batch() -> pa.RecordBatch:
+        rows = [(k1, k2, g, None) for k1, k2, g in done] + [(x["k1"], x["k2"], g, x) for g, x in edges]
+        kind = pa.struct([("host", pa.string()), ("path", pa.string()), ("page_id", pa.string()), ("k1", pa.int64()), ("k2", pa.int64()), ("own", pa.list_(pa.int64())), ("marks", pa.list_(pa.int32())), ("need", pa.bool_())])
+        types = {"k1": pa.int64(), "k2": pa.int64(), "gone": pa.list_(pa.int32()), "edge": kind}
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types.values())], list(types))
+
+    two = one = None
+    place = 0
+    for x in (row for b in batches for row in b.to_pylist()):
+        if one is not None:
+            if two or ends:
+                if gone := judged(two, one, x):
+                    done.append((one["k1"], one["k2"], gone))
+                if place == 2 and not ends:
+                    edge(one, False)
+            else:
+                edge(one, True)
+        two, one, place = one, x, place + 1
+        if len(done) > 20_000:
+            yield batch()
+            done.clear()
+            edges.clear()
+    if one is not None:
+        if ends:
+            if gone := judged(two, one, None):
+                done.append((one["k1"], one["k2"], gone))
+        else:
+            edge(one, True)
+            if two:
+                edge(two, False)
+    yield batch()
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row; text is empty for null, empty or articleless html.
 
     Pages without a URL or host form one group in order of page_id; repeated rows have one pairing.
     Neighbours come from a range-sorted shuffle of line hashes alone; the few rows at range borders
-    are paired in a second step, so no host is handled in one task.
+    are paired in a second step, so no host is handled in one task. Pages are written where they are read, while
+    at most ``common.LISTED`` of them lose a line to a neighbour; beyond that each page is shuffled once.
     """
     html = F.col("html").cast("string")
-    base = pages.select("page_id", F.col("url").cast("string").alias("url"), html.alias("html"), F.xxhash64(F.col("page_id").cast("string"), "url", html).alias("key"))
+    k1, k2 = identity(F.col("page_id").cast("string"), F.col("url").cast("string"), html)
+    base = pages.select("page_id", F.col("url").cast("string").alias("url"), html.alias("html"), k1.alias("k1"), k2.alias("k2"))
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     path = F.coalesce(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://)?[^/?#]*([^?#]*)", 1), F.lit(""))
-    schema = "host string, path string, page_id string, key long, own array<long>, marks array<int>"
 
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         for batch in batches:
             own, marks = [], []
-            for x in batch.column(4):
+            for x in batch.column(5):
                 lines = lines_of(x.as_py() or "")
                 rest = [(i, a, s) for i, (a, s) in enumerate(zip(lines, states(lines), strict=True)) if s != KEEP]
                 own.append([xxh64_intdigest(a.text.encode("utf-8", "surrogatepass")) - (1 << 63) for _, a, _ in rest])
                 marks.append([i if s == OPEN else -1 for i, _, s in rest])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(own, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int32()))], ["host", "path", "page_id", "key", "own", "marks"])
-
-    order = ["host", "path", "page_id", "key"]
-    outlined = base.select(host.alias("host"), path.alias("path"), F.col("page_id").cast("string").alias("page_id"), "key", "html").mapInArrow(outline, schema)
-    outlined = outlined.groupBy("key").agg(*[F.first(c).alias(c) for c in ("host", "path", "page_id", "own", "marks")]).select(*order, "own", "marks")
-    ranged = cut(outlined.repartitionByRange(partitions(pages.sparkSession), *order).sortWithinPartitions(*order))
-
-    def pair(last_too: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Rows with a neighbour on both sides (or all, at the ends of the whole order) get their deletions; others go on."""
-
-            def judged(a, x, b):
-                near = [y for y in (b, a) if y and y["host"] == x["host"]]
-                y = max(near, key=lambda y: prefix(x["path"], y["path"]), default=None)
-                return deletions(x["own"], x["marks"], y["own"]) if y else []
-
-            def rows():
-                for batch in batches:
-                    yield from batch.to_pylist()
-
-            out = []
-            two, one, place = None, None, 0
-            firsts = []
-            for x in rows():
-                if one is not None:
-                    out.append((one, judged(two, one, x) if two or last_too else None))
-                    if place == 2 and not last_too:
-                        firsts.append(one)
-                two, one, place = one, x, place + 1
-                if len(out) > 20_000:
-                    yield batch_of([(x["key"], g, None) for x, g in out if g])
-                    kept = [(x, g) for x, g in out if g is None]
-                    out = kept
-            if one is not None:
-                out.append((one, judged(two, one, None) if last_too else None))
-            done = [(x["key"], g, None) for x, g in out if g]
-            if not last_too:
-                # Border rows and their inner neighbours, for the second step: open where undecided.
-                border = [(x, True) for x, g in out if g is None] + [(x, False) for x in firsts] + ([(two, False)] if two else [])
-                seen: dict[int, bool] = {}
-                keep = []
-                for x, need in border:
-                    if x["key"] not in seen:
-                        seen[x["key"]] = need
-                        keep.append((x["key"], [], x | {"need": need}))
-                done += keep
-            yield batch_of(done)
-
-        return run
-
-    edge = pa.struct([("host", pa.string()), ("path", pa.string()), ("page_id", pa.string()), ("key", pa.int64()), ("own", pa.list_(pa.int64())), ("marks", pa.list_(pa.int32())), ("need", pa.bool_())])
-
-    def batch_of(rows: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], edge)], ["key", "gone", "edge"])
-
-    spec = "key long, gone array<int>, edge struct<host:string,path:string,page_id:string,key:long,own:array<long>,marks:array<int>,need:boolean>"
-    first = cut(ranged.mapInArrow(pair(False), spec))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(own, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int32()))], [*order, "own", "marks"])
+
+    order = ["host", "path", "page_id", "k1", "k2"]
+    schema = EDGE.removesuffix(", need boolean")
+    outlined = base.select(host.alias("host"), path.alias("path"), F.col("page_id").cast("string").alias("page_id"), "k1", "k2", "html").mapInArrow(outline, schema)
+    outlined = outlined.groupBy("k1", "k2").agg(*[F.first(c).alias(c) for c in ("host", "path", "page_id", "own", "marks")]).select(*order, "own", "marks")
+    ranged = outlined.repartitionByRange(partitions(pages.sparkSession), *order).sortWithinPartitions(*order)
+    spec = f"k1 long, k2 long, gone array<int>, edge struct<{EDGE.replace(' ', ':').replace(',:', ',')}>"
+    first = cut(ranged.mapInArrow(lambda b: neighbours(b, False), spec))
     # At most four rows a range.
     borders = first.where("edge is not null").select("edge.*").repartition(1).sortWithinPartitions(*order)
-    second = borders.mapInArrow(pair(True), spec).select("key", "gone")
-    needed = first.where("edge.need").select("key")
-    gone = first.where("edge is null").select("key", "gone").union(second.join(needed, "key", "left_semi"))
+    second = borders.select(*order, "own", "marks").mapInArrow(lambda b: neighbours(b, True), spec).select("k1", "k2", "gone")
+    needed = first.where("edge.need").select("k1", "k2")
+    gone = cut(first.where("edge is null").select("k1", "k2", "gone").union(second.join(needed, ["k1", "k2"], "left_semi")))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [render(h, g) for h, g in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    joined = base.join(gone.withColumnRenamed("key", "gone_key"), F.col("key") == F.col("gone_key"), "left").select("page_id", "url", "html", "gone")
+    side = F.broadcast(gone) if gone.count() <= LISTED else gone
+    joined = base.join(side, ["k1", "k2"], "left").select("page_id", "url", "html", "gone")
     kind = pages.schema["page_id"].dataType.simpleString()
     return joined.mapInArrow(write, f"page_id {kind}, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

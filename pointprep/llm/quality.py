@@ -172,14 +172,13 @@ def kept(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([features(t.as_py()) for t in batch.column(1)], np.float64).reshape(-1, N_FEATURES)
+            x = np.array([features(t.as_py()) for t in batch.column(0).field("text")], np.float64).reshape(-1, N_FEATURES)
             # Added up in the order of the columns, as in ``fit``.
             logit = np.clip(sum((x[:, i] * w for i, w in enumerate(weights)), np.zeros(len(x))), -12.0, 12.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(logit)], ["row", "host_key", "path_key", "logit"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logit)], ["row", "host_key", "path_key", "logit"])
 
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    sent = docs.select(row, F.col("text").cast("string").alias("t"), text_key(F.col(host)).alias("host_key"), text_key(F.col(path)).alias("path_key"))
-    kept_ = sent.select("row", "host_key", "path_key").schema
-    keyed = sent.mapInArrow(run, kept_.add("logit", "double"))
+    sent = docs.select(row, text_key(F.col(host)).alias("host_key"), text_key(F.col(path)).alias("path_key"))
+    keyed = sent.mapInArrow(run, sent.schema.add("logit", "double"))
     rated = spread(keyed, fitted.rates, ["host_key", "path_key"], "n", fitted.rows, listed=fitted.paths)
     return rated.where(quality_of(fitted, F.col("logit")) >= threshold).select("row.*")

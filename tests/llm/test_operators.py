@@ -1,6 +1,7 @@
 """Operators against brute force on small tables, and their defined results on odd rows."""
 
 import hashlib
+import os
 import re
 import textwrap
 import time
@@ -634,6 +635,97 @@ def test_pages_lose_the_sites_template(spark):
     assert all(r[i].text == f"Story {i} begins\nBody {i}." for i in range(60) if i not in (5,))
 
 
+def test_marked_words_do_not_drop_articles():
+    render = lambda x: html_diff.render(x, None)
+    assert render('<div class="sidebar-layout"><article class="post related-news"><p>kept</p></article><p>side</p></div>') == "kept"
+    assert render('<article><p>one</p><p class="notice">two</p><div class="notice"><p>three</p></div><h2 class="ad">four</h2></article>') == "one\ntwo\nfour"
+    assert render('<article><p>one</p><section class="comments"><article><p>reply</p></article></section><article class="comment"><p>reply</p></article></article>') == "one"
+    assert render('<body class="has-sidebar"><div class="nav"><p>menu</p></div><p>text</p></body>') == "text"
+    assert render('<article><p class="x>one</p><p title=\'it"s > that\'>two</p><p alt="a > b">three</p></article>') == "one\ntwo\nthree"
+    assert render("<article><p>" + "<a title=\"x " * 20_000 + "</p><p>end") == "end"
+
+
+def plain_extract(pages):
+    """Texts by a plain parser, pairing over all pages of a host and a table of lengths; pages as in ``test_pages_are_brute_force``."""
+    from html.parser import HTMLParser
+
+    class Lines(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.lines, self.open = [], []
+
+        def handle_starttag(self, tag, attrs):
+            self.open.append((tag, dict(attrs).get("class")))
+
+        def handle_endtag(self, tag):
+            self.open.pop()
+
+        def handle_data(self, data):
+            tags, classes = {t for t, _ in self.open}, {c for _, c in self.open}
+            if data.strip() and not tags & {"script", "style", "title"}:
+                gone = bool(tags & {"nav", "footer", "aside", "form"}) or bool(classes & {"ad", "comments"}) or "article" not in tags
+                self.lines.append((" ".join(data.split()), "gone" if gone else "prose" if tags & {"p", "h1"} else "open"))
+
+    parsed = []
+    for page_id, url, html in pages:
+        x = Lines()
+        x.feed(html)
+        _, _, host, *rest = url.split("/")
+        parsed.append((host, "/" + "/".join(rest), str(page_id), x.lines))
+    parsed.sort()
+    out = {}
+    for i, (host, path, page_id, lines) in enumerate(parsed):
+        near = [parsed[k] for k in (i + 1, i - 1) if 0 <= k < len(parsed) and parsed[k][0] == host]
+        gone = set()
+        if near:
+            common = lambda y: next((k for k, (p, q) in enumerate(zip(path.split("/"), y[1].split("/"), strict=False)) if p != q), min(path.count("/"), y[1].count("/")) + 1)  # noqa: B023, E731
+            within = lambda y: len(os.path.commonprefix([path, y[1]]))  # noqa: B023, E731
+            other = max(near, key=lambda y: (common(y), within(y)))[3]
+            a, b = ([k for k, x in enumerate(z) if x[1] != "prose"] for z in (lines, other))
+            t = np.zeros((len(a) + 1, len(b) + 1), int)
+            for p in range(len(a)):
+                for q in range(len(b)):
+                    t[p + 1, q + 1] = t[p, q] + 1 if lines[a[p]][0] == other[b[q]][0] else max(t[p, q + 1], t[p + 1, q])
+            p, q = len(a), len(b)
+            while p and q:
+                if t[p, q] == t[p, q - 1]:
+                    q -= 1
+                elif t[p, q] == t[p - 1, q]:
+                    p -= 1
+                else:
+                    gone.add(a[p - 1])
+                    p, q = p - 1, q - 1
+            open_ = {k for k, x in enumerate(lines) if x[1] == "open"}
+            gone = gone & open_ if not open_ <= gone else set()
+        out[int(page_id)] = "\n".join(x for k, (x, kind) in enumerate(lines) if kind != "gone" and k not in gone)
+    return out
+
+
+def test_pages_are_brute_force(spark):
+    rng = np.random.default_rng(12)
+    pages = []
+    for i in range(150):
+        host, section = int(rng.integers(0, 4)), int(rng.integers(0, 5))
+        site = [f"host {host} line {k}" for k in range(4)]  # lines that a host's pages share, in one order: longest common subsequences are unique
+        inner = [f"<div>{site[k]}</div>" for k in range(4) if rng.random() < 0.7]
+        for k in range(int(rng.integers(1, 5))):
+            inner.insert(int(rng.integers(0, len(inner) + 1)), [f"<p>prose {i} {k}</p>", f"<div>own {i} {k}</div>", "<p>shared prose</p>", f'<div class="ad">advert {i} {k}</div>'][int(rng.integers(0, 4))])
+        html = f"<html><head><title>t {i}</title><script>x()</script></head><body><nav><ul><li>menu of {host}</li></ul></nav><article><h1>Head {i}</h1>{''.join(inner)}<div class=\"comments\"><p>reply {i}</p></div></article><aside>beside {host}</aside><form>send</form><footer>foot {host}</footer></body></html>"
+        pages.append((i, f"http://h{host}.example/s{section}/{'x' * section}{i}", html))
+    r = got(html_diff.extract(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)), "page_id")
+    assert {i: x.text for i, x in r.items()} == plain_extract(pages)
+    assert sum("line" in x.text for x in r.values()) < sum("<div>host" in h for _, _, h in pages)
+
+
+def test_pages_of_odd_rows(spark, monkeypatch):
+    page = "<article><h1>Long</h1>" + "<div>open line</div><p>words of prose</p>" * 20_000 + "</article>"
+    rows = [(1, "http://a.b/c", page), (1, "http://a.b/c", page), (None, "http://a.b/c/d", "<article><p>x</p></article>"), (None, None, None), (2, "", "<p>y"), (3, "no url", "<p>z")]
+    for listed in (50_000, 0):
+        monkeypatch.setattr(html_diff, "LISTED", listed)
+        r = sorted((str(x.page_id), x.n_chars) for x in html_diff.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+        assert [x[0] for x in r] == ["1", "1", "2", "3", "None", "None"] and r[0][1] == r[1][1] == 4 + 25 * 20_000 and [x[1] for x in r[2:]] == [1, 1, 0, 1]
+
+
 def test_longest_common_subsequence():
     rng = np.random.default_rng(4)
     for _ in range(80):
