@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import pii
+
 SQL: dict[str, str] = {}
 
 SQL["op3_embedding_dedup"] = """WITH RECURSIVE v AS MATERIALIZED (
@@ -32,3 +34,44 @@ near AS (SELECT a.rn, b.rn AS other, b.kind, CASE WHEN a.root = b.root THEN 1.0:
   FROM p JOIN trees a ON a.rn = p.rn AND a.kind = 0 JOIN trees b ON (b.rn = p.rn AND b.kind = 1) OR (b.rn = p.next_rn AND b.kind = 0))
 SELECT p.doc_id, length(p.text)::BIGINT AS n_chars, sha256(p.new) AS edited_sha256, a.fp AS fingerprint, e.fp AS edited_fingerprint, x.v AS near_edited, y.v AS near_next
 FROM p JOIN trees a ON a.rn = p.rn AND a.kind = 0 JOIN trees e ON e.rn = p.rn AND e.kind = 1 JOIN near x ON x.rn = p.rn AND x.kind = 1 JOIN near y ON y.rn = p.rn AND y.kind = 0"""
+
+
+# Each kind's plain pattern, the check of a match m between the texts before and after it, and the words near it.
+PLAIN = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len(list_filter(string_split(m, '.'), lambda x: NOT regexp_full_match(x, '0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])'))) = 0"),
+    "card": (
+        "[0-9](?:[ -]?[0-9])+",
+        "CASE WHEN length(d) BETWEEN 14 AND 19 THEN list_sum(list_transform(string_split(reverse(d), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN c::INT ELSE (c::INT * 2) % 10 + c::INT // 5 END)) % 10 = 0 ELSE false END",
+    ),
+    "phone": (r"\+[0-9][ ().0-9-]+[0-9]", "length(d) BETWEEN 10 AND 15"),
+    "iban": (
+        "[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
+        """(i = 1 OR before <> '') AND (i = n OR after <> '') AND NOT regexp_matches(right(before, 1), '[A-Za-z0-9]') AND NOT regexp_matches(left(after, 1), '[A-Za-z0-9]')
+        AND CASE WHEN length(replace(m, ' ', '')) BETWEEN 15 AND 34 THEN list_reduce(list_transform(string_split(array_to_string(list_transform(string_split(substr(replace(m, ' ', ''), 5) || left(m, 4), ''),
+        lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE (ascii(c) - 55)::VARCHAR END), ''), ''), lambda c: c::INT), lambda a, c: (a * 10 + c) % 97) = 1 ELSE false END""",
+    ),
+    "secret": ("[A-Za-z0-9+/_-]{20,}", "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')"),
+}
+
+
+def found(kind: str) -> str:
+    pattern, check = PLAIN[kind]
+    prior = pii.PRIOR[kind]
+    near = rf"(?i)(?:^|[^\p{{L}}])(?:{pii.CONTEXT[kind]})(?:$|[^\p{{L}}])"
+    return f"""SELECT rn, {pii.KINDS.index(kind)} AS rank, '{kind}' AS kind, s AS start, s + length(m) AS stop, score FROM (
+  SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS d, CASE WHEN regexp_matches(right(ahead, {pii.NEAR}), '{near}') OR regexp_matches(left(behind, {pii.NEAR}), '{near}') THEN {prior + 0.75 * (1 - prior)!r}::DOUBLE ELSE {prior!r}::DOUBLE END AS score FROM (
+  SELECT rn, i, n, g[i] AS before, g[i + 1] AS after, l[i] AS m, CASE WHEN i > 1 THEN g[i - 1] || l[i - 1] ELSE '' END || g[i] AS ahead, g[i + 1] || CASE WHEN i < n THEN l[i + 1] || g[i + 2] ELSE '' END AS behind,
+    (sum(length(g[i])) OVER w + sum(length(l[i])) OVER w - length(l[i]))::BIGINT AS s
+  FROM (SELECT rn, g, l, len(l) AS n, unnest(generate_series(1, len(l))) AS i FROM (SELECT rn, regexp_split_to_array(text, '{pattern}') AS g, regexp_extract_all(text, '{pattern}') AS l FROM t))
+  WINDOW w AS (PARTITION BY rn ORDER BY i))) WHERE ({check}){'' if kind in pii.BASE else f' AND score >= {pii.LEAST}'}"""
+
+
+def counted(kind: str) -> str:
+    return f"count(*) FILTER (kind = '{kind}') AS n_{kind}"
+
+
+LISTED = "coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank){}, '')"
+SQL["op2_pii"] = f"""WITH t AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS text FROM documents), f AS ({' UNION ALL '.join(map(found, pii.KINDS))})
+SELECT any_value(t.doc_id) AS doc_id, {', '.join(map(counted, pii.KINDS))}, sha256({LISTED.format(f' FILTER (rank < {len(pii.BASE)})')}) AS base_sha256, {LISTED.format('')} AS spans,
+coalesce(string_agg(printf('%.3f', score), ',' ORDER BY start, rank), '') AS scores FROM t LEFT JOIN f USING (rn) GROUP BY rn"""

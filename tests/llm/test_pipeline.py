@@ -74,17 +74,26 @@ def test_dedup_stage(stages):
     assert {r.doc_id for r in stages[2]} == {rows[k].doc_id for k in brute_groups(len(rows), like)}
 
 
-def test_private_stage(stages):
+def test_private_stage(spark, stages):
+    """Base spans by the plain search, secrets by their words; each span gives way to its kind in brackets."""
     before = {r.doc_id: r.text for r in stages[2]}
     assert {r.doc_id for r in stages[3]} == set(before)
+    secret = re.compile("[A-Za-z0-9+/_-]{20,}")
+    word = re.compile(rf"(?i)(?<![^\W\d_])(?:{pii.CONTEXT['secret']})(?![^\W\d_])")
     for r in stages[3]:
-        spans = sorted((int(a), int(b), k) for k, a, b in (s.split(":") for s in base(before[r.doc_id]).split(",") if s))
+        t = before[r.doc_id]
+        spans = [(int(a), pii.KINDS.index(k), int(b)) for k, a, b in (s.split(":") for s in base(t).split(",") if s)]
+        found = list(secret.finditer(t))
+        for m in found:
+            near = t[max(0, m.start() - pii.NEAR) : m.start()], t[m.end() : m.end() + pii.NEAR]
+            if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and any(map(word.search, near)):
+                spans.append((m.start(), pii.KINDS.index("secret"), m.end()))
         out, at = "", 0
-        for a, b, k in spans:
+        for a, k, b in sorted(spans):
             if a >= at:
-                out += before[r.doc_id][at:a] + f"[{k.upper()}]"
+                out += t[at:a] + f"[{pii.KINDS[k].upper()}]"
             at = max(at, b)
-        want = out + before[r.doc_id][at:]
+        want = out + t[at:]
         assert r.text == want or re.search(pii.PATTERNS["iban"], want)
         assert r.n_chars == len(r.text)
 
