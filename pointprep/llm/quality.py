@@ -11,62 +11,57 @@ moved by how far its path's rate is from the global one.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from operator import eq
 from typing import NamedTuple
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, spread, text_key
+from .common import cut, let, spread, text_key
 
 #: Labelled rows that the classifier is fitted on: those with the smallest seeded hashes of their ids.
 MAX_LABELLED = 20_000
 SEED = 7
 N_FEATURES = 12
-SYMBOLS = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
-PLAIN = b".,;:'\"?()-/"
-UPPER = bytes(range(65, 91))
-
-
-def features(text: str | None) -> list[float]:
-    """Counts over the whole text, as rates; zeros but for the constant if there is no word."""
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    words = raw.split()
-    n = len(words)
-    if not n:
-        return [1.0, 1.0] + [0.0] * (N_FEATURES - 2)
-    size = len(raw)
-    odd = size - len(raw.translate(None, SYMBOLS.translate(None, PLAIN)))
-    upper = size - len(raw.translate(None, UPPER))
-    lines = raw.split(b"\n")
-    return [
-        1.0,
-        0.0,
-        min(1.0, odd / n),
-        min(4.0, odd / n),
-        upper / size,
-        min(1.0, raw.count(b"!") / n),
-        min(1.0, raw.count(b"|") / n),
-        sum(map(eq, words, words[1:])) / n,
-        math.log(len(set(words))) / math.log(n) if n > 1 else 1.0,
-        min(1.0, math.log1p(n) / 10),
-        1 - len(set(lines)) / len(lines),
-        min(40.0, size / n) / 40,
-    ]
-
-
-def featured(docs: DataFrame, host: str, path: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array([features(t.as_py()) for t in batch.column(3)], np.float64).reshape(-1)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) + 1, N_FEATURES, dtype=np.int32)), pa.array(x))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), lists], ["doc_id", "host", "path", "x"])
-
-    kept = docs.select("doc_id", F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), F.col("text").cast("string"))
-    return kept.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, host string, path string, x array<double>")
+#: Characters that prose has little of, as the inside of a character class.
+ODD = r"!#$%&*+<=>@\[\\\]^_`{|}~"
+
+
+def features(text: Column) -> Column:
+    """Rates of counts over the whole text, as an array; zeros but for the constant and a mark if there is no word.
+
+    Expressions alone, so that a row is scored wherever it is read. Sizes are bytes of UTF-8.
+    """
+    raw = F.coalesce(text, F.lit(""))
+    left = lambda pattern: F.octet_length(F.regexp_replace(raw, pattern, ""))
+    without = lambda c: F.octet_length(F.replace(raw, F.lit(c), F.lit("")))
+
+    def rates(x: Column) -> Column:
+        words, lines, size = x["words"], x["lines"], x["size"]
+        n = F.size(words)
+        repeated = F.size(F.filter(words, lambda w, i: (i > 0) & (w == F.element_at(words, F.greatest(i, F.lit(1))))))
+        return F.when(n == 0, F.array(*map(F.lit, [1.0, 1.0] + [0.0] * (N_FEATURES - 2)))).otherwise(
+            F.array(
+                F.lit(1.0),
+                F.lit(0.0),
+                F.least(F.lit(1.0), x["odd"] / n),
+                F.least(F.lit(4.0), x["odd"] / n),
+                x["upper"] / size,
+                F.least(F.lit(1.0), x["calls"] / n),
+                F.least(F.lit(1.0), x["bars"] / n),
+                repeated / n,
+                F.when(n > 1, F.log(F.size(F.array_distinct(words)).cast("double")) / F.log(F.greatest(n, F.lit(2)).cast("double"))).otherwise(1.0),
+                F.least(F.lit(1.0), F.log1p(n.cast("double")) / 10),
+                1.0 - F.size(F.array_distinct(lines)) / F.size(lines),
+                F.least(F.lit(40.0), size / n) / 40,
+            )
+        )
+
+    size = F.octet_length(raw)
+    counts = {"odd": size - left(f"[{ODD}]+"), "upper": size - left("[A-Z]+"), "calls": size - without("!"), "bars": size - without("|")}
+    words = F.filter(F.split(raw, r"[ \t\n\x0B\f\r]+", -1), lambda w: w != "")
+    parts = F.struct(words.alias("words"), F.split(raw, "\n", -1).alias("lines"), size.alias("size"), *[c.alias(k) for k, c in counts.items()])
+    return let(parts, rates)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -107,9 +102,15 @@ class Fit(NamedTuple):
     paths: int
 
 
+def logit_of(x: Column, weights: np.ndarray) -> Column:
+    """Log-odds of a document's own evidence, within bounds."""
+    total = sum((F.element_at(x, i + 1) * float(w) for i, w in enumerate(weights)), F.lit(0.0))
+    return F.greatest(F.lit(-12.0), F.least(F.lit(12.0), total))
+
+
 def fit(docs: DataFrame, labels: DataFrame, host: str, path: str, max_labelled: int) -> Fit:
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
-    rows = cut(featured(docs, host, path))
+    rows = cut(docs.select("doc_id", F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), features(F.col("text").cast("string")).alias("x")))
     # A hash level lets about 1.3 times as many rows through as wanted, so that few reach the final sort.
     level = min(1.0, 1.3 * max_labelled / max(1, known.count()))
     h = F.xxhash64(F.lit(SEED), "doc_id")
@@ -119,9 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, host: str, path: str, max_labelled:
         weights = np.zeros(N_FEATURES)
     else:
         weights = logistic(np.array(sample["x"].tolist()), sample["y"].to_numpy(float))
-    logit = sum((F.element_at("x", i + 1) * float(w) for i, w in enumerate(weights)), F.lit(0.0))
-    bounded = F.greatest(F.lit(-12.0), F.least(F.lit(12.0), logit))
-    seen = rows.join(known, "doc_id", "left").select("doc_id", "host", "path", bounded.alias("logit"), "y")
+    seen = rows.join(known, "doc_id", "left").select("doc_id", "host", "path", logit_of(F.col("x"), weights).alias("logit"), "y")
     seen = cut(seen.withColumn("evidence", 1 / (1 + F.exp(-F.col("logit")))))
     value = F.coalesce(F.col("y").cast("double"), F.col("evidence"))
 
@@ -168,17 +167,8 @@ def kept(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "
     sites of together at most ``common.LISTED`` paths need no shuffle of texts.
     """
     fitted = fit(docs, labels, host, path, max_labelled)
-    weights = fitted.weights
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array([features(t.as_py()) for t in batch.column(0).field("text")], np.float64).reshape(-1, N_FEATURES)
-            # Added up in the order of the columns, as in ``fit``.
-            logit = np.clip(sum((x[:, i] * w for i, w in enumerate(weights)), np.zeros(len(x))), -12.0, 12.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logit)], ["row", "host_key", "path_key", "logit"])
-
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    sent = docs.select(row, text_key(F.col(host)).alias("host_key"), text_key(F.col(path)).alias("path_key"))
-    keyed = sent.mapInArrow(run, sent.schema.add("logit", "double"))
+    logit = let(features(F.col("text").cast("string")), lambda x: logit_of(x, fitted.weights))
+    keyed = docs.select(row, text_key(F.col(host)).alias("host_key"), text_key(F.col(path)).alias("path_key"), logit.alias("logit"))
     rated = spread(keyed, fitted.rates, ["host_key", "path_key"], "n", fitted.rows, listed=fitted.paths)
     return rated.where(quality_of(fitted, F.col("logit")) >= threshold).select("row.*")

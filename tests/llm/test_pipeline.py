@@ -10,6 +10,7 @@ import sys
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pointprep.llm import pii, quality, simhash, wfst
@@ -37,10 +38,32 @@ def test_columns(stages):
         assert rows[0].__fields__ == stages[0][0].__fields__
 
 
+SYMBOLS = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
+
+
+def plain_features(text):
+    raw = (text or "").encode()
+    words, lines = raw.split(), raw.split(b"\n")
+    n, size = len(words), len(raw)
+    if not n:
+        return [1.0, 1.0] + [0.0] * 10
+    odd = sum(c in SYMBOLS and c not in b".,;:'\"?()-/" for c in raw)
+    spread = math.log(len(set(words))) / math.log(n) if n > 1 else 1.0
+    return [1.0, 0.0, min(1.0, odd / n), min(4.0, odd / n), sum(65 <= c <= 90 for c in raw) / size, min(1.0, raw.count(b"!") / n), min(1.0, raw.count(b"|") / n), sum(a == b for a, b in zip(words, words[1:])) / n,
+            spread, min(1.0, math.log1p(n) / 10), 1 - len(set(lines)) / len(lines), min(40.0, size / n) / 40]
+
+
+def test_features(spark):
+    texts = [None, "", " \n\x0b\x0c\r\t ", "one", "A b A  b\nA b A  b\n", "!!! || [x]^_`{}~\\ #$%&*+<=>@ .,;:'\"?()-/", "é\u00a0ü \u2028 x x x", "w " * 5000, "漢字かな🙂 🙂"]
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", quality.features(F.col("t")).alias("x"))
+    for r in d.collect():
+        assert np.allclose(r.x, plain_features(texts[r.i]), rtol=0, atol=1e-12), texts[r.i]
+
+
 def test_quality_stage(spark, stages, small):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
     rows = stages[0]
-    x = np.array([quality.features(r.text) for r in rows])
+    x = np.array([plain_features(r.text) for r in rows])
     known = np.array([r.doc_id in labels for r in rows])
     y = np.array([labels.get(r.doc_id, 0) for r in rows], float)
     logit = np.clip(x @ quality.logistic(x[known], y[known]), -12, 12)
