@@ -80,6 +80,15 @@ def template_rows(threshold: float) -> list[tuple[int, str, int, list[str]]]:
     return [(i, name, len(bigrams(t)), sorted(bigrams(t))) for i, (name, t) in enumerate((n, t) for n, ts in TEMPLATES.items() for t in ts)]
 
 
+def anchor_words(threshold: float) -> list[str]:
+    return sorted(set().union(*(anchors(set(g), threshold) for *_, g in template_rows(threshold))))
+
+
+def longest() -> int:
+    """Sentences of the longest template."""
+    return max(len(re.split(SENTENCE, t)) for ts in TEMPLATES.values() for t in ts)
+
+
 def normalised(text: Column) -> Column:
     """Array of lower-case words of letters and digits."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}\p{M}]+"), F.lit(0))
@@ -102,12 +111,10 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, by: str = "doc_id") -> D
     sizes = [n for *_, n, _ in rows]
     least, most = threshold / (2 - threshold), (2 - threshold) / threshold
     low, high = int(min(sizes) * least), int(max(sizes) * most) + 1
-    longest = max(len(re.split(SENTENCE, t)) for ts in TEMPLATES.values() for t in ts)
-    words_ = sorted(set().union(*(anchors(set(g), threshold) for *_, g in rows)))
-    anchor = rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{'|'.join(words_)})(?![\p{{L}}\p{{N}}])"
+    anchor = rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{'|'.join(anchor_words(threshold))})(?![\p{{L}}\p{{N}}])"
     text = F.col("text").cast("string")
     some = lambda array: F.filter(array, lambda x: x.rlike(anchor))
-    runs = lambda s: F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.size(s), F.lit(longest))), lambda w: F.transform(F.sequence(F.lit(1), F.size(s) - w + 1), lambda at: F.array_join(F.slice(s, at, w), " "))))
+    runs = lambda s: F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.size(s), F.lit(longest()))), lambda w: F.transform(F.sequence(F.lit(1), F.size(s) - w + 1), lambda at: F.array_join(F.slice(s, at, w), " "))))
     windows = lambda lines: F.flatten(F.transform(lines, lambda x: let(F.split(x, SENTENCE), runs)))
     wrapped = F.filter(F.split(F.regexp_replace(text, MARGIN, ""), r"\n{2,}"), lambda x: x.contains("\n") & x.rlike(anchor))
     blocks = F.transform(wrapped, lambda x: F.regexp_replace(x, r"[ \t\r]*\n", " "))

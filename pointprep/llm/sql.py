@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import pii
+from . import licenses, pii
 
 SQL: dict[str, str] = {}
 
@@ -75,3 +75,31 @@ LISTED = "coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY
 SQL["op2_pii"] = f"""WITH t AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS text FROM documents), f AS ({' UNION ALL '.join(map(found, pii.KINDS))})
 SELECT any_value(t.doc_id) AS doc_id, {', '.join(map(counted, pii.KINDS))}, sha256({LISTED.format(f' FILTER (rank < {len(pii.BASE)})')}) AS base_sha256, {LISTED.format('')} AS spans,
 coalesce(string_agg(printf('%.3f', score), ',' ORDER BY start, rank), '') AS scores FROM t LEFT JOIN f USING (rn) GROUP BY rn"""
+
+
+def licence_sql(threshold: float = licenses.THRESHOLD) -> str:
+    """Dice coefficients of all passages with an anchor word, without an index."""
+    rows = licenses.template_rows(threshold)
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    grams = ", ".join(f"({i}, {quoted(name)}, {n}, {quoted(g)})" for i, name, n, gs in rows for g in gs)
+    longest = licenses.longest()
+    words = "|".join(licenses.anchor_words(threshold))
+    anchor = rf"(?i)(?:^|[^\p{{L}}\p{{N}}])(?:{words})(?:$|[^\p{{L}}\p{{N}}])"
+    least, most = min(n for *_, n, _ in rows) * threshold / (2 - threshold), max(n for *_, n, _ in rows) * (2 - threshold) / threshold
+    return rf"""WITH templates(template, license, size, gram) AS (VALUES {grams}),
+t AS (SELECT row_number() OVER () AS rn, doc_id, text FROM documents), hit AS (SELECT rn, text FROM t WHERE regexp_matches(text, '{anchor}')),
+blocks AS (SELECT rn, regexp_replace(b, '[ \t\r]*\n', ' ', 'g') AS p FROM (SELECT rn, unnest(regexp_split_to_array(regexp_replace(text, '(?m)^[^\p{{L}}\p{{N}}\n]+', '', 'g'), '\n{{2,}}')) AS b FROM hit) WHERE contains(b, chr(10))),
+parts AS (SELECT rn, unnest(string_split(text, chr(10))) AS p FROM hit UNION SELECT rn, p FROM blocks),
+sentences AS (SELECT rn, string_split(regexp_replace(p, '([.!?:])[ \t]+', '\1' || chr(1), 'g'), chr(1)) AS s FROM parts WHERE regexp_matches(p, '{anchor}')),
+runs AS (SELECT rn, array_to_string(s[i : i + w - 1], ' ') AS p FROM (SELECT rn, s, i, unnest(generate_series(1, {longest})) AS w FROM (SELECT rn, s, unnest(generate_series(1, len(s))) AS i FROM sentences)) WHERE i + w - 1 <= len(s)),
+passages AS (SELECT rn, text AS p FROM hit UNION SELECT rn, unnest(regexp_split_to_array(text, '\n\s*\n')) FROM hit UNION SELECT rn, p FROM parts UNION SELECT rn, p FROM runs),
+words AS (SELECT rn, p, regexp_extract_all(lower(p), '[\p{{L}}\p{{N}}\p{{M}}]+') AS w FROM passages WHERE regexp_matches(p, '{anchor}')),
+grams AS (SELECT rn, p, list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM words WHERE len(w) > 1),
+each AS (SELECT rn, p, len(g) AS n, unnest(g) AS gram FROM grams WHERE len(g) BETWEEN {least!r} AND {most!r}),
+dice AS (SELECT rn, license, template, p, 2.0::DOUBLE * count(*) / (any_value(n) + any_value(size)) AS dice FROM each JOIN templates USING (gram) GROUP BY rn, license, template, p),
+best AS (SELECT rn, license, max(dice) AS dice FROM dice WHERE dice >= {threshold!r}::DOUBLE GROUP BY rn, license)
+SELECT any_value(t.doc_id) AS doc_id, count(license) AS n_licenses, arg_min(license, struct_pack(d := -dice, l := license)) AS license, round(max(dice), 6) AS dice, coalesce(string_agg(license, ',' ORDER BY license), '') AS licenses
+FROM t LEFT JOIN best USING (rn) GROUP BY rn"""
+
+
+SQL["op7_licenses"] = licence_sql()
