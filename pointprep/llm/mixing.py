@@ -11,7 +11,7 @@ whole rows are decided where they are read.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,16 +128,18 @@ def plan(base: DataFrame) -> tuple[DataFrame, int, int]:
     total = counts.agg(F.sum("n")).first()[0] or 0
     named = cut(targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))))
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        lengths, n = pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
-        target, whole = float(pdf["target"].iloc[0]), int((lengths * n).sum())
+    def choose(rows: pa.Table) -> pa.Table:
+        lengths, n = rows.column("size").to_numpy(), rows.column("n").to_numpy()
+        target, whole = rows.column("target")[0].as_py(), int((lengths * n).sum())
         times = min(MOST, int(target // whole)) if whole else 0
         quota = fit(lengths, n, round(target) - times * whole) if times < MOST else np.zeros(len(n), np.int64)
-        return pd.DataFrame({"key": pdf["key"], "size": lengths, "n": n, "base": np.where(lengths > 0, times, 0), "quota": np.where(lengths > 0, quota, 0), "source_size": whole, "target": target})
+        some, same = lengths > 0, np.ones(len(n), np.int64)
+        columns = [rows.column("key"), lengths, n, np.where(some, times, 0).astype(np.int32), np.where(some, quota, 0), same * whole, same * target]
+        return pa.table(dict(zip(("key", "size", "n", "base", "quota", "source_size", "target"), columns, strict=True)))
 
     # One row for each length of a source: their number grows at most as the root of its words.
     schema = "key string, size long, n long, base int, quota long, source_size long, target double"
-    quotas = counts.select("key", "size", "n").join(named.select(text_key(F.col("source")).alias("key"), "target"), "key").groupBy("key").applyInPandas(choose, schema)
+    quotas = counts.select("key", "size", "n").join(named.select(text_key(F.col("source")).alias("key"), "target"), "key").groupBy("key").applyInArrow(choose, schema)
     quotas = cut(quotas)
     listed = quotas.count()
 
