@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import spread
 
-BLOCK = 1024
+BLOCK = 512
 
 
 def crowded(rows: DataFrame, total: int) -> DataFrame:
