@@ -56,8 +56,18 @@ def contains_any(c: Column, keywords: list[str]) -> Column:
 
 
 def percent(part: Column, whole: Column) -> Column:
-    """``12.3%``; null for nothing of nothing."""
-    return F.when(whole > 0, F.format_string("%.1f%%", 100.0 * part / whole))
+    """``12.3%``; null for nothing of nothing. Rounds the binary value of the quotient, halves to even, and not its shortest decimal form: 12.35 is a little less and gives 12.3."""
+    x = 100.0 * part / whole
+    units = F.floor(x)
+    # Ten times the fraction in units of 2**-60, which hold all its bits.
+    scaled = F.floor((x - units) * float(1 << 60)).cast("decimal(20,0)") * F.lit(10).cast("decimal(2,0)")
+    one = F.lit(1 << 60).cast("decimal(20,0)")
+    tenth = F.floor(scaled / one)
+    rest = scaled - tenth * one
+    half = F.lit(1 << 59).cast("decimal(20,0)")
+    up = ((rest > half) | ((rest == half) & (tenth % 2 == 1))).cast("int")
+    tenths = units * 10 + tenth.cast("long") + up
+    return F.when(whole > 0, F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("%")))
 
 
 def argmax(logits: Column) -> Column:

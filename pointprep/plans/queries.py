@@ -221,12 +221,11 @@ def match_cascade(spark, sf_dir):
     return match.cascade(p, labels, rules=RULES).withColumn("label_id", F.coalesce("label_id", F.lit(-1)))
 
 
-@query(f"""SELECT count(*) AS total, count(*) FILTER (confidence >= 0.6) AS matched, count(*) FILTER (confidence < 0.6) AS unmatched, round(100.0 * count(*) FILTER (confidence >= 0.6) / count(*), 4)::DOUBLE AS matched_pct,
-count(DISTINCT CASE WHEN confidence < 0.6 THEN clean_name END) AS distinct_unmatched FROM ({CASCADE})""")
+@query(f"""SELECT count(*) AS total, count(*) FILTER (confidence >= 0.6) AS matched, count(*) FILTER (confidence < 0.6) AS unmatched, printf('%.1f%%', 100.0::DOUBLE * count(*) FILTER (confidence >= 0.6) / count(*)) AS matched_pct,
+printf('%.1f%%', 100.0::DOUBLE * count(*) FILTER (confidence < 0.6) / count(*)) AS unmatched_pct, count(DISTINCT CASE WHEN confidence < 0.6 THEN clean_name END) AS distinct_unmatched FROM ({CASCADE})""")
 def analyze_summary(spark, sf_dir):
     p, labels = points(spark, sf_dir)
-    s = profile.match_summary(match.cascade(p, labels, rules=RULES, min_confidence=0.6))
-    return s.select("total", "matched", "unmatched", F.round(100.0 * F.col("matched") / F.col("total"), 4).alias("matched_pct"), "distinct_unmatched")
+    return profile.match_summary(match.cascade(p, labels, rules=RULES, min_confidence=0.6))
 
 
 @query(f"SELECT label, count(*) AS n, min(p_partkey) AS first_pos FROM ({CASCADE}) WHERE confidence >= 0.6 GROUP BY 1 ORDER BY n DESC, first_pos LIMIT 15")

@@ -25,8 +25,11 @@ def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...] = ("text",
 
 
 def read_jsonl(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """Training records; blank lines are skipped, malformed ones fail if ``strict``."""
-    return spark.read.schema(TRAINING).json(path, mode="FAILFAST" if strict else "PERMISSIVE")
+    """Training records. Blank lines are skipped; if ``strict`` they fail, as do malformed ones."""
+    if not strict:
+        return spark.read.schema(TRAINING).json(path, mode="PERMISSIVE")
+    line = F.when(F.trim("value") == "", F.raise_error(F.lit("blank line in JSONL")).cast("string")).otherwise(F.col("value"))
+    return spark.read.text(path).select(F.from_json(line, TRAINING, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
 def read_mapping(spark: SparkSession, path: str, required: bool = True) -> DataFrame | None:

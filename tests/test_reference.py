@@ -32,6 +32,25 @@ def test_scalars(spark):
     assert r[0] == 1 and abs(r[1] - 1 / (2 + 2.718281828459045 ** -2)) < 1e-9
 
 
+def test_percent_rounds_as_printf(spark):
+    d = spark.createDataFrame([(a, n) for n in (1, 3, 7, 8, 40, 200, 2000, 1999) for a in range(0, n + 1, max(1, n // 60))] + [(0, 0)], "a long, n long")
+    for r in d.select("a", "n", T.percent(F.col("a"), F.col("n")).alias("p")).collect():
+        assert r.p == (f"{100.0 * r.a / r.n:.1f}%" if r.n else None)
+
+
+def test_strict_records(spark, tmp_path):
+    good = '{"text": "a", "label": "x", "label_id": 1}\n'
+    for name, text, fails in (("a", good * 2, False), ("b", good + "\n" + good, True), ("c", good + "{not json\n", True)):
+        (tmp_path / name).write_text(text)
+        read = tables.read_jsonl(spark, str(tmp_path / name), strict=True)
+        if fails:
+            with pytest.raises(Exception):
+                read.collect()
+        else:
+            assert read.collect() == [("a", "x", 1)] * 2
+    assert tables.read_jsonl(spark, str(tmp_path / "b")).count() == 2
+
+
 LABELS = ["zoneTempSp", "zoneTempMinSP", "zoneTempMinSp", "returnTemp", "zoneTemp", "current", "energy", "comp", "currentPhaseA", "dischargeTemp"]
 
 
