@@ -179,4 +179,4 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, recall: float =
     keyed = rows.withColumn("sound_", F.coalesce(sound, F.lit(False)))
     alone_ = keyed.where(~F.col("sound_")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     joined = spread(keyed.where("sound_").select("vec_id", *key_of(keyed)), results, ["k1", "k2"], "copies", most_of[1] or 0)
-    return joined.select("vec_id", "n_links", "component_id").unionByName(alone_).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return joined.select("vec_id", "n_links", "component_id").unionByName(alone_).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -223,8 +223,9 @@ KEYS = 200_000
 
 
 def row_key(docs: DataFrame) -> list[Column]:
-    """Columns k1 and k2 for all columns' values: rows with equal keys are copies of one row."""
-    return [c.alias(n) for c, n in zip(identity(*[F.col(f"`{c}`") for c in docs.columns]), ("k1", "k2"), strict=True)]
+    """Columns k1 and k2 for all columns' values: rows with equal keys are copies of one row. Maps, which have no hash, count by their JSON form."""
+    column = lambda f: F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`")
+    return [c.alias(n) for c, n in zip(identity(*map(column, docs.schema.fields)), ("k1", "k2"), strict=True)]
 
 
 def marked(rows: DataFrame, keys: DataFrame, n: int, how: str) -> DataFrame:

@@ -173,6 +173,12 @@ def test_embeddings_empty_and_large_buckets(spark):
     assert {x.n_links for x in r} == {899} and {x.component_id for x in r} == {0}
 
 
+def test_embeddings_of_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.01], 0), (1, [1.0, 0.0], 0), (2, [1.0, 0.02], 0), (0, [0.0, 1.0], 0), (None, [1.0, 0.03], 0), (None, None, 0)]
+    r = sorted(((x.vec_id, x.n_links, x.component_id, x.kept) for x in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()), key=str)
+    assert r == sorted([(1, 4, 1, True)] * 3 + [(2, 4, 1, False), (0, 0, 0, True), (None, 4, 1, False), (None, 0, None, True)], key=str)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 102), (102, 101), (7, 7), (None, 3)]
     r = {x.node: x.component for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -597,6 +603,14 @@ def test_unique_keeps_one_row_of_each_group(spark):
         assert sorted(kept, key=str) == sorted([(1, a + " more"), (5, b), (None, c), (None, d)], key=str)
 
 
+def test_unique_with_any_columns(spark):
+    d = spark.createDataFrame([(1, "a b c", {"k": 1}, [1.0]), (2, "a b c", {"k": 2}, None), (2, "a b c", {"k": 2}, None), (3, "z", None, [])], "doc_id long, text string, m map<string,int>, `odd name` array<double>")
+    kept = simhash.unique(d)
+    assert kept.columns == d.columns and sorted(x.doc_id for x in kept.collect()) == [1, 3]
+    words = spark.createDataFrame([("b", "a b c"), ("a", "a b c"), (None, "q")], "doc_id string, text string")
+    assert {(x.doc_id, x.component_id) for x in simhash.near_duplicates(words).collect()} == {("a", "a"), ("b", "a"), (None, None)}
+
+
 def test_resembling_is_exact_similarity(spark):
     rng = np.random.default_rng(4)
     texts = []
