@@ -32,8 +32,8 @@ def fingerprint(text: Column, piece: int = PIECE) -> Column:
     paragraphs = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), paragraph)
     sections = F.filter(F.split(F.array_join(paragraphs, ""), "(?<=;)", -1), lambda s: s != "")
     # A paragraph's digest stands for its length and pieces, so a section hashes the digests alone.
-    digests = lambda s: F.array_join(F.regexp_extract_all(s, F.lit("[0-9a-f]{64}(?=,)"), F.lit(0)), "")
-    short = lambda s: F.regexp_replace(s, "([0-9a-f]{8})[0-9a-f]{56},", "$1,")
+    digests = lambda s: F.array_join(F.regexp_extract_all(s, F.lit("(?:^|:)([0-9a-f]{64})"), F.lit(1)), "")
+    short = lambda s: F.regexp_replace(s, "(^|:)([0-9a-f]{8})[0-9a-f]{56},", "$1$2,")
     written = F.transform(sections, lambda s: let(F.sha2(digests(s), 256), lambda d: F.struct(d.alias("d"), F.concat(F.substring(d, 1, 8), F.lit("="), short(s)).alias("s"))))
     return let(written, lambda w: F.concat(F.sha2(F.array_join(w["d"], ""), 256), F.lit("|"), F.array_join(w["s"], "")))
 
@@ -42,38 +42,40 @@ def root_of(fp: Column) -> Column:
     return F.substring_index(fp, "|", 1)
 
 
-def sections_of(fp: Column) -> Column:
-    return F.filter(F.split(F.substring_index(fp, "|", -1), "(?<=;)", -1), lambda s: s != "")
-
-
 def paragraphs_of(sections: Column) -> Column:
     """Paragraphs (digest, length, pieces as written) of an array of sections, in order."""
-    return F.regexp_extract_all(F.array_join(sections, ""), F.lit("[0-9a-f]+,[0-9a-f]+,[0-9a-f]*"), F.lit(0))
+    return F.filter(F.flatten(F.transform(sections, lambda s: F.split(F.substring_index(s, "=", -1), "[:;]"))), lambda p: p != "")
 
 
 def pieces_of(paragraphs: Column) -> Column:
     """Distinct digests of the pieces of an array of paragraphs."""
-    return F.array_distinct(F.regexp_extract_all(F.array_join(F.transform(paragraphs, lambda p: F.substring_index(p, ",", -1)), ""), F.lit("[0-9a-f]{8}"), F.lit(0)))
+    return F.array_distinct(F.flatten(F.transform(paragraphs, lambda p: F.regexp_extract_all(F.substring_index(p, ",", -1), F.lit("[0-9a-f]{8}"), F.lit(0)))))
+
+
+def parsed(fp: Column) -> Column:
+    """A fingerprint taken apart: its root, sections, and the distinct pieces of all its paragraphs."""
+    sections = F.filter(F.split(F.substring_index(fp, "|", -1), "(?<=;)", -1), lambda s: s != "")
+    return F.struct(root_of(fp).alias("root"), sections.alias("sections"), pieces_of(paragraphs_of(sections)).alias("pieces"))
 
 
 def differing(a: Column, b: Column) -> Column:
-    """Paragraphs of fingerprint ``a`` that ``b`` has not where their sections differ, once each."""
-    own, other = F.array_except(sections_of(a), sections_of(b)), F.array_except(sections_of(b), sections_of(a))
+    """Paragraphs of the tree ``a`` that ``b`` has not where their sections differ, once each."""
+    own, other = F.array_except(a["sections"], b["sections"]), F.array_except(b["sections"], a["sections"])
     return F.array_except(paragraphs_of(own), paragraphs_of(other))
 
 
+def likeness_of(a: Column, b: Column) -> Column:
+    """As ``likeness``, of two ``parsed`` fingerprints."""
+    alone = lambda x, y: F.size(F.array_except(pieces_of(differing(x, y)), y["pieces"]))
+    total = F.size(a["pieces"]) + F.size(b["pieces"])
+    share = let(F.struct((alone(a, b) + alone(b, a)).alias("apart"), total.alias("total")), lambda x: F.least(1.0 - x["apart"] / x["total"], 1.0 - 1.0 / (x["total"] + 1)))
+    return F.when(a["root"] == b["root"], 1.0).when(total == 0, 0.0).otherwise(share)
+
+
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1 for two fingerprints, from the fingerprints alone: 1 where roots are equal, else the Dice coefficient of
     their distinct pieces, kept below 1; pieces below equal sections and paragraphs are in both and not compared."""
-    alone = lambda x, y, all_y: F.size(F.array_except(pieces_of(differing(x, y)), all_y))
-
-    def share(x: Column) -> Column:
-        total = F.size(x["a"]) + F.size(x["b"])
-        apart = alone(a, b, x["b"]) + alone(b, a, x["a"])
-        return F.when(total == 0, 0.0).otherwise(let(total, lambda t: F.least(1.0 - apart / t, 1.0 - 1.0 / (t + 1))))
-
-    pieces = F.struct(pieces_of(paragraphs_of(sections_of(a))).alias("a"), pieces_of(paragraphs_of(sections_of(b))).alias("b"))
-    return F.when(root_of(a) == root_of(b), 1.0).otherwise(let(pieces, share))
+    return let(F.struct(parsed(a).alias("a"), parsed(b).alias("b")), lambda x: likeness_of(x["a"], x["b"]))
 
 
 def edits(a: Column, b: Column, piece: int = PIECE) -> Column:
@@ -103,8 +105,9 @@ def edits(a: Column, b: Column, piece: int = PIECE) -> Column:
         return F.flatten(F.filter(F.transform(x["all"], one), lambda y: y.isNotNull()))
 
     none = F.array().cast("array<struct<start:int,end:int>>")
-    tree = F.struct(paragraphs_of(sections_of(a)).alias("all"), differing(a, b).alias("own"), differing(b, a).alias("other"))
-    return F.when(root_of(a) == root_of(b), none).otherwise(let(tree, ranges))
+    tree = lambda x: F.struct(paragraphs_of(x["a"]["sections"]).alias("all"), differing(x["a"], x["b"]).alias("own"), differing(x["b"], x["a"]).alias("other"))
+    both = F.struct(parsed(a).alias("a"), parsed(b).alias("b"))
+    return F.when(root_of(a) == root_of(b), none).otherwise(let(both, lambda x: let(tree(x), ranges)))
 
 
 def below(borders: Column, n: int, value: Column) -> Column:
@@ -151,5 +154,6 @@ def edited(docs: DataFrame) -> DataFrame:
         .select("doc_id", "at", "text", "r", "seen", F.length("text").cast("long").alias("n_chars"), F.sha2("new", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("new")).alias("edited_fingerprint"))
     )
     pairs = trees.withColumn("next", F.lead("fingerprint").over(order)).where("seen")
-    near = lambda other: likeness(F.col("fingerprint"), F.col(other))
-    return pairs.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("next").alias("near_next"))
+    trees = F.struct(*[parsed(F.col(c)).alias(n) for c, n in (("fingerprint", "a"), ("edited_fingerprint", "e"), ("next", "n"))])
+    near = let(trees, lambda x: F.struct(likeness_of(x["a"], x["e"]).alias("near_edited"), likeness_of(x["a"], x["n"]).alias("near_next")))
+    return pairs.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near.alias("near")).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near.near_edited", "near.near_next")
