@@ -34,12 +34,22 @@ def alone(rows: DataFrame) -> DataFrame:
     return spread(rows, once.select("bucket", "size", F.col("size").alias("w")), ["bucket"], "w", rows.count())
 
 
-def dealt(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Rows (bucket, size, id, ...) repeated for each pair of blocks (lo, hi) that they take part in."""
-    n = F.ceil(F.col("size") / block).cast("int")
-    own = rows.withColumn("n", n).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    each = own.withColumn("far", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    return each.withColumns({"lo": F.least("own", "far"), "hi": F.greatest("own", "far")}).drop("size", "n", "far")
+def dealt(rows: DataFrame, block: int | None = None) -> DataFrame:
+    """Rows (bucket, size, id, ...) repeated for each pair of blocks (lo, hi) that they take part in.
+
+    With the columns ``core`` and ``rest``, rows whose links with one another need no search and the number of the bucket's
+    other rows, core rows have blocks of their own, which are paired with the blocks of the others only.
+    """
+    size, cored = block or BLOCK, "core" in rows.columns
+    blocks = lambda n: F.ceil(n / size).cast("int")
+    spot = lambda n: F.pmod(F.xxhash64("id"), F.greatest(n, F.lit(1))).cast("int")
+    if cored:
+        first = blocks(F.col("rest"))
+        own = rows.withColumns({"n": first + blocks(F.col("size") - F.col("rest")), "own": F.when(F.col("core"), first + spot(blocks(F.col("size") - F.col("rest")))).otherwise(spot(first)), "last": F.when(F.col("core"), first).otherwise(first + blocks(F.col("size") - F.col("rest")))}).where("last > 0")
+    else:
+        own = rows.withColumn("n", blocks(F.col("size"))).withColumns({"own": spot(F.col("n")), "last": F.col("n")})
+    each = own.withColumn("far", F.explode(F.sequence(F.lit(0), F.col("last") - 1)))
+    return each.withColumns({"lo": F.least("own", "far"), "hi": F.greatest("own", "far")}).drop("size", "n", "far", "last", "core", "rest")
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

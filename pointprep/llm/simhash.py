@@ -12,7 +12,7 @@ in at most two bits; a star per key keeps the same connectivity in linear size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks
 from .blocks import alone, crowded, dealt, linked
 from .common import components, cut, identity, named_groups, spread
 
@@ -169,23 +170,31 @@ def distinct_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, shingle, xxh64_intdigest))
 
 
-def candidates(wide: list[bytes], sizes: np.ndarray, similarity: float) -> np.ndarray:
-    """Pairs that may reach ``similarity``: sizes allow it, and fingerprints of large sets are not far apart."""
+def near_pairs(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of wide fingerprints (rows of bytes) may reach ``similarity``: sizes allow it, and those of large sets are not far apart."""
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     same = (1 - p) ** 8
     least = max(1, int(WIDE // 8 * same - LOOSE * (WIDE // 8 * same * (1 - same)) ** 0.5))
-    most = bits_for(similarity, LOOSE)
-    raw = np.frombuffer(b"".join(wide), np.uint8).reshape(len(wide), WIDE // 8)
-    words = raw.view(np.uint64)
+    small, large = np.minimum(sizes_a, sizes_b), np.maximum(sizes_a, sizes_b)
+    fit = small >= similarity * large - 1e-9
+    test = fit & (small >= MANY)
+    near = test.copy()
+    other = b[test] if len(b) > 1 else b
+    near[test] = (a[test] == other).sum(1) >= least
+    other = b[near] if len(b) > 1 else b
+    near[near] = np.bitwise_count(a[near].view(np.uint64) ^ other.view(np.uint64)).sum(1) <= bits_for(similarity, LOOSE)
+    return near | fit & ~test
+
+
+def wide_rows(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), WIDE // 8)
+
+
+def candidates(wide: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """The matrix of ``near_pairs`` among rows."""
     out = np.zeros((len(wide), len(wide)), bool)
     for i in range(len(wide)):
-        small, large = np.minimum(sizes, sizes[i]), np.maximum(sizes, sizes[i])
-        fit = small >= similarity * large - 1e-9
-        test = fit & (small >= MANY)
-        near = test.copy()
-        near[test] = (raw[test] == raw[i]).sum(1) >= least
-        near[near] = np.bitwise_count(words[near] ^ words[i]).sum(1) <= most
-        out[i] = near | fit & ~test
+        out[i] = near_pairs(wide, wide[i : i + 1], sizes, sizes[i : i + 1], similarity)
     return out
 
 
@@ -271,30 +280,42 @@ def grouped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
     nodes = cut(sets.select(F.monotonically_increasing_id().alias("id"), "set_id", "least", "c", "x.*"))
     postings = nodes.select("id", F.explode("keys").alias("bucket"))
     met = crowded(postings, TABLES * nodes.count()).join(nodes.select("id", "wide", "shingles"), "id")
+    repeated = rows.select("k1", "k2").distinct().count() < rows.count()
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """(id, set) of the distinct ``ids``."""
+
+        def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sets = [distinct_hashes(x.as_py(), shingle).tobytes() for x in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
+
+        owners = cut(nodes.join(ids, "id", "left_semi").select("k1", "k2", "id"))
+        texts = docs.select(*row_key(docs), text.alias("text")).join(F.broadcast(owners) if owners.count() <= KEYS else owners, ["k1", "k2"]).select("id", "text")
+        held = texts.mapInArrow(gather, "id long, set binary")
+        # Rows that are copies of one another have the same set; they are combined where they are read.
+        return held.groupBy("id").agg(F.first("set").alias("set")) if repeated else held
 
     def near(group: pa.Table) -> np.ndarray:
-        return candidates(group.column("wide").to_pylist(), group.column("shingles").to_numpy(), similarity)
+        return candidates(wide_rows(group.column("wide")), group.column("shingles").to_numpy(), similarity)
 
     def link(group: pa.Table) -> np.ndarray:
         return alike([np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("set")], similarity)
 
+    largest = postings.groupBy("bucket").count().agg(F.max("count")).first()[0] or 0
+    met, stars = cored(met, sets_of, similarity) if largest > blocks.BLOCK else (met, None)
     # Lists with the same members give the same pairs: one of them is enough.
+    flags = ["core", "rest"] if "core" in met.columns else []
     open_ = cut(linked(dealt(met), ["wide", "shingles"], near, bucket=True).select("bucket", "id").distinct())
-    owners = cut(nodes.join(open_.select("id").distinct(), "id", "left_semi").select("k1", "k2", "id"))
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [distinct_hashes(x.as_py(), shingle).tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
-
-    n = owners.count()
-    texts = docs.select(*row_key(docs), text.alias("text")).join(F.broadcast(owners) if n <= KEYS else owners, ["k1", "k2"]).select("id", "text")
-    held = texts.mapInArrow(gather, "id long, set binary")
-    if rows.select("k1", "k2").distinct().count() < rows.count():
-        # Rows that are copies of one another have the same set; they are combined where they are read.
-        held = held.groupBy("id").agg(F.first("set").alias("set"))
-    found = linked(dealt(alone(open_).join(held, "id"), SETS), ["set"], link)
-    groups = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    lists = alone(open_)
+    if flags:
+        known = met.where("core").select("bucket", "id", "core")
+        lists = cut(lists.join(known, ["bucket", "id"], "left").withColumn("core", F.coalesce("core", F.lit(False))))
+        others = lists.groupBy("bucket").agg(F.count_if(~F.col("core")).cast("int").alias("rest"), F.count("*").alias("w"))
+        lists = spread(lists, others, ["bucket"], "w", lists.count())
+    found = linked(dealt(lists.join(sets_of(open_.select("id").distinct()), "id"), SETS), ["set"], link)
+    edges = found.select(F.col("id").alias("a"), F.col("root").alias("b"))
+    groups = components(edges.union(stars) if stars is not None else edges)
     roots = cut(nodes.join(groups.withColumnRenamed("node", "id"), "id", "left").select("set_id", "least", "c", F.coalesce("component", "id").alias("root")))
     total = roots.count()
     names = roots.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("w"))
@@ -302,6 +323,58 @@ def grouped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
     return spread(rows.select("k1", "k2", "doc_id", "wide", "set_id"), named.select("set_id", "c", "root", "component_id"), ["set_id"], "c", rows.count()).drop("set_id")
 
 
+def cored(met: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(``met`` with core and rest, edges a, b). In lists of more than a block, core rows are those that reach ``similarity`` with the first row.
+
+    They are linked through it, so a large group of near copies is compared with one of its rows and not with itself. Rows
+    outside the core are ``rest`` in number and meet all rows of their list.
+    """
+    large = cut(met.where(F.col("size") > blocks.BLOCK).select("bucket", "size", "id", "wide", "shingles"))
+    total = large.count()
+    first = large.groupBy("bucket").agg(F.min(F.struct("id", "wide", "shingles")).alias("x"), F.count("*").alias("w"))
+    first = cut(first.select("bucket", F.col("x.id").alias("hub"), F.col("x.wide").alias("hub_wide"), F.col("x.shingles").alias("hub_shingles"), "w"))
+    paired = spread(large, first, ["bucket"], "w", total)
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ids, hubs = batch.column(0), batch.column(1)
+                near = near_pairs(wide_rows(batch.column(2)), wide_rows(batch.column(3)), batch.column(4).to_numpy(), batch.column(5).to_numpy(), similarity)
+                yield pa.RecordBatch.from_arrays([ids, hubs], ["id", "hub"]).filter(pa.array(near))
+
+    tested = paired.where("id <> hub").select("id", "hub", "wide", "hub_wide", "shingles", "hub_shingles").mapInArrow(test, "id long, hub long")
+    pairs = cut(tested.distinct())
+    n = pairs.groupBy("hub").agg(F.count("*").alias("w")).withColumn("n", F.ceil(F.col("w") / SETS).cast("int"))
+    placed = cut(spread(pairs, n, ["hub"], "w", pairs.count()).withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).select("id", "hub", "block"))
+    sets = cut(sets_of(placed.select("id").union(placed.select(F.col("hub").alias("id"))).distinct()))
+    # Each block of a hub's rows has the hub's own set at its head.
+    members = placed.join(sets, "id").select("hub", "block", F.lit(1).alias("head"), "id", "set")
+    heads = placed.select("hub", "block").distinct().join(sets.withColumnRenamed("id", "hub"), "hub").select("hub", "block", F.lit(0).alias("head"), F.col("hub").alias("id"), "set")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, key = None, None
+        for batch in batches:
+            out = []
+            for hub, block, is_member, i, x in zip(*[batch.column(c) for c in ("hub", "block", "head", "id", "set")], strict=True):
+                own = np.frombuffer(x.as_buffer(), np.uint64)
+                if not is_member.as_py():
+                    head, key = own.copy(), (hub.as_py(), block.as_py())
+                    continue
+                assert key == (hub.as_py(), block.as_py())
+                both = len(np.intersect1d(own, head, assume_unique=True))
+                if both >= similarity * (len(own) + len(head) - both) - 1e-9:
+                    out.append((i.as_py(), hub.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in (0, 1)], ["id", "hub"])
+
+    sent = members.union(heads).repartition("hub", "block").sortWithinPartitions("hub", "block", "head")
+    stars = cut(sent.mapInArrow(verify, "id long, hub long"))
+    marked_ = paired.select(*large.columns, "hub").join(stars.withColumn("core", F.lit(True)), ["id", "hub"], "left")
+    marked_ = cut(marked_.withColumn("core", F.coalesce("core", F.col("id") == F.col("hub"))).drop("hub"))
+    others = marked_.groupBy("bucket").agg(F.count_if(~F.col("core")).cast("int").alias("rest"), F.count("*").alias("w"))
+    small = met.where(F.col("size") <= blocks.BLOCK).withColumns({"core": F.lit(False), "rest": F.col("size").cast("int")})
+    return small.unionByName(spread(marked_, others, ["bucket"], "w", total)), stars.select(F.col("id").alias("a"), F.col("hub").alias("b"))
+
+
 def resembling(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, wide, component_id) of every row: the groups of ``grouped``."""
     return grouped(docs, shingle, similarity).select("doc_id", "wide", "component_id")

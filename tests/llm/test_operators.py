@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pointprep.llm import embed_dedup, entry, html_diff, langid, licenses, merkle, mixing, pii, quality, simhash, wfst
+from pointprep.llm import blocks, embed_dedup, entry, html_diff, langid, licenses, merkle, mixing, pii, quality, simhash, wfst
 from pointprep.llm.common import components, spread
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -611,12 +611,18 @@ def test_unique_with_any_columns(spark):
     assert {(x.doc_id, x.component_id) for x in simhash.near_duplicates(words).collect()} == {("a", "a"), ("b", "a"), (None, None)}
 
 
-def test_resembling_is_exact_similarity(spark):
+@pytest.mark.parametrize("block", [512, 6])
+def test_resembling_is_exact_similarity(spark, monkeypatch, block):
+    # With small blocks many lists are large: they are compared with one row first.
+    monkeypatch.setattr(blocks, "BLOCK", block)
+    monkeypatch.setattr(simhash, "SETS", min(256, block))
     rng = np.random.default_rng(4)
     texts = []
     for _ in range(12):  # versions of 60 to 400 words, some shares of them changed
         words = [f"v{x}" for x in rng.integers(0, 10**6, int(rng.integers(60, 400)))]
         texts += [" ".join(words), *(" ".join(w if rng.random() > share else f"c{rng.integers(10**6)}" for w in words) for share in (0.01, 0.02, 0.03, 0.035, 0.04, 0.05, 0.06))]
+    words = [f"g{x}" for x in rng.integers(0, 10**6, 300)]
+    texts += [" ".join(w if rng.random() > share else f"c{rng.integers(10**6)}" for w in words) for share in [0.002] * 40 + [0.02] * 20 + [0.04] * 20]  # one group of many
     for _ in range(30):  # four shingles against five: exactly 0.8
         words = [f"s{x}" for x in rng.integers(0, 10**6, 9)]
         texts += [" ".join(words[:8]), " ".join(words)]
