@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread
+from .common import in_python, spread
 
 BLOCK = 512
 
@@ -131,4 +131,4 @@ def linked(rows: DataFrame, columns: list[str], link: Callable[[pa.Table], np.nd
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names)
 
     sent = rows.select(*keys, "own", "id", *columns)
-    return sent.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    return in_python(sent.repartition(*keys).sortWithinPartitions(*keys), run, ", ".join(f"{x} long" for x in names))

@@ -17,6 +17,10 @@ LISTED = 50_000
 #: Rows that a key may have in a shuffle join before it counts as hot, while the input is small.
 COOL = 256
 
+#: Rows that go to a Python worker at once, where the session says nothing: texts can be long, and two such batches are held on either side.
+ROWS_AT_ONCE = 1500
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
@@ -43,6 +47,14 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def in_python(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` in modest batches."""
+    conf = df.sparkSession.conf
+    if conf.get(ARROW_ROWS, None) is None:
+        conf.set(ARROW_ROWS, str(ROWS_AT_ONCE))
+    return df.mapInArrow(run, schema)
+
+
 def path_of(df: DataFrame) -> str | None:
     """Where ``cut`` has written ``df``."""
     found = df._jdf.queryExecution().logical().rdd().getCheckpointFile()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LISTED, cut, identity, partitions
+from .common import LISTED, cut, identity, in_python, partitions
 
 #: A quote that is not closed before the next tag is no quote: then the tag ends at the first ">".
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+(?=>)|[^>]*+)>?", re.S)
@@ -366,7 +366,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     order = ["host", "path", "page_id", "k1", "k2"]
     schema = EDGE.removesuffix(", need boolean")
-    outlined = base.select(host.alias("host"), path.alias("path"), F.col("page_id").cast("string").alias("page_id"), "k1", "k2", "html").mapInArrow(outline, schema)
+    outlined = base.select(host.alias("host"), path.alias("path"), F.col("page_id").cast("string").alias("page_id"), "k1", "k2", "html")
+    outlined = in_python(outlined, outline, schema)
     outlined = outlined.groupBy("k1", "k2").agg(*[F.first(c).alias(c) for c in ("host", "path", "page_id", "own", "marks")]).select(*order, "own", "marks")
     ranged = outlined.repartitionByRange(partitions(pages.sparkSession), *order).sortWithinPartitions(*order)
     spec = f"k1 long, k2 long, gone array<int>, edge struct<{EDGE.replace(' ', ':').replace(',:', ',')}>"
@@ -385,4 +386,4 @@ def extract(pages: DataFrame) -> DataFrame:
     side = F.broadcast(gone) if gone.count() <= LISTED else gone
     joined = base.join(side, ["k1", "k2"], "left").select("page_id", "url", "html", "gone")
     kind = pages.schema["page_id"].dataType.simpleString()
-    return joined.mapInArrow(write, f"page_id {kind}, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
+    return in_python(joined, write, f"page_id {kind}, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

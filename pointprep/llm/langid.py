@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_python
+
 #: Training rows in all, shared out evenly over the languages (at least one each): those with the smallest seeded hashes of their ids.
 MAX_ROWS = 1200
 #: Words of a step of training, fewer where there are many languages.
@@ -371,4 +373,4 @@ def labelled(docs: DataFrame, max_rows: int, spans: bool) -> DataFrame:
                 at += len(texts)
 
     kept = docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.col("text").cast("string"))
-    return kept.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double, n_words long, n_switched long" + (", spans array<struct<start:long,end:long,lang:string,score:double>>" if spans else ""))
+    return in_python(kept, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double, n_words long, n_switched long" + (", spans array<struct<start:long,end:long,lang:string,score:double>>" if spans else ""))

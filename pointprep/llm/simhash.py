@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import blocks
 from .blocks import alone, crowded, dealt, linked
-from .common import components, cut, identity, named_groups, spread
+from .common import components, cut, identity, in_python, named_groups, spread
 
 SEED = 42
 SPLIT = 128
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), fps], ["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return in_python(docs.select("doc_id", F.col("text").cast("string")), run, f"doc_id {kind}, fp long")
 
 
 def block(fp: str, i: int) -> str:
@@ -274,7 +274,7 @@ def grouped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
     text = F.col("text").cast("string")
     kind = docs.schema["doc_id"].dataType.simpleString()
     sent = docs.select(*row_key(docs), "doc_id", text.alias("text"))
-    rows = cut(sent.mapInArrow(run, f"k1 long, k2 long, doc_id {kind}, set_id binary, wide binary, shingles int, keys array<long>"))
+    rows = cut(in_python(sent, run, f"k1 long, k2 long, doc_id {kind}, set_id binary, wide binary, shingles int, keys array<long>"))
     sets = rows.groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("c"), F.min(F.struct("k1", "k2", "wide", "shingles", "keys")).alias("x"))
     # Numbered where they are written: the number is the node, so no two sets can be taken for one.
     nodes = cut(sets.select(F.monotonically_increasing_id().alias("id"), "set_id", "least", "c", "x.*"))
@@ -292,7 +292,7 @@ def grouped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
 
         owners = cut(nodes.join(ids, "id", "left_semi").select("k1", "k2", "id"))
         texts = docs.select(*row_key(docs), text.alias("text")).join(F.broadcast(owners) if owners.count() <= KEYS else owners, ["k1", "k2"]).select("id", "text")
-        held = texts.mapInArrow(gather, "id long, set binary")
+        held = in_python(texts, gather, "id long, set binary")
         # Rows that are copies of one another have the same set; they are combined where they are read.
         return held.groupBy("id").agg(F.first("set").alias("set")) if repeated else held
 
@@ -367,7 +367,7 @@ def cored(met: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity:
             yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in (0, 1)], ["id", "hub"])
 
     sent = members.union(heads).repartition("hub", "block").sortWithinPartitions("hub", "block", "head")
-    stars = cut(sent.mapInArrow(verify, "id long, hub long"))
+    stars = cut(in_python(sent, verify, "id long, hub long"))
     marked_ = paired.select(*large.columns, "hub").join(stars.withColumn("core", F.lit(True)), ["id", "hub"], "left")
     marked_ = cut(marked_.withColumn("core", F.coalesce("core", F.col("id") == F.col("hub"))).drop("hub"))
     others = marked_.groupBy("bucket").agg(F.count_if(~F.col("core")).cast("int").alias("rest"), F.count("*").alias("w"))

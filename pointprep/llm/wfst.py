@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_python
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -344,7 +346,7 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(sizes.astype(np.int64)), decoded], ["doc_id", "ids", "n_tokens", "decoded"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, ids array<int>, n_tokens long, decoded string")
+    return in_python(docs.select("doc_id", F.col("text").cast("string")), run, f"doc_id {kind}, ids array<int>, n_tokens long, decoded string")
 
 
 def report(docs: DataFrame, path: str = MODEL) -> DataFrame:
