@@ -51,9 +51,15 @@ def mark_ranges() -> str:
 WORD = re.compile(rf"[^\W\d_]+(?:[{mark_ranges()}]+[^\W\d_]*)*")
 
 
+#: Words of texts below the first mark.
+PLAIN, FAR = re.compile(r"[^\W\d_]+"), re.compile("[\u0300-\U0010ffff]")
+
+
 def words_of(text: str) -> list[str]:
     """Runs of letters and marks; number signs such as fractions count as letters beside one, alone they are no word."""
-    return [w for w in WORD.findall(text) if w.isascii() or any(map(str.isalpha, w))]
+    if text.isascii():
+        return PLAIN.findall(text)
+    return [w for w in (WORD if FAR.search(text) else PLAIN).findall(text) if w.isascii() or any(map(str.isalpha, w))]
 
 
 def places_of(text: str) -> list[tuple[int, int]]:
