@@ -278,8 +278,10 @@ def grouped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
     sets = rows.groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("c"), F.min(F.struct("k1", "k2", "wide", "shingles", "keys")).alias("x"))
     # Numbered where they are written: the number is the node, so no two sets can be taken for one.
     nodes = cut(sets.select(F.monotonically_increasing_id().alias("id"), "set_id", "least", "c", "x.*"))
-    postings = nodes.select("id", F.explode("keys").alias("bucket"))
-    met = crowded(postings, TABLES * nodes.count()).join(nodes.select("id", "wide", "shingles"), "id")
+    # Written once: what follows reads postings more than once.
+    postings = cut(nodes.select("id", F.explode("keys").alias("bucket")))
+    shared = cut(crowded(postings, postings.count()))
+    met = shared.join(nodes.select("id", "wide", "shingles"), "id")
     repeated = rows.select("k1", "k2").distinct().count() < rows.count()
 
     def sets_of(ids: DataFrame) -> DataFrame:
@@ -302,7 +304,7 @@ def grouped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
     def link(group: pa.Table) -> np.ndarray:
         return alike([np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("set")], similarity)
 
-    largest = postings.groupBy("bucket").count().agg(F.max("count")).first()[0] or 0
+    largest = shared.agg(F.max("size")).first()[0] or 0
     met, stars = cored(met, sets_of, similarity) if largest > blocks.BLOCK else (met, None)
     # Lists with the same members give the same pairs: one of them is enough.
     flags = ["core", "rest"] if "core" in met.columns else []
