@@ -125,7 +125,7 @@ def results(model: PipelineModel, rows: DataFrame, validation: DataFrame, epochs
 
 
 def write_report(document: dict, predictions: DataFrame, path: str) -> None:
-    """The results as text, then as JSON. Predictions are written as they arrive, never held at once."""
+    """The results as text, then as JSON. Predictions are written as they arrive, never held at once. Headings and marks are fixed values."""
     line, short = "=" * 60, document["model"].split("/")[-1]
     shown = lambda v: f"{v:.4f}" if isinstance(v, float) else str(v)
     inference = document["validation_inference"]
