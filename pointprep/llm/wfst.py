@@ -34,7 +34,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-KEPT = 120_000
+KEPT = 150_000
 INF = float("inf")
 #: The state before the first arc.
 START = -1
@@ -222,14 +222,10 @@ class Codec:
         """
         n, trie, fits_of, joins, longest = len(unit), self.trie, self.pairs.get, self.joins, self.longest
         last: list[int | None] = [None] * (n + 1)
-        last[0] = START
-        open_ = [0]
-        while open_:
-            i = open_.pop()
-            if i == n:
-                break
-            before = last[i]
-            base, nodes, j = before * WIDE, trie, i
+        left: list[tuple[int, list[int], list[int]]] = []  # places that the search may come back to
+        i, before = 0, START
+        while i < n:
+            arcs, ends, nodes, j = [], [], trie, i
             for c in unit[i : i + longest]:
                 node = nodes.get(c)
                 if node is None:
@@ -240,13 +236,24 @@ class Codec:
                 if arc is None and j == i:
                     arc = self.byte_arc(c)
                 j += 1
-                if arc is not None and last[j] is None:
-                    fits = fits_of(base + arc)
-                    if joins(before, arc) if fits is None else fits:
-                        last[j] = arc
-                        open_.append(j)
+                if arc is not None:
+                    arcs.append(arc)
+                    ends.append(j)
                 if not nodes:
                     break
+            while True:
+                if not arcs:
+                    before, arcs, ends = left.pop()
+                    continue
+                arc, j = arcs.pop(), ends.pop()
+                if last[j] is None:
+                    fits = fits_of(before * WIDE + arc)
+                    if joins(before, arc) if fits is None else fits:
+                        break
+            if arcs:
+                left.append((before, arcs, ends))
+            last[j] = before = arc
+            i = j
         return last
 
     def least_path(self, unit: str) -> list:
