@@ -50,7 +50,8 @@ def border(df: DataFrame, label: str, key: str, share: float, seed: int) -> tupl
     ranked = keyed.join(sized(room, classes), label).where("slice_ = edge_").groupBy(label, "room_", "o_").agg(F.count("*").alias("tied"))
     upto = ranked.withColumn("upto_", F.sum("tied").over(Window.partitionBy(label).orderBy("o_"))).where("upto_ >= room_ and upto_ - tied < room_")
     found = upto.select(label, F.col("o_").alias("border"), "tied", (F.col("room_") - F.col("upto_") + F.col("tied")).alias("tied_in"))
-    return counts.select(label).join(found, label, "left"), classes
+    # One row a class, looked up more than once: it is kept, and made again if it is lost.
+    return counts.select(label).join(found, label, "left").persist(), classes
 
 
 def marked(df: DataFrame, borders: tuple[DataFrame, int], label: str, key: str, seed: int, name: str, among: Column | None = None) -> DataFrame:
